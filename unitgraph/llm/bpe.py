@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Where all versions of the character tables agree on letters, numbers and spaces; other texts are cut by the library.
 _COMMON = r"[\u0000-ԯ‐-⁰₠-₰ぁ-ゖァ-ヺ一-龥가-힣]*"
-TABLE_SIZE = 200_000
+TABLE_SIZE = 100_000
+#: Input bytes handled at once: lists of ids take many times the room of their text.
+SLICE = 1 << 20
 
 
 def byte_symbols() -> dict[str, int]:
@@ -96,7 +98,7 @@ class BytePairs:
     def compatible(self, left: int, right: int) -> bool:
         known = self.pairs.get((left, right))
         if known is None:
-            if len(self.pairs) >= 4 * TABLE_SIZE:
+            if len(self.pairs) >= TABLE_SIZE:
                 self.pairs.clear()
             known = self.pairs[left, right] = self._compatible(left, right)
         return known
@@ -141,22 +143,36 @@ class BytePairs:
                 out.append(ids)
         return list(chain.from_iterable(out))
 
+
+class Decoder:
+    """Just the bytes of each id."""
+
+    def __init__(self, spec: str):
+        data, symbols = json.loads(spec), byte_symbols()
+        self.bytes_of = {i: bytes(symbols[c] for c in t) for t, i in data["model"]["vocab"].items()}
+        self.bytes_of.update({t["id"]: t["content"].encode() for t in data.get("added_tokens", [])})
+
     def decode(self, ids) -> str:
         """Text of a list of ids; bytes that aren't UTF-8 become the replacement character."""
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_LOADED: dict[str, BytePairs] = {}
+_LOADED: dict = {}
 
 
-def load(path: str) -> BytePairs:
+def load(path: str, kind=BytePairs):
     """The coder of a vocabulary file, once for each Python worker."""
-    if path not in _LOADED:
-        from tokenizers import Tokenizer
-
+    if (path, kind) not in _LOADED:
         with open(path, encoding="utf-8") as f:
-            _LOADED[path] = BytePairs(f.read(), Tokenizer.from_file(path).pre_tokenizer)
-    return _LOADED[path]
+            spec = f.read()
+        if kind is BytePairs:
+            from tokenizers.pre_tokenizers import ByteLevel
+
+            level = json.loads(spec)["pre_tokenizer"]
+            _LOADED[path, kind] = BytePairs(spec, ByteLevel(add_prefix_space=level["add_prefix_space"], use_regex=level["use_regex"]))
+        else:
+            _LOADED[path, kind] = kind(spec)
+    return _LOADED[path, kind]
 
 
 def _with_column(df: DataFrame, name: str, kind: str, made) -> DataFrame:
@@ -165,8 +181,11 @@ def _with_column(df: DataFrame, name: str, kind: str, made) -> DataFrame:
     schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes[:-1]) + f", `{name}` {kind}"
 
     def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made(batch.column(batch.num_columns - 1))], [*kept, name])
+        for whole in batches:
+            rows = max(1, whole.num_rows * SLICE // max(1, whole.nbytes))
+            for at in range(0, whole.num_rows, rows):
+                batch = whole.slice(at, rows)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made(batch.column(batch.num_columns - 1))], [*kept, name])
 
     return df.mapInArrow(run, schema)
 
@@ -189,7 +208,7 @@ def decode(df: DataFrame, ids_col: str, path: str, text_col: str = "decoded") ->
     """``df`` without ``ids_col`` and with ``text_col``, the text that the ids stand for. Null is decoded as no ids."""
 
     def text_of(ids: pa.Array) -> pa.Array:
-        coder = load(path)
+        coder = load(path, Decoder)
         flat, offsets = ids.flatten().to_pylist(), [0, *np.cumsum([x or 0 for x in ids.value_lengths().to_pylist()]).tolist()]
         return pa.array([coder.decode(flat[a:b]) for a, b in zip(offsets, offsets[1:])], pa.string())
 
