@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, simhash, warc
+from . import bpe, mixing, quality, simhash, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,12 +38,17 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), public_vocabulary("byte_bpe_50k.json"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.predictions(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.7)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash": op1_simhash,
         "op2_warc": op2_warc,
         "op6_mixing": op6_mixing,
         "op7_bpe": op7_bpe,
+        "op10_quality": op10_quality,
     }
 
 
