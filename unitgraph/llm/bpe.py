@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Where all versions of the character tables agree on letters, numbers and spaces; other texts are cut by the library.
 _COMMON = r"[\u0000-ԯ‐-⁰₠-₰ぁ-ゖァ-ヺ一-龥가-힣]*"
-TABLE_SIZE = 100_000
+#: Pieces and pairs kept: as many again of the generation before.
+TABLE_SIZE = 200_000
 #: Input bytes handled at once: lists of ids take many times the room of their text.
 SLICE = 1 << 20
 
@@ -68,8 +69,9 @@ class BytePairs:
             if i not in self.special.values() and self._stands(i):
                 self.automaton.add_word(raw.decode("latin-1"), (i, len(raw)))
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.table: dict[str, tuple[int, ...]] = {}
+        self.old_table: dict[str, tuple[int, ...]] = {}
 
     def _stands(self, token: int) -> bool:
         """Whether merging a token's own bytes gives the token."""
@@ -95,23 +97,28 @@ class BytePairs:
                 below, right = rank_r + 1, made_r[1]
                 # a pair across the border of the same rank as the right token's merge stands further left, so it goes first
 
-    def compatible(self, left: int, right: int) -> bool:
-        known = self.pairs.get((left, right))
-        if known is None:
-            if len(self.pairs) >= TABLE_SIZE:
-                self.pairs.clear()
-            known = self.pairs[left, right] = self._compatible(left, right)
+    def _new_pair(self, left: int, right: int) -> bool:
+        if len(self.pairs) >= 2 * TABLE_SIZE:
+            self.pairs.clear()
+        known = self.pairs[left << 32 | right] = self._compatible(left, right)
         return known
 
     def encode_piece(self, raw: bytes) -> list[int]:
         """Ids of one piece: fill the last token of every prefix, then follow back."""
         n = len(raw)
-        last, length = [-1] * (n + 1), [0] * (n + 1)
+        last, length, known = [-1] * (n + 1), [0] * (n + 1), self.pairs.get
         for end, (token, size) in self.automaton.iter(raw.decode("latin-1")):
-            at = end + 1
-            start = at - size
-            if last[at] < 0 and (start == 0 or last[start] >= 0 and self.compatible(last[start], token)):
-                last[at], length[at] = token, size
+            end += 1
+            if last[end] >= 0:
+                continue
+            if size < end:
+                before = last[end - size]
+                if before < 0:
+                    continue
+                fits = known(before << 32 | token)
+                if not (self._new_pair(before, token) if fits is None else fits):
+                    continue
+            last[end], length[end] = token, size
         ids, at = [], n
         while at:
             if last[at] < 0:
@@ -120,6 +127,16 @@ class BytePairs:
             at -= length[at]
         return ids[::-1]
 
+    def _new_piece(self, piece: str) -> tuple[int, ...]:
+        ids = self.old_table.get(piece)
+        if ids is None:
+            ids = tuple(self.encode_piece(piece.encode()))
+        if len(piece) <= 64:
+            if len(self.table) >= TABLE_SIZE:
+                self.old_table, self.table = self.table, {}
+            self.table[piece] = ids
+        return ids
+
     def pieces(self, text: str) -> list[str]:
         if self.pre_tokenizer is None or self.common.fullmatch(text):
             return self.pattern.findall(text)
@@ -127,20 +144,13 @@ class BytePairs:
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text."""
-        table, out = self.table, []
+        out = []
         for k, part in enumerate(self.special_pattern.split(text) if self.special_pattern else [text]):
             if k % 2:
                 out.append((self.special[part],))
-                continue
-            for piece in self.pieces(part):
-                ids = table.get(piece)
-                if ids is None:
-                    ids = tuple(self.encode_piece(piece.encode()))
-                    if len(piece) <= 64:
-                        if len(table) >= TABLE_SIZE:
-                            table.clear()
-                        table[piece] = ids
-                out.append(ids)
+            else:
+                known, new = self.table.get, self._new_piece
+                out += [known(piece) or new(piece) for piece in self.pieces(part)]
         return list(chain.from_iterable(out))
 
 
