@@ -36,6 +36,8 @@ BOILERPLATE_NAMES = frozenset(
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 ARTICLE_NAMES = frozenset("article body content entry main post story text".split())
 
+LONGEST_PATH = 1000
+
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -162,7 +164,9 @@ class Page:
             if tag == "header" and "article" not in (t for t, _, _ in stack) and "main" not in (t for t, _, _ in stack):
                 shut = True
             if tag in CONTAINER or shut:
-                path = self.paths[node] + "/" + tag + "".join("." + c for c in sorted(set(classes)))
+                path = self.paths[node]
+                if len(path) < LONGEST_PATH:  # deeper elements go by the path above them
+                    path += "/" + tag + "".join("." + c for c in sorted(set(classes)))
                 self.parent.append(node)
                 node = len(self.paths)
                 self.paths.append(path)
@@ -193,7 +197,7 @@ class Page:
     def text(self, node: int) -> str:
         """Blocks of a container, without the boilerplate elements inside it."""
         inside = self.blocks[self.first[node] : self.end[node]]
-        return "\n".join(b for b, _, boiler, _ in inside if boiler <= node and not node < boiler)
+        return "\n".join(b for b, _, boiler, _ in inside if boiler <= node)
 
     def at_path(self, path: str) -> str:
         """Text of all containers at a path, in page order."""
