@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_extract, media, mixing, quality, simhash, warc
+from . import bpe, html_extract, line_dedup, media, mixing, quality, simhash, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +46,10 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_images(_table(spark, sf_dir, "documents"))
 
 
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents"), min_words=5, similarity=0.8)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predictions(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.7)
 
@@ -58,6 +62,7 @@ def queries() -> dict[str, Query]:
         "op6_mixing": op6_mixing,
         "op7_bpe": op7_bpe,
         "op8_media": op8_media,
+        "op9_lines": op9_lines,
         "op10_quality": op10_quality,
     }
 
