@@ -17,8 +17,8 @@ def library():
     return Tokenizer.from_file(PATH)
 
 
-@given(st.one_of(st.text(max_size=80), st.text(alphabet="aeiou th'sé\n\t<|endoftext|>0159!?", max_size=200), st.text(alphabet="ab", max_size=300), st.text(alphabet=" \x1c\x85 ​՘ x", max_size=20)))
-@settings(max_examples=400, deadline=None)
+@given(st.one_of(st.text(max_size=80), st.text(alphabet="aeiou th'sé\n\t<|endoftext|>0159!?", max_size=200), st.text(alphabet="ab", max_size=300), st.text(alphabet="a  \n\t\u00a0.'s", max_size=30), st.text(alphabet=" \x1c\x85 ​՘ x", max_size=20)))
+@settings(max_examples=1500, deadline=None)
 def test_like_the_library(text):
     from tokenizers import Tokenizer
 
@@ -58,6 +58,14 @@ def test_letters_of_all_planes(library):
             assert coder.pieces(text) == [text[a:b] for _, (a, b) in coder.pre_tokenizer.pre_tokenize_str(text)]
 
 
+def test_many_texts(library):
+    import duckdb
+
+    texts = [r[0] for r in duckdb.execute("select text from '/root/testdata/sf0.01/documents.parquet'").fetchall()]
+    offsets, flat = bpe.load(PATH).encode_batch(texts)
+    assert [flat[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_digests(spark, library):
     rows = [(1, "Hello wörld <|endoftext|> again", "x"), (None, None, "y"), (2, "", "z"), (2, "", "z"), (3, "long " * 40000, "l")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, ids string")

@@ -10,17 +10,21 @@ the border would have come first. The unique last token of each prefix is stored
 and following the stored tokens back from the end gives the ids.
 
 The text is first cut as the vocabulary file says: special tokens, then the byte-level
-pattern. Pieces repeat, so their encodings are kept in a bounded table.
+pattern. A piece of that pattern holds a space inside only in a run of white space, so
+other texts are cut before every space first, the different parts of a batch of texts are
+found by Arrow, and only these are cut by the pattern and looked up in a bounded table
+of encodings.
 """
 
 from __future__ import annotations
 
 import json
-from itertools import chain
+from array import array
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,9 +33,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Where all versions of the character tables agree on letters, numbers and spaces; other texts are cut by the library.
 _COMMON = r"[\u0000-ԯ‐-⁰₠-₰ぁ-ゖァ-ヺ一-龥가-힣]*"
 #: Pieces and pairs kept: as many again of the generation before.
-TABLE_SIZE = 200_000
+TABLE_SIZE = 300_000
 #: Input bytes handled at once: lists of ids take many times the room of their text.
-SLICE = 1 << 20
+SLICE = 3 << 20
 
 
 def byte_symbols() -> dict[str, int]:
@@ -63,6 +67,7 @@ class BytePairs:
         self.bytes_of.update({i: t.encode() for t, i in self.special.items()})
         self.special_pattern = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.pattern, self.common = regex.compile(PATTERN), regex.compile(_COMMON)
+        self.odd_space = regex.compile(r"\s (?!\S)")
         self.pre_tokenizer = pre_tokenizer
         self.automaton = ahocorasick.Automaton()
         for i, raw in self.bytes_of.items():
@@ -70,8 +75,8 @@ class BytePairs:
                 self.automaton.add_word(raw.decode("latin-1"), (i, len(raw)))
         self.automaton.make_automaton()
         self.pairs: dict[int, bool] = {}
-        self.table: dict[str, tuple[int, ...]] = {}
-        self.old_table: dict[str, tuple[int, ...]] = {}
+        self.table: dict[str, bytes] = {}  # ids as 32-bit integers
+        self.old_table: dict[str, bytes] = {}
 
     def _stands(self, token: int) -> bool:
         """Whether merging a token's own bytes gives the token."""
@@ -103,55 +108,125 @@ class BytePairs:
         known = self.pairs[left << 32 | right] = self._compatible(left, right)
         return known
 
-    def encode_piece(self, raw: bytes) -> list[int]:
-        """Ids of one piece: fill the last token of every prefix, then follow back."""
-        n = len(raw)
-        last, length, known = [-1] * (n + 1), [0] * (n + 1), self.pairs.get
-        for end, (token, size) in self.automaton.iter(raw.decode("latin-1")):
-            end += 1
-            if last[end] >= 0:
-                continue
-            if size < end:
-                before = last[end - size]
-                if before < 0:
+    def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids (32-bit integers) of pieces: fill the last token of every prefix, then follow back.
+
+        What holds for a prefix holds in every piece that begins with it, so of sorted pieces
+        each takes over what it shares with the one before.
+        """
+        known, out, previous, last, length = self.pairs.get, [], b"", [-1], [0]
+        for raw in pieces:
+            n = len(raw)
+            shared = 0
+            for x, y in zip(raw, previous):
+                if x != y:
+                    break
+                shared += 1
+            del last[shared + 1 :], length[shared + 1 :]
+            last += [-1] * (n - shared)
+            length += [0] * (n - shared)
+            for end, (token, size) in self.automaton.iter(raw.decode("latin-1")):
+                end += 1
+                if end <= shared or last[end] >= 0:
                     continue
-                fits = known(before << 32 | token)
-                if not (self._new_pair(before, token) if fits is None else fits):
-                    continue
-            last[end], length[end] = token, size
-        ids, at = [], n
-        while at:
-            if last[at] < 0:
-                raise ValueError("a byte of the text has no token")
-            ids.append(last[at])
-            at -= length[at]
-        return ids[::-1]
-
-    def _new_piece(self, piece: str) -> tuple[int, ...]:
-        ids = self.old_table.get(piece)
-        if ids is None:
-            ids = tuple(self.encode_piece(piece.encode()))
-        if len(piece) <= 64:
-            if len(self.table) >= TABLE_SIZE:
-                self.old_table, self.table = self.table, {}
-            self.table[piece] = ids
-        return ids
+                if size < end:
+                    before = last[end - size]
+                    if before < 0:
+                        continue
+                    fits = known(before << 32 | token)
+                    if not (self._new_pair(before, token) if fits is None else fits):
+                        continue
+                last[end], length[end] = token, size
+            ids, at = [], n
+            while at:
+                if last[at] < 0:
+                    raise ValueError("a byte of the text has no token")
+                ids.append(last[at])
+                at -= length[at]
+            out.append(array("i", ids[::-1]).tobytes())
+            previous = raw
+        return out
+
+    def learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of each piece, from the table or new; new ones are kept."""
+        found, unknown = {}, []
+        for piece in pieces:
+            ids = self.table.get(piece) or self.old_table.get(piece)
+            if ids is None:
+                unknown.append(piece)
+            else:
+                found[piece] = ids
+        unknown.sort()
+        for piece, ids in zip(unknown, self.encode_pieces([p.encode() for p in unknown])):
+            found[piece] = ids
+            if len(piece) <= 48:
+                if len(self.table) >= TABLE_SIZE:
+                    self.old_table, self.table = self.table, {}
+                self.table[piece] = ids
+        return found
 
     def pieces(self, text: str) -> list[str]:
         if self.pre_tokenizer is None or self.common.fullmatch(text):
             return self.pattern.findall(text)
         return [text[a:b] for _, (a, b) in self.pre_tokenizer.pre_tokenize_str(text)]
 
-    def encode(self, text: str) -> list[int]:
-        """Ids of a whole text."""
-        out = []
+    def encode_packed(self, text: str) -> bytes:
+        """Ids of a whole text as 32-bit integers."""
+        out: list[bytes] = []
         for k, part in enumerate(self.special_pattern.split(text) if self.special_pattern else [text]):
             if k % 2:
-                out.append((self.special[part],))
+                out.append(array("i", [self.special[part]]).tobytes())
             else:
-                known, new = self.table.get, self._new_piece
-                out += [known(piece) or new(piece) for piece in self.pieces(part)]
-        return list(chain.from_iterable(out))
+                pieces = self.pieces(part)
+                out += map(self.learn(set(pieces)).__getitem__, pieces)
+        return b"".join(out)
+
+    def plain(self, text: str) -> bool:
+        """Whether the text may be cut before every space."""
+        return not (self.odd_space.search(text) or self.special_pattern and self.special_pattern.search(text)) and (self.pre_tokenizer is None or self.common.fullmatch(text) is not None)
+
+    def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Offsets and ids of many texts."""
+        easy = [self.plain(t) for t in texts]
+        words = pc.split_pattern(pa.array([t for t, e in zip(texts, easy) if e], pa.large_string()), " ")
+        coded = words.flatten().dictionary_encode()
+        bounds = words.offsets.to_numpy() - words.offsets[0].as_py()
+        parts = coded.indices.to_numpy().astype(np.int64)
+        # the first part of a text has no space before it
+        firsts = coded.take(pa.array(bounds[:-1])).to_pylist()
+        chunks = [" " + word for word in coded.dictionary.to_pylist()]
+        parts[bounds[:-1]] = np.arange(len(chunks), len(chunks) + len(firsts))
+        chunks += firsts
+        packed = list(map(self.table.get, chunks))
+        cut = {k: self.pattern.findall(chunks[k]) for k, ids in enumerate(packed) if ids is None}
+        found = self.learn({piece for pieces in cut.values() for piece in pieces})
+        for k, pieces in cut.items():
+            packed[k] = b"".join(map(found.__getitem__, pieces))
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        ids = gather(np.frombuffer(b"".join(packed), np.int32), np.cumsum(sizes) - sizes, sizes, parts)
+        ends = np.r_[0, np.cumsum(sizes[parts])][bounds]
+        if not all(easy):
+            done, pieces, k = [], [], 0
+            for text, e in zip(texts, easy):
+                if e:
+                    pieces.append(ids[ends[k] : ends[k + 1]])
+                    k += 1
+                else:
+                    pieces.append(np.frombuffer(self.encode_packed(text), np.int32))
+                done.append(len(pieces[-1]))
+            ids, ends = np.concatenate(pieces), np.r_[0, np.cumsum(done)]
+        return ends, ids
+
+    def encode(self, text: str) -> list[int]:
+        """Ids of a whole text."""
+        return np.frombuffer(self.encode_packed(text), np.int32).tolist()
+
+
+def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """``values[starts[w] : starts[w] + sizes[w]]`` for each w of ``which``, one behind the other."""
+    own = sizes[which]
+    before = np.cumsum(own) - own
+    return values[np.repeat(starts[which] - before, own) + np.arange(int(own.sum()))]
 
 
 class Decoder:
@@ -161,6 +236,16 @@ class Decoder:
         data, symbols = json.loads(spec), byte_symbols()
         self.bytes_of = {i: bytes(symbols[c] for c in t) for t, i in data["model"]["vocab"].items()}
         self.bytes_of.update({t["id"]: t["content"].encode() for t in data.get("added_tokens", [])})
+        n = max(self.bytes_of) + 1
+        self.sizes = np.array([len(self.bytes_of.get(i, b"")) for i in range(n)], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.values = np.frombuffer(b"".join(self.bytes_of.get(i, b"") for i in range(n)), np.uint8)
+
+    def decode_batch(self, offsets: np.ndarray, ids: np.ndarray) -> list[str]:
+        """Texts of many lists of ids."""
+        data = gather(self.values, self.starts, self.sizes, ids).tobytes()
+        ends = np.r_[0, np.cumsum(self.sizes[ids])][offsets].tolist()
+        return [data[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:])]
 
     def decode(self, ids) -> str:
         """Text of a list of ids; bytes that aren't UTF-8 become the replacement character."""
@@ -204,11 +289,8 @@ def encode(df: DataFrame, text_col: str, path: str, ids_col: str = "ids") -> Dat
     """``df`` without ``text_col`` and with ``ids_col``: array<int>. Null is encoded as the empty text: no ids."""
 
     def ids_of(texts: pa.Array) -> pa.Array:
-        coder = load(path)
-        lists = [coder.encode(t.as_py() or "") for t in texts]
-        offsets = np.r_[0, np.cumsum([len(x) for x in lists])].astype(np.int32)
-        flat = np.fromiter(chain.from_iterable(lists), np.int32, int(offsets[-1]))
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+        offsets, ids = load(path).encode_batch([t or "" for t in texts.to_pylist()])
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
 
     others = [c for c in df.columns if c not in (text_col, ids_col)]
     return _with_column(df.select(*others, text_col), ids_col, "array<int>", ids_of)
@@ -218,9 +300,8 @@ def decode(df: DataFrame, ids_col: str, path: str, text_col: str = "decoded") ->
     """``df`` without ``ids_col`` and with ``text_col``, the text that the ids stand for. Null is decoded as no ids."""
 
     def text_of(ids: pa.Array) -> pa.Array:
-        coder = load(path, Decoder)
-        flat, offsets = ids.flatten().to_pylist(), [0, *np.cumsum([x or 0 for x in ids.value_lengths().to_pylist()]).tolist()]
-        return pa.array([coder.decode(flat[a:b]) for a, b in zip(offsets, offsets[1:])], pa.string())
+        sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+        return pa.array(load(path, Decoder).decode_batch(np.r_[0, np.cumsum(sizes)], ids.flatten().to_numpy(zero_copy_only=False)), pa.string())
 
     others = [c for c in df.columns if c not in (ids_col, text_col)]
     return _with_column(df.select(*others, ids_col), text_col, "string", text_of)
