@@ -10,7 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules() -> list:
-    return []
+    from .queries import extract, graph, search, service, streams, units
+
+    return [graph, units, search, service, extract, streams]
 
 
 def queries() -> dict[str, Query]:
