@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules() -> list:
-    from .queries import extract, graph, search, service, streams, units
+    from .queries import extract, graph, search, service, units
 
-    return [graph, units, search, service, extract, streams]
+    return [graph, units, search, service, extract]
 
 
 def queries() -> dict[str, Query]:
