@@ -71,12 +71,14 @@ def watch_state(events: DataFrame, keys: list[str], *order: str) -> DataFrame:
 def debounced(events: DataFrame, settings: Settings = DEFAULT, key: str | None = None) -> DataFrame:
     """Bursts of events: ``first_ts, last_ts, events, paths`` (ST1). Each event restarts the timer.
 
-    One timer for all events unless ``key`` names a column. The same code runs on a stream with a watermark.
+    One timer for all events - which is one task's work - unless ``key`` names a column,
+    such as the repository. The same code runs on a stream with a watermark, where a
+    session needs some key: without one it is that there is a time.
     """
     window = F.session_window("ts", f"{settings.debounce_ms} milliseconds")
-    keys = [window.alias("w"), *([F.col(key)] if key else [])]
+    keys = [window.alias("w"), F.col(key) if key else F.col("ts").isNotNull().alias("_any")]
     agg = events.groupBy(*keys).agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("events"), F.array_sort(F.collect_set("path")).alias("paths"))
-    return agg.drop("w")
+    return agg.drop("w", "_any")
 
 
 def merged_gaps(rows: DataFrame, keys: list[str], start: str, end: str, gap: int) -> DataFrame:

@@ -13,7 +13,8 @@ def scan_tree(spark: SparkSession, root: str, repo_id: int, settings: Settings =
     """``repo_id, file_path, language, size, modified, hash`` (and ``content``) of the known source files below ``root``.
 
     Paths are relative to ``root``, so its own place doesn't matter (Q14). Folders, library
-    names and sizes are decided on path and length alone, before any content is read.
+    names and sizes are decided on path and length alone, before any content is read. Files
+    without a byte hold no units, and the file source passes over them.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/")
