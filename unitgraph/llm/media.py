@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_path
+from .shared import materialize, new_path
 
 WIDTH = 576
 FILL = b"\xff"
@@ -239,6 +239,7 @@ def text_images(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     digest = F.sha2(F.concat("raw", F.expr("unhex(repeat('FF', _fill))")), 256)
     html = F.concat(F.lit("<article><p>text of "), F.col("n_bytes"), F.lit(' bytes</p><figure><img src="' + SCHEME), digest, F.lit('"><figcaption>'), F.col("n_bytes"), F.lit(" bytes</figcaption></figure></article>"))
     pages = rows.withColumn("_fill", fill).select("id", "n_bytes", html.alias("html"))
-    store = read_features(docs.sparkSession, write_store(docs.select(F.col(text_col).alias("text")), "text"))
+    # written, so that the join below stands alone and a hot digest's references can be split
+    store = materialize(read_features(docs.sparkSession, write_store(docs.select(F.col(text_col).alias("text")), "text")), "media-features")
     found = resolve(references(sequences(pages)), store)
     return found.select(F.col("id").alias(id_col), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption")
