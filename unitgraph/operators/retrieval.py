@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, TERMS, Settings
-from ..functions.columns import contains_like, falsy, inner_product, trivial_name
+from ..functions.columns import contains_like, inner_product, trivial_name
 
 
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, language: Column | None = None) -> DataFrame:
@@ -108,12 +108,3 @@ def rerank(hits: DataFrame, top: int) -> DataFrame:
     scored = hits.withColumn("rerank_score", F.round("rerank_score", 6))
     return scored.withColumn("final_place", F.row_number().over(w)).where(F.col("final_place") <= top)
 
-
-def context(hits: DataFrame) -> DataFrame:
-    """``query_id, context``: hits as numbered blocks of file, line, signature and code."""
-    block = F.concat(
-        F.lit("["), F.col("place").cast("string"), F.lit("] File: "), F.coalesce("file_path", F.lit("")), F.lit(" line "), F.coalesce(F.col("start_line").cast("string"), F.lit("")),
-        F.lit("\nSignature: "), falsy(F.col("signature"), F.coalesce("qualified_name", F.lit(""))), F.lit("\nCode:\n"), F.substring(F.trim(F.coalesce("body_text", F.lit(""))), 1, 600),
-    )
-    listed = F.array_sort(F.collect_list(F.struct("place", block.alias("block"))))
-    return hits.groupBy("query_id").agg(F.array_join(F.transform(listed, lambda x: x["block"]), "\n\n").alias("context"))

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import graph as G
+from ..operators import render
 from ..operators import rows as R
 from ..operators import service as S
 from ..plans import tables as T
+from .search import formats_sql
 
 
 def _starts(spark, d):
@@ -75,6 +77,26 @@ text AS (SELECT start_qn, string_agg(concat('[depth ', CAST(depth AS VARCHAR), '
 SELECT c.start_qn, direct, indirect, report, c.start_qn AS display FROM counts c JOIN text t ON t.start_qn = c.start_qn"""
 
 
+def impact_context(spark, d):
+    starts = _starts(spark, d)
+    units = T.graph_units(spark, d)
+    nodes = G.node_details(G.upstream(starts, T.edges(spark, d)).where("depth > 0"), units, T.edges(spark, d))
+    own = R.first_by(units, ["qualified_name"], "file_path", "start_line").withColumnRenamed("qualified_name", "start_qn").join(starts, "start_qn", "left_semi")
+    lang = F.element_at(F.array(*map(F.lit, ["en", "zh", "ja", "xx"])), (F.substring_index("start_qn", "#", -1).cast("int") % 4 + 1).cast("int"))
+    return render.impact_context(own, nodes, lang)
+
+
+def _impact_context_sql():
+    return f"""WITH {_levels(_ALL)}, {_DETAIL}, {formats_sql()}, d AS ({_DETAIL_SELECT.format(body='')}),
+h AS (SELECT s.start_qn, o.signature, o.file_path, o.start_line, f.* FROM starts s JOIN one o ON o.qualified_name = s.start_qn JOIN formats f ON f.lang = ['en', 'zh', 'ja', 'zh'][CAST(string_split(s.start_qn, '#')[-1] AS INT) % 4 + 1]),
+r AS (SELECT d.*, row_number() OVER (PARTITION BY d.start_qn, depth = 1 ORDER BY depth, d.qualified_name) AS place FROM d),
+lines AS (SELECT start_qn, 0 AS part, 0 AS place, format(f_changed, signature, file_path, CAST(start_line AS VARCHAR)) AS text FROM h
+  UNION ALL SELECT DISTINCT r.start_qn, CASE WHEN depth = 1 THEN 1 ELSE 3 END, 0, CASE WHEN depth = 1 THEN f_direct ELSE f_indirect END FROM r JOIN h ON h.start_qn = r.start_qn
+  UNION ALL SELECT r.start_qn, 2, place, format(f_direct_node, r.signature, r.file_path, CAST(r.start_line AS VARCHAR), CASE WHEN call_line > 0 THEN format(f_direct_call, CAST(call_line AS VARCHAR)) ELSE '' END) FROM r JOIN h ON h.start_qn = r.start_qn WHERE depth = 1
+  UNION ALL SELECT r.start_qn, 4, place, format(f_indirect_node, CAST(depth AS VARCHAR), r.signature, r.file_path, CAST(r.start_line AS VARCHAR), CASE WHEN call_line > 0 THEN format(f_indirect_call, CAST(call_line AS VARCHAR)) ELSE '' END) FROM r JOIN h ON h.start_qn = r.start_qn WHERE depth > 1 AND place <= 8)
+SELECT start_qn, concat(string_agg(text, chr(10) ORDER BY part, place), chr(10)) AS context FROM lines GROUP BY start_qn"""
+
+
 def reverse_adjacency(spark, d):
     a = G.reverse_adjacency(T.edges(spark, d))
     return a.select("callee", F.size("callers").cast("bigint").alias("n"), F.element_at("callers", 1).alias("first_caller"), F.element_at("callers", -1).alias("last_caller"))
@@ -131,6 +153,7 @@ QUERIES = {
     "q_impact_detail": (impact_detail, f"WITH {_levels(_ALL)}, {_DETAIL} {_DETAIL_SELECT.format(body=', coalesce(substr(o.body_text, 1, 400), {q}{q}) AS body_text')}".replace("{q}", "'")),
     "q_impact_sizes": (impact_sizes, f"WITH {_levels(_PARTS)} SELECT start_qn, depth, count(*) AS nodes FROM nodes GROUP BY start_qn, depth"),
     "q_impact_report": (impact_report, REPORT_SQL),
+    "q_impact_context": (impact_context, _impact_context_sql()),
     "q_reverse_adjacency": (reverse_adjacency, f"WITH {T.E} SELECT callee, count(DISTINCT caller) AS n, min(caller) AS first_caller, max(caller) AS last_caller FROM edges GROUP BY callee"),
     "q_callers": (callers, f"WITH {_levels(_ALL)} SELECT n.start_qn, n.qualified_name, count(DISTINCT e.caller) AS n_callers, min(e.call_line) AS first_line FROM nodes n JOIN edges e ON e.callee = n.qualified_name WHERE n.depth <= 1 GROUP BY 1, 2"),
     "q_new_frontier": (new_frontier, f"WITH {T.E}, {_ALL} SELECT DISTINCT start_qn, caller AS qualified_name FROM starts JOIN edges ON callee = start_qn WHERE caller <> start_qn"),

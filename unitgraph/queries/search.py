@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..operators import render
 from ..operators import retrieval as R
 from ..operators import rows
 from ..plans import tables as T
@@ -98,8 +99,8 @@ def _vector_hits(spark, d):
 def hybrid_merge(spark, d):
     v, k = _vector_hits(spark, d), R.keyword_hits(_summaries(spark, d), _words(spark, d))
     own = v.select("query_id", F.col("qualified_name"), "name", "rrf_score")
-    # make some of the vector hits keyword hits as well
-    also = own.where(F.pmod(F.hash("qualified_name"), F.lit(1)) == 0).where("name not like 'get%'").select("query_id", "qualified_name", "name").where(F.col("query_id") >= 5)
+    # hits of some queries come by keyword as well
+    also = own.where("query_id >= 5 and name not like 'get%'").select("query_id", "qualified_name", "name")
     kw = k.select("query_id", "qualified_name", "name").union(also)
     return R.merge_hits(own, kw).withColumn("place", F.col("place").cast("bigint"))
 
@@ -137,11 +138,20 @@ def search_context(spark, d):
     from pyspark.sql import Window
 
     placed = k.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("qualified_name")))
-    return R.context(placed)
+    lang = F.element_at(F.array(*map(F.lit, ["en", "zh", "ja", "xx"])), (F.col("query_id") % 4 + 1).cast("int"))
+    return render.search_context(placed, lang)
 
 
-CONTEXT_SQL = f"""WITH {T.U}, {_KEYWORD}, p AS (SELECT kw.query_id, row_number() OVER (PARTITION BY kw.query_id ORDER BY kw.qualified_name) AS place, u.* FROM kw JOIN units u ON u.qualified_name = kw.qualified_name)
-SELECT query_id, string_agg(concat('[', CAST(place AS VARCHAR), '] File: ', file_path, ' line ', CAST(start_line AS VARCHAR), chr(10), 'Signature: ', coalesce(nullif(signature, ''), qualified_name), chr(10), 'Code:', chr(10), substr(trim(body_text), 1, 600)), concat(chr(10), chr(10)) ORDER BY place) AS context FROM p GROUP BY query_id"""
+def formats_sql() -> str:
+    """The formats as a SQL table, with %s as DuckDB's {}."""
+    quote = lambda x: "'" + x.replace("'", "''").replace("%s", "{}") + "'"
+    rows = ", ".join("(" + ", ".join(quote(x) for x in (lang, *own.values())) + ")" for lang, own in render.FORMATS.items())
+    return f"formats(lang, {', '.join('f_' + k for k in render.KEYS)}) AS (VALUES {rows})"
+
+
+CONTEXT_SQL = f"""WITH {T.U}, {_KEYWORD}, {formats_sql()}, p AS (SELECT kw.query_id, row_number() OVER (PARTITION BY kw.query_id ORDER BY kw.qualified_name) AS place, u.* FROM kw JOIN units u ON u.qualified_name = kw.qualified_name)
+SELECT query_id, string_agg(format(f_hit, CAST(place AS VARCHAR), file_path, CAST(start_line AS VARCHAR), coalesce(nullif(signature, ''), qualified_name), substr(trim(body_text), 1, 600)), concat(chr(10), chr(10)) ORDER BY place) AS context
+FROM p JOIN formats f ON f.lang = ['en', 'zh', 'ja', 'zh'][CAST(query_id % 4 + 1 AS INT)] GROUP BY query_id"""
 
 
 def hit_union(spark, d):
@@ -155,10 +165,11 @@ HIT_SQL = f"WITH {_SCORED}, {T.U}, {_KEYWORD}, b AS (SELECT b.query_id, u.qualif
 
 def detail_overlay(spark, d):
     hits = _vector_hits(spark, d).select("query_id", "qualified_name", F.lit("").alias("file_path"), F.lit("?").alias("signature"))
-    return R.overlay(hits, T.units(spark, d).where("unit_id < 100"), "qualified_name", ["file_path", "signature"])
+    known = T.units(spark, d).join(T.table(spark, d, "labels").select(F.col("doc_id").alias("unit_id")), "unit_id", "left_semi")
+    return R.overlay(hits, known, "qualified_name", ["file_path", "signature"])
 
 
-OVERLAY_SQL = f"WITH {_SCORED}, {T.U} SELECT b.query_id, u.qualified_name, CASE WHEN unit_id < 100 THEN file_path ELSE '' END AS file_path, CASE WHEN unit_id < 100 THEN signature ELSE '?' END AS signature FROM best b JOIN units u ON u.unit_id = b.id"
+OVERLAY_SQL = f"WITH {_SCORED}, {T.U} SELECT b.query_id, u.qualified_name, CASE WHEN unit_id IN (SELECT doc_id FROM labels) THEN file_path ELSE '' END AS file_path, CASE WHEN unit_id IN (SELECT doc_id FROM labels) THEN signature ELSE '?' END AS signature FROM best b JOIN units u ON u.unit_id = b.id"
 
 
 def vector_count(spark, d):

@@ -50,11 +50,11 @@ SELECT user_id, arg_max(status, (CASE WHEN status = 'done' THEN 1 ELSE 0 END) *
 def status_lookup(spark, d):
     n = T.table(spark, d, "nation")
     repos = n.select(F.col("n_nationkey").cast("bigint").alias("repo_id"), F.element_at(F.array(F.lit("scanning"), F.lit("done"), F.lit(None).cast("string"), F.lit("error")), (F.col("n_nationkey") % 4 + 1).cast("int")).alias("scan_status"))
-    live = T.watch_events(spark, d).where("user_id % 7 = 0").groupBy(F.col("user_id").alias("repo_id")).agg(F.max_by("kind", "seq").alias("live_status"))
+    live = T.watch_events(spark, d).where("kind = 'created'").groupBy(F.col("user_id").alias("repo_id")).agg(F.max_by("kind", "seq").alias("live_status"))
     return S.status(repos, live)
 
 
-STATUS_SQL = f"""WITH {T.EV}, live AS (SELECT user_id AS repo_id, arg_max(kind, seq) AS live_status FROM ev WHERE user_id % 7 = 0 GROUP BY 1)
+STATUS_SQL = f"""WITH {T.EV}, live AS (SELECT user_id AS repo_id, arg_max(kind, seq) AS live_status FROM ev WHERE kind = 'created' GROUP BY 1)
 SELECT CAST(n_nationkey AS BIGINT) AS repo_id, coalesce(live_status, CASE n_nationkey % 4 WHEN 0 THEN 'idle' WHEN 1 THEN 'done' WHEN 3 THEN 'error' END, 'idle') AS status FROM nation LEFT JOIN live ON repo_id = n_nationkey"""
 
 
@@ -94,8 +94,9 @@ SELECT user_id, island, min(s) AS first, max(e) AS last, count(*) AS n FROM g GR
 
 
 def removed_units(spark, d):
-    old, new = T.units(spark, d).select("qualified_name"), T.units(spark, d).where("unit_id % 6 <> 0").select("qualified_name")
-    return R.removed_units(new, old, ["qualified_name"])
+    old = T.units(spark, d).select("unit_id", "qualified_name")
+    new = old.join(T.table(spark, d, "labels").select(F.col("doc_id").alias("unit_id")), "unit_id", "left_semi")
+    return R.removed_units(new, old, ["qualified_name"]).select("qualified_name")
 
 
 QUERIES = {
@@ -109,5 +110,5 @@ QUERIES = {
     "q_watch_state": (watch_state, f"WITH {T.EV} SELECT user_id, path, arg_max(kind, seq) AS kind, max(seq) AS seq FROM ev GROUP BY 1, 2"),
     "q_debounce_sessions": (debounce_sessions, DEBOUNCE_SQL),
     "q_gap_merge": (gap_merge, GAP_SQL),
-    "q_removed_units": (removed_units, f"WITH {T.U} SELECT qualified_name FROM units WHERE unit_id % 6 = 0"),
+    "q_removed_units": (removed_units, f"WITH {T.U} SELECT qualified_name FROM units WHERE unit_id NOT IN (SELECT doc_id FROM labels)"),
 }

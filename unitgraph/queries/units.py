@@ -13,14 +13,15 @@ LANGS = ["en", "fr", "de", "es"]
 
 
 def _stored(spark, d):
-    """An older state: every seventh file had another hash, every eleventh wasn't there; one file is gone since."""
-    u = T.units(spark, d).select("repo_id", "file_path", "unit_id", "hash")
-    old = u.where("unit_id % 11 <> 0").select("repo_id", "file_path", F.when(F.col("unit_id") % 7 == 0, F.md5("hash")).otherwise(F.col("hash")).alias("hash"))
+    """An older state: the files that have a label, another hash of those of low quality, and files that are gone since."""
+    labels = T.table(spark, d, "labels").select(F.col("doc_id").alias("unit_id"), "quality")
+    u = T.units(spark, d).select("repo_id", "file_path", "unit_id", "hash").join(labels, "unit_id")
+    old = u.select("repo_id", "file_path", F.when(F.col("quality") == 0, F.md5("hash")).otherwise(F.col("hash")).alias("hash"))
     gone = T.table(spark, d, "nation").select(F.col("n_regionkey").cast("int").alias("repo_id"), F.concat(F.lit("gone/"), "n_name").alias("file_path"), F.md5("n_name").alias("hash"))
     return old.union(gone)
 
 
-_STORED = f"""{T.U}, stored AS (SELECT repo_id, file_path, CASE WHEN unit_id % 7 = 0 THEN md5(hash) ELSE hash END AS hash FROM units WHERE unit_id % 11 <> 0
+_STORED = f"""{T.U}, stored AS (SELECT repo_id, file_path, CASE WHEN quality = 0 THEN md5(hash) ELSE hash END AS hash FROM units JOIN labels ON doc_id = unit_id
   UNION ALL SELECT CAST(n_regionkey AS INT), concat('gone/', n_name), md5(n_name) FROM nation)"""
 
 
@@ -125,21 +126,21 @@ def replace_by_file(spark, d):
 
 
 def cascade_delete(spark, d):
-    repos = T.table(spark, d, "nation").select(F.col("n_nationkey").alias("repo_id")).where("repo_id < 12")
+    repos = T.table(spark, d, "nation").where("n_regionkey <> 0").select(F.col("n_nationkey").alias("repo_id"))
     return R.cascade(T.units(spark, d).select("repo_id", "qualified_name"), repos, "repo_id")
 
 
 def fingerprint_changed(spark, d):
     new = T.units(spark, d).select("unit_id", "qualified_name", "signature", "body_text")
-    changed = F.when(F.col("unit_id") % 5 == 0, F.concat("body_text", F.lit("x"))).when(F.col("unit_id") % 5 == 1, F.replace("body_text", F.lit(" "), F.lit("\n  "))).otherwise(F.col("body_text"))
-    old = new.where("unit_id % 13 <> 0").withColumn("body_text", changed)
-    return R.changed_units(new, old, ["qualified_name"]).select("qualified_name", "fingerprint", "change")
+    old = new.join(T.table(spark, d, "labels").withColumnRenamed("doc_id", "unit_id"), "unit_id")
+    body = F.when(F.col("quality") == 0, F.concat("body_text", F.lit("x"))).when(F.col("toxic") == 0, F.replace("body_text", F.lit(" "), F.lit("\n  "))).otherwise(F.col("body_text"))
+    return R.changed_units(new, old.withColumn("body_text", body), ["qualified_name"]).select("qualified_name", "fingerprint", "change")
 
 
-FINGERPRINT_SQL = rf"""WITH {T.U}, f AS (SELECT qualified_name, unit_id, signature, body_text,
-  CASE WHEN unit_id % 5 = 0 THEN concat(body_text, 'x') WHEN unit_id % 5 = 1 THEN replace(body_text, ' ', concat(chr(10), '  ')) ELSE body_text END AS old_body FROM units),
-g AS (SELECT qualified_name, unit_id, md5(trim(regexp_replace(concat(signature, body_text), '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS fingerprint,
-  CASE WHEN unit_id % 13 <> 0 THEN md5(trim(regexp_replace(concat(signature, old_body), '[ \t\n\x0B\f\r]+', ' ', 'g'))) END AS old FROM f)
+FINGERPRINT_SQL = rf"""WITH {T.U}, f AS (SELECT qualified_name, signature, body_text, doc_id IS NULL AS fresh,
+  CASE WHEN quality = 0 THEN concat(body_text, 'x') WHEN toxic = 0 THEN replace(body_text, ' ', concat(chr(10), '  ')) ELSE body_text END AS old_body FROM units LEFT JOIN labels ON doc_id = unit_id),
+g AS (SELECT qualified_name, md5(trim(regexp_replace(concat(signature, body_text), '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS fingerprint,
+  CASE WHEN NOT fresh THEN md5(trim(regexp_replace(concat(signature, old_body), '[ \t\n\x0B\f\r]+', ' ', 'g'))) END AS old FROM f)
 SELECT qualified_name, fingerprint, CASE WHEN old IS NULL THEN 'new' ELSE 'modified' END AS change FROM g WHERE old IS NULL OR old <> fingerprint"""
 
 
@@ -198,7 +199,7 @@ QUERIES = {
     "q_dedup_first": (dedup_first, f"WITH {_RAW} SELECT caller, callee, call_line, ordinal FROM raw QUALIFY row_number() OVER (PARTITION BY caller, callee ORDER BY ordinal, call_line) = 1"),
     "q_dedup_last": (dedup_last, f"WITH {_RAW} SELECT caller, callee, call_line, ordinal FROM raw QUALIFY row_number() OVER (PARTITION BY caller, callee ORDER BY ordinal DESC, call_line DESC) = 1"),
     "q_replace_by_file": (replace_by_file, f"WITH {_STORED}, files AS (SELECT u.repo_id, u.file_path FROM units u WHERE NOT EXISTS (SELECT 1 FROM stored s WHERE s.repo_id = u.repo_id AND s.file_path = u.file_path AND s.hash = u.hash)) SELECT repo_id, file_path, qualified_name, CAST(end_line + CASE WHEN (repo_id, file_path) IN (SELECT (repo_id, file_path) FROM files) THEN 1 ELSE 0 END AS INT) AS end_line FROM units"),
-    "q_cascade_delete": (cascade_delete, f"WITH {T.U} SELECT repo_id, qualified_name FROM units WHERE repo_id IN (SELECT n_nationkey FROM nation WHERE n_nationkey < 12)"),
+    "q_cascade_delete": (cascade_delete, f"WITH {T.U} SELECT repo_id, qualified_name FROM units WHERE repo_id IN (SELECT n_nationkey FROM nation WHERE n_regionkey <> 0)"),
     "q_fingerprint_changed": (fingerprint_changed, FINGERPRINT_SQL),
     "q_point_id": (point_id, f"WITH {T.U} SELECT unit_id, md5(concat_ws('::', CAST(repo_id AS VARCHAR), qualified_name)) AS point_id FROM units"),
     "q_method_autocomplete": (method_autocomplete, "SELECT p_partkey, p_name AS name, p_brand FROM part WHERE lower(p_name) LIKE '%widget%' OR lower(p_brand) LIKE '%#1_%' ORDER BY p_name, p_partkey LIMIT 20"),
