@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions.columns import callee_patterns, short_name, slashes
+from ..plans.lineage import cut
 from .rows import first_by
 
 
@@ -27,9 +28,11 @@ def upstream(starts: DataFrame, edges: DataFrame, settings: Settings = DEFAULT)
 
     Level by level, depth ``max_depth`` at most; of each start at most ``max_nodes``
     nodes, itself included, are kept: those of a level in order of their name (Q4).
-    The levels are unrolled joins; a start never gathers more than ``max_nodes`` rows
-    behind its rank, because the rank's limit is applied before the shuffle.
+    A start never gathers more than ``max_nodes`` rows behind its rank, because the rank's
+    limit is applied before the shuffle. Each level is computed once, when it is called
+    for, and kept: the next level reads it four times.
     """
+    edges = cut(edges.select("caller", "callee").distinct())
     visited = starts.select("start_qn", F.col("start_qn").alias("qualified_name"), F.lit(0).alias("depth")).distinct()
     frontier = visited
     by_name = Window.partitionBy("start_qn").orderBy("qualified_name")
@@ -37,7 +40,7 @@ def upstream(starts: DataFrame, edges: DataFrame, settings: Settings = DEFAULT)
         fresh = next_frontier(frontier, edges, visited, settings)
         ranked = fresh.withColumn("_rank", F.row_number().over(by_name)).where(F.col("_rank") <= settings.max_nodes)
         room = visited.groupBy("start_qn").agg((F.lit(settings.max_nodes) - F.count("*")).alias("_room"))
-        frontier = ranked.join(room, "start_qn").where(F.col("_rank") <= F.col("_room")).select("start_qn", "qualified_name", F.lit(depth).alias("depth"))
+        frontier = cut(ranked.join(room, "start_qn").where(F.col("_rank") <= F.col("_room")).select("start_qn", "qualified_name", F.lit(depth).alias("depth")))
         visited = visited.unionByName(frontier)
     return visited
 
