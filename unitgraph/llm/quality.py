@@ -70,22 +70,23 @@ class Model:
 
 def _descent(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, floor: float, cost: np.ndarray, epochs: int, seed: int) -> tuple[np.ndarray, float]:
     """Dual coordinate descent for the L1-loss machine with a bias feature of 1; returns weights of unscaled rows, bias."""
-    values = [ratio[x] for x in rows]
-    lengths = [float(np.sqrt((v * v).sum() + floor)) or 1.0 for v in values]
-    values = [(v / n).astype(np.float64) for v, n in zip(values, lengths)]
-    diagonal = np.array([float(v @ v) + 1.0 for v in values])
+    # scaled rows are made when they are needed: only bucket numbers are held
+    squares = np.array([float((ratio[x] ** 2).sum()) for x in rows])
+    scale = 1 / np.sqrt(np.where(squares + floor > 0, squares + floor, 1.0))
+    diagonal = squares * scale**2 + 1.0
     w, bias, alpha, rng = np.zeros(SIZE), 0.0, np.zeros(len(rows)), np.random.default_rng(seed)
     for _ in range(epochs):
         worst = 0.0
         for i in rng.permutation(len(rows)):
-            gradient = y[i] * (float(w[rows[i]] @ values[i]) + bias) - 1.0
+            values = ratio[rows[i]] * scale[i]
+            gradient = y[i] * (float(w[rows[i]] @ values) + bias) - 1.0
             projected = min(gradient, 0.0) if alpha[i] == 0 else max(gradient, 0.0) if alpha[i] == cost[i] else gradient
             worst = max(worst, abs(projected))
             if projected:
                 old = alpha[i]
                 alpha[i] = min(max(old - gradient / diagonal[i], 0.0), cost[i])
                 step = (alpha[i] - old) * y[i]
-                w[rows[i]] += step * values[i]
+                w[rows[i]] += step * values
                 bias += step
         if worst < 1e-3:
             break
@@ -141,7 +142,7 @@ def held_out(id_col):
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 8000, **options) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 5000, **options) -> Model:
     """Fit on the at most ``sample_rows`` labelled rows with the smallest hash of their id, of those not held out.
 
     Ids labelled both 0 and 1 count as 0; null ids, null labels and labels other than
