@@ -17,7 +17,7 @@ def test_one_page():
     assert H.main_text(PAGE.replace("{n}", "7")) == TEXT.replace("{n}", "7")
 
 
-@pytest.mark.parametrize("page, text", [("", ""), (None, ""), ("just text", "just text"), ("<p>unclosed <b>x", "unclosed x"), ("<div>a &lt; b</div><div>c</div>", "a < b\nc"), ("<p>x<script>never closed", "x"), ("<nav><p>only a menu</p></nav>", ""), ("a < b > c", "a < b > c"), ('<p title="a>b">quoted</p>', "quoted"), ('<p title="odd>broken</p>', "broken"), ("</div></p>stray", "stray"), ("<article><header><h1>Head</h1></header><p>Body of it.</p></article>", "Head\nBody of it.")])
+@pytest.mark.parametrize("page, text", [("", ""), (None, ""), ("just text", "just text"), ("<p>unclosed <b>x", "unclosed x"), ("<div>a &lt; b</div><div>c</div>", "a < b\nc"), ("<p>x<script>never closed", "x"), ("<nav><p>only a menu</p></nav>", ""), ("a < b > c", "a < b > c"), ('<p title="a>b">quoted</p>', "quoted"), ('<p title="odd>broken</p>', "broken"), ("</div></p>stray", "stray"), ("<article><header><h1>Head</h1></header><p>Body of it.</p></article>", "Head\nBody of it."), ("<div class='site-header'><p>Our site</p></div><p>Text of the page.</p>", "Text of the page."), ("<div class='entry'><div class='entry-header'><h2>Head</h2></div><p>Text of the page.</p></div>", "Head\nText of the page.")])
 def test_odd_pages(page, text):
     assert H.main_text(page) == text
 

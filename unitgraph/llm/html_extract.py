@@ -48,7 +48,7 @@ _SCOPES = frozenset("ul ol dl table article section main div body html blockquot
 
 
 class Page:
-    """A page's elements and text blocks. ``nodes``: (path, first block, end, boilerplate, tag bonus)."""
+    """A page's elements - path, first block and the one behind the last, bonus, parent - and its text blocks."""
 
     def __init__(self, html: str):
         self.paths: list[str] = ["html"]
@@ -57,6 +57,7 @@ class Page:
         self.bonus: list[float] = [1.0]
         self.blocks: list[tuple[str, int, int, int]] = []  # text, container, innermost boilerplate element or -1, characters in links
         self.parent: list[int] = [-1]
+        self.article: list[bool] = [False]  # whether an element is an article or inside one
         self._read(html)
 
     def _read(self, html: str) -> None:
@@ -159,9 +160,10 @@ class Page:
             if tag in ("body", "html", "main", "article"):
                 shut = False
             elif names and not shut:
-                shut = not BOILERPLATE_NAMES.isdisjoint(names)
+                # a block named header is a page's, unless it is named after an article or inside one
+                shut = not BOILERPLATE_NAMES.isdisjoint(names) or "header" in names and ARTICLE_NAMES.isdisjoint(names) and not self._in_article(stack[-1][1])
             node, boiler = stack[-1][1], stack[-1][2]
-            if tag == "header" and "article" not in (t for t, _, _ in stack) and "main" not in (t for t, _, _ in stack):
+            if tag == "header" and not self._in_article(stack[-1][1]):
                 shut = True
             if tag in CONTAINER or shut:
                 path = self.paths[node]
@@ -172,12 +174,17 @@ class Page:
                 self.paths.append(path)
                 self.first.append(len(blocks))
                 self.end.append(-1)
-                self.bonus.append(1.5 if tag in ("article", "main") or not ARTICLE_NAMES.isdisjoint(names) else 1.0)
+                named = tag in ("article", "main") or tag != "body" and not ARTICLE_NAMES.isdisjoint(names)
+                self.bonus.append(1.5 if named else 1.0)
+                self.article.append(named or self.article[self.parent[-1]])
             stack.append((tag, node, node if shut else boiler))
         flush()
         close(1)
         self.end[0] = len(blocks)
 
+    def _in_article(self, node: int) -> bool:
+        return self.article[node]
+
     def scores(self) -> dict[int, float]:
         """Score of each container that has any."""
         found: dict[int, float] = {}
