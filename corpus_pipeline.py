@@ -24,7 +24,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that came before; ``n_chars`` follows the text."""
-    out = line_dedup.clean(docs, min_words=5, similarity=0.8)
+    out = line_dedup.clean(docs, min_words=5, similarity=0.8, method="shingles")
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

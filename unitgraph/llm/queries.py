@@ -55,7 +55,7 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents"), min_words=5, similarity=0.8)
+    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents"), min_words=5, similarity=0.8, method="shingles")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
