@@ -51,3 +51,16 @@ def test_long_page():
     many = "<article>" + "".join(f"<p>Paragraph number {i} &amp; so on.</p>" for i in range(20000)) + "</article>"
     assert H.main_text(many).count("\n") == 19999
     assert H.main_text("<div>" * 50000 + "deep text" + "</div>" * 50000) == "deep text"
+
+
+@pytest.mark.parametrize("wrapper", ["<form id='aspnetForm'>", "<div class='content-sidebar-wrap'>", "<div class='has-sidebar content'>", "<div class='page-with-menu'>", "<aside>", "<form class='page'><div class='content-sidebar-wrap'>"])
+@pytest.mark.parametrize("inner", ["<article>{}</article>", "<main>{}</main>", "<div class='x'>{}</div>"])
+def test_article_in_a_wrapper_named_as_boilerplate(wrapper, inner):
+    article = "<h1>Title</h1><p>A paragraph of the article, long enough to be the text.</p><form><p>Mail</p></form><div id='comments'><p>A remark.</p></div>"
+    page = f"<body><nav><p>A menu that is as long as the text itself, or longer than it.</p></nav>{wrapper}{inner.format(article)}<div class='sidebar'><p>Side text.</p></div></body>"
+    assert H.main_text(page) == "Title\nA paragraph of the article, long enough to be the text."
+
+
+def test_text_only_in_boilerplate():
+    assert H.main_text("<nav><p>Menu</p></nav><div class='notice'><p>The only text.</p></div>") == "The only text."
+    assert H.main_text("<p>Short.</p><div class='comments'><article class='comment'><p>A very long remark, longer than the page.</p></article></div>") == "Short."

@@ -36,6 +36,12 @@ BOILERPLATE_NAMES = frozenset(
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 ARTICLE_NAMES = frozenset("article body content entry main post story text".split())
 
+#: Boilerplate that never holds an article, whatever its size.
+CLOSED_TAGS = frozenset("nav footer head menu header".split())
+CLOSED_NAMES = frozenset("ad ads adv advert adverts advertisement advertising comment comments consent cookie cookies disqus gdpr promo promotion related replies respond".split())
+#: Names of wrappers: with these in it, a name like content-sidebar-wrap is not that of a sidebar.
+WRAPPER_NAMES = ARTICLE_NAMES | frozenset("container has layout page wrap wrapper with".split())
+
 LONGEST_PATH = 1000
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""", re.S)
@@ -58,7 +64,10 @@ class Page:
         self.blocks: list[tuple[str, int, int, int]] = []  # text, container, innermost boilerplate element or -1, characters in links
         self.parent: list[int] = [-1]
         self.article: list[bool] = [False]  # whether an element is an article or inside one
+        self.shut: dict[int, tuple[int, int]] = {}  # boilerplate element: the one around it or -1, 0 closed, 1 open if all is shut, 2 open if it holds the article
+        self.articles: list[tuple[int, int]] = []  # article and main elements, innermost boilerplate
         self._read(html)
+        self._reopen()
 
     def _read(self, html: str) -> None:
         stack: list[tuple[str, int, int]] = [("html", 0, -1)]  # tag, node (own or that of the container), innermost boilerplate
@@ -142,6 +151,7 @@ class Page:
                 continue
             names: list[str] = []
             shut = tag in BOILERPLATE_TAGS
+            closed = tag in CLOSED_TAGS
             classes: list[str] = []
             attrs = m[3] or m[6]
             if attrs and len(attrs) > 4:
@@ -149,10 +159,13 @@ class Page:
                     key, value = key.lower(), values[0] or values[1] or values[2]
                     if key == "role":
                         shut |= value.lower() in BOILERPLATE_ROLES
+                        closed |= value.lower() in BOILERPLATE_ROLES - {"form", "dialog", "complementary"}
                     elif key == "style":
-                        shut |= "display:none" in value.replace(" ", "").lower()
+                        hidden = "display:none" in value.replace(" ", "").lower()
+                        shut, closed = shut | hidden, closed | hidden
                     elif key == "hidden":
-                        shut |= " hidden" in attrs.lower()
+                        hidden = " hidden" in attrs.lower()
+                        shut, closed = shut | hidden, closed | hidden
                     else:
                         names += [x.lower() for x in _NAME_PARTS.findall(value)]
                         if key == "class":
@@ -177,11 +190,46 @@ class Page:
                 named = tag in ("article", "main") or tag != "body" and not ARTICLE_NAMES.isdisjoint(names)
                 self.bonus.append(1.5 if named else 1.0)
                 self.article.append(named or self.article[self.parent[-1]])
+                if tag in ("article", "main") and CLOSED_NAMES.isdisjoint(names):
+                    self.articles.append((node, boiler))
+                if shut:
+                    wraps = tag in ("form", "aside", "dialog") and (BOILERPLATE_NAMES - {tag}).isdisjoint(names) or not WRAPPER_NAMES.isdisjoint(names)
+                    self.shut[node] = boiler, 0 if closed or not CLOSED_NAMES.isdisjoint(names) else 1 + wraps
             stack.append((tag, node, node if shut else boiler))
         flush()
         close(1)
         self.end[0] = len(blocks)
 
+    def _reopen(self) -> None:
+        """Open boilerplate elements that hold the article: a form around the page, a wrapper named after its sidebar.
+
+        They hold most of the text that isn't in menus and the like, or the page's only
+        article or main elements. If all text is shut, everything not closed for good is opened.
+        """
+        if not self.shut:
+            return
+        closed = {-1: False}
+        for node, (outer, kind) in self.shut.items():
+            closed[node] = closed[outer] or kind == 0
+        sums = [0]
+        for text, _, boiler, linked in self.blocks:
+            sums.append(sums[-1] + (0 if closed[boiler] else len(text) - linked))
+        held = lambda node: sums[self.end[node]] - sums[self.first[node]]
+        outside = any(boiler < 0 and held(node) for node, boiler in self.articles)
+        holders = set()
+        for node, boiler in () if outside else self.articles:
+            while boiler >= 0 and held(node):
+                holders.add(boiler)
+                boiler = self.shut[boiler][0]
+        inner = {-1: -1}
+        for everything in (False, True):
+            for node, (outer, kind) in self.shut.items():
+                opened = not closed[node] and (everything or kind == 2 and (node in holders or 2 * held(node) > sums[-1]))
+                inner[node] = inner[outer] if opened else node
+            if not sums[-1] or any(inner[boiler] < 0 and len(text) > linked for text, _, boiler, linked in self.blocks):
+                break
+        self.blocks = [(text, node, inner[boiler], linked) for text, node, boiler, linked in self.blocks]
+
     def _in_article(self, node: int) -> bool:
         return self.article[node]
 
