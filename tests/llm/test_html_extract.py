@@ -64,3 +64,15 @@ def test_article_in_a_wrapper_named_as_boilerplate(wrapper, inner):
 def test_text_only_in_boilerplate():
     assert H.main_text("<nav><p>Menu</p></nav><div class='notice'><p>The only text.</p></div>") == "The only text."
     assert H.main_text("<p>Short.</p><div class='comments'><article class='comment'><p>A very long remark, longer than the page.</p></article></div>") == "Short."
+
+
+SECTION = "<section{}><h2>Part</h2><p>A long paragraph of this section, as articles have them, and then some more.</p></section>"
+
+
+@pytest.mark.parametrize("page", ["<article><h1>Title</h1><p>Lead.</p>{}</article>", "<main><h1>Title</h1><p>Lead.</p>{}</main>", "<div class='x'><h1>Title</h1><p>Lead.</p>{}</div>"])
+@pytest.mark.parametrize("inner", [SECTION.format("") * 3, SECTION.format("").replace("section>", "div>") * 3, "<div class='row'>" + SECTION.format("") * 2 + "</div><div class='row'>" + SECTION.format("") * 2 + "</div>"])
+def test_title_and_lead_beside_sections(page, inner):
+    want = "Title\nLead." + "\nPart\nA long paragraph of this section, as articles have them, and then some more." * inner.count("Part")
+    html = "<body><nav><p>Menu</p></nav>" + page.format(inner) + "<footer>Foot</footer></body>"
+    assert H.main_text(html) == want
+    assert H.main_text(html, [p for p, _ in sorted(H.votes(html), key=lambda x: -x[1])][:3]) == want

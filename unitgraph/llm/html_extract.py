@@ -13,6 +13,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -254,11 +255,26 @@ class Page:
         inside = self.blocks[self.first[node] : self.end[node]]
         return "\n".join(b for b, _, boiler, _ in inside if boiler <= node)
 
+    def _whole(self, nodes: list[int]) -> list[int]:
+        """The article elements around containers; of containers side by side, which are parts of one text, their parent."""
+        articles = {node for node, _ in self.articles}
+        around: list[int] = [-1]
+        for node in range(1, len(self.paths)):
+            tag = self.paths[node].rpartition("/")[2].partition(".")[0]
+            around.append(node if node in articles and tag == "article" else around[self.parent[node]])
+        nodes = [node if around[node] < 0 else around[node] for node in nodes if self.text(node)]
+        while True:
+            found = sorted(set(nodes))
+            count = Counter(self.parent[node] for node in found)
+            nodes = [self.parent[node] if self.parent[node] >= 0 and count[self.parent[node]] > 1 else node for node in found]
+            if nodes == found:
+                return found
+
     def at_path(self, path: str) -> str:
-        """Text of all containers at a path, in page order."""
+        """Text of all containers at a path, in page order, each with what stands around it (:meth:`_whole`)."""
         parts, done = [], 0
-        for node, own in enumerate(self.paths):
-            if own == path and self.first[node] >= done:
+        for node in self._whole([k for k, own in enumerate(self.paths) if own == path]):
+            if self.first[node] >= done:
                 parts.append(self.text(node))
                 done = max(done, self.end[node])
         return "\n".join(p for p in parts if p)
