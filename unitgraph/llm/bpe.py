@@ -2,8 +2,8 @@
 
 For a string there is, for every prefix, exactly one token that can be the last of
 the prefix's encoding. It is found left to right: of the vocabulary's tokens that
-end at the prefix's end (read off a suffix automaton over the vocabulary, which
-walks its suffix links), the one that may follow the last token of the prefix before
+end at the prefix's end (read off an Aho-Corasick automaton over the vocabulary, which
+stands in for the method's suffix automaton and finds the same tokens), the one that may follow the last token of the prefix before
 it. Two tokens may stand side by side if merging the bytes of both gives back just
 these two; that test walks down the two merge trees and asks whether a merge across
 the border would have come first. The unique last token of each prefix is stored,
