@@ -104,3 +104,11 @@ def test_near_duplicates_edges(spark):
     kept = simhash.keep_one(df)
     assert kept.columns == df.columns
     assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 3, 7, 11]
+
+
+def test_keep_one_by_row(spark):
+    """Two texts of one id: the near copy of another document goes, the other text stays."""
+    copy, own = " ".join(f"word{i}" for i in range(100)), " ".join(f"other{i}" for i in range(100))
+    df = spark.createDataFrame([(1, copy), (2, copy), (2, own), (2, own), (None, copy)], "doc_id bigint, text string")
+    kept = sorted(((r.doc_id or -1, r.text) for r in simhash.keep_one(df).collect()))
+    assert kept == [(-1, copy), (1, copy), (2, own)]

@@ -259,12 +259,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, max_diff: int = 4) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates, that of the smallest id; rows with a null id stay.
 
-    Of repeated rows with one id, the one with the smallest text by code point stays.
+    Rows are told apart by id and row hash: different texts of one id stand for
+    themselves, of near copies with one id that of the smallest hash stays, of equal rows one.
     """
-    groups = near_duplicates(docs, id_col, text_col, words, max_diff)
-    gone = groups.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    rest = docs.join(gone, id_col, "left_anti")
+    hashed = [c for c, t in docs.dtypes if "map<" not in t and t != "variant"]
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(*hashed).alias("row"))
+    rows = docs.withColumn("__key", key)
+    groups = near_duplicates(rows, "__key", text_col, words, max_diff)
+    gone = groups.where((F.col("__key") != F.col("component_id")) & ~F.col("__key.none")).select(F.col("__key.id").alias("__id"), F.col("__key.row").alias("__gone")).distinct()
+    rest = rows.withColumn("__row", F.col("__key.row")).join(gone, (F.col("__row") == F.col("__gone")) & (F.col(id_col) == F.col("__id")), "left_anti")
     named, unnamed = rest.where(F.col(id_col).isNotNull()), rest.where(F.col(id_col).isNull())
     others = [c for c in docs.columns if c != id_col]
-    first = named.groupBy(id_col).agg(F.min_by(F.struct(*others), F.struct(F.col(text_col), F.xxhash64(*others))).alias("_row"))
-    return first.select(id_col, "_row.*").select(*docs.columns).union(unnamed)
+    first = named.groupBy(id_col, "__row").agg(F.first(F.struct(*others)).alias("_row"))
+    return first.select(id_col, "_row.*").select(*docs.columns).union(unnamed.select(*docs.columns))
