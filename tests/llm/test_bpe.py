@@ -76,3 +76,44 @@ def test_digests(spark, library):
         want.append((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     assert got == sorted(want, key=str)
     assert bpe.digests(df.limit(0), PATH).count() == 0
+
+
+@given(st.lists(st.text(alphabet="ab é\n1.'", max_size=120), max_size=6), st.integers(1, 40))
+@settings(max_examples=300, deadline=None)
+def test_parts_of_long_texts(texts, most):
+    coder = bpe.load(PATH)
+    joined, ids = [""] * len(texts), [[] for _ in texts]
+    for numbers, group in bpe.parts(texts, most):
+        for k, part in zip(numbers, group):
+            joined[k] += part
+            ids[k] += coder.encode(part)
+    assert joined == texts and ids == [coder.encode(t) for t in texts]
+
+
+@given(st.lists(st.binary(min_size=1, max_size=6).map(lambda b: bytes(x % 3 for x in b)), min_size=1, max_size=12, unique=True), st.binary(max_size=30).map(lambda b: bytes(x % 4 for x in b)))
+@settings(max_examples=300, deadline=None)
+def test_suffix_automaton(words, text):
+    """Walking a text gives the words that end at each place, longest first."""
+    machine = bpe.SuffixAutomaton(dict(enumerate(words)))
+    state, length = 0, 0
+    for end in range(1, len(text) + 1):
+        while (to := machine.step.get(state << 8 | text[end - 1])) is None and state:
+            state = machine.link[state]
+            length = machine.length[state]
+        state, length = (0, 0) if to is None else (to, length + 1)
+        at, found = state if machine.word[state] >= 0 and machine.length[state] == length else machine.shorter[state], []
+        while at >= 0:
+            found.append(words[machine.word[at]])
+            at = machine.shorter[at]
+        assert found == sorted((w for w in words if text[:end].endswith(w)), key=len, reverse=True)
+
+
+def test_tables_stay_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "TABLE_BYTES", 20_000)
+    monkeypatch.setattr(bpe, "PAIRS", 50)
+    with open(PATH, encoding="utf-8") as f:
+        coder = bpe.BytePairs(f.read())
+    texts = [" ".join(f"w{i}x{i * i}" for i in range(at, at + 300)) for at in range(0, 3000, 300)]
+    for text in texts:
+        assert coder.encode_batch([text])[1].tolist() == bpe.load(PATH).encode(text)
+    assert len(coder.table) + len(coder.old_table) < 400 and len(coder.pairs) <= 50

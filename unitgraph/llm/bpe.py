@@ -1,27 +1,32 @@
 """Byte-pair encoding by dynamic programming over prefixes, and decoding.
 
 For a string there is, for every prefix, exactly one token that can be the last of
-the prefix's encoding. It is found left to right: of the vocabulary's tokens that
-end at the prefix's end (read off an Aho-Corasick automaton over the vocabulary, which
-stands in for the method's suffix automaton and finds the same tokens), the one that may follow the last token of the prefix before
-it. Two tokens may stand side by side if merging the bytes of both gives back just
-these two; that test walks down the two merge trees and asks whether a merge across
-the border would have come first. The unique last token of each prefix is stored,
-and following the stored tokens back from the end gives the ids.
+the prefix's encoding. It is found left to right: a suffix automaton over the vocabulary
+gives the tokens that end at the prefix's end, longest first, and the one that may follow
+the last token of the prefix before it is stored. Two tokens may stand side by side if
+merging the bytes of both gives back just these two; that test walks down the two merge
+trees and asks whether a merge across the border would have come first. Following the
+stored tokens back from the end gives the ids.
 
 The text is first cut as the vocabulary file says: special tokens, then the byte-level
 pattern. A piece of that pattern holds a space inside only in a run of white space, so
 other texts are cut before every space first, the different parts of a batch of texts are
 found by Arrow, and only these are cut by the pattern and looked up in a bounded table
-of encodings.
+of encodings. A long text is worked through in parts of about ``SLICE``
+characters for the same reason.
+
+Memory: parts of ``SLICE``, tables of ``TABLE_BYTES`` for each of two generations, the
+automaton (about 40 MB for 50,000 tokens), and one piece of the pattern.
 """
 
 from __future__ import annotations
 
+import codecs
+import hashlib
 import json
 from array import array
+from collections.abc import Iterator
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -30,12 +35,74 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Where a long text may be cut: no version of the character tables takes a letter or a number for white space.
+_CUT = regex.compile(r"(?<=[\p{L}\p{N}]) (?=[\p{L}\p{N}])")
 #: Where all versions of the character tables agree on letters, numbers and spaces; other texts are cut by the library.
 _COMMON = r"[\u0000-ԯ‐-⁰₠-₰ぁ-ゖァ-ヺ一-龥가-힣]*"
-#: Pieces and pairs kept: as many again of the generation before.
-TABLE_SIZE = 300_000
-#: Input bytes handled at once: lists of ids take many times the room of their text.
-SLICE = 3 << 20
+#: Bytes that a generation of the table of pieces takes; there are two.
+TABLE_BYTES = 24 << 20
+#: Pairs of tokens remembered, at about 100 bytes each.
+PAIRS = 100_000
+#: Characters handled at once: lists of ids take many times the room of their text.
+SLICE = 1 << 20
+
+
+class SuffixAutomaton:
+    """All substrings of a set of words, as states; a word is the longest string of its state.
+
+    ``step[state << 8 | byte]`` is the next state, ``link`` the state of the longest suffix
+    that stands in other places too, ``word`` the number of the word that a state is, or -1,
+    and ``shorter`` the next state along the links that is a word, or -1.
+    """
+
+    def __init__(self, words: dict[int, bytes]):
+        self.step: dict[int, int] = {}
+        self.link, self.length = array("i", [-1]), array("i", [0])
+        labels = [b""]  # the bytes that lead on from each state
+        word = {}
+        for number, raw in words.items():
+            state = 0
+            for byte in raw:
+                state = self._extend(state, byte, labels)
+            word[state] = number
+        self.word = array("i", [-1]) * len(self.link)
+        for state, number in word.items():
+            self.word[state] = number
+        self.shorter = array("i", [-1]) * len(self.link)
+        for state in sorted(range(1, len(self.link)), key=self.length.__getitem__):
+            above = self.link[state]
+            self.shorter[state] = above if self.word[above] >= 0 else self.shorter[above]
+
+    def _add(self, length: int, link: int, leads: bytes, labels: list[bytes]) -> int:
+        self.length.append(length)
+        self.link.append(link)
+        labels.append(leads)
+        return len(labels) - 1
+
+    def _split(self, state: int, old: int, byte: int, labels: list[bytes]) -> int:
+        """Take the strings that end in ``state`` + ``byte``, and their suffixes, out of ``old`` into a state of their own."""
+        made = self._add(self.length[state] + 1, self.link[old], labels[old], labels)
+        for b in labels[old]:
+            self.step[made << 8 | b] = self.step[old << 8 | b]
+        self.link[old] = made
+        while state >= 0 and self.step.get(state << 8 | byte) == old:
+            self.step[state << 8 | byte] = made
+            state = self.link[state]
+        return made
+
+    def _extend(self, state: int, byte: int, labels: list[bytes]) -> int:
+        """The state of the word so far with one more byte."""
+        old = self.step.get(state << 8 | byte)
+        if old is not None:
+            return old if self.length[old] == self.length[state] + 1 else self._split(state, old, byte, labels)
+        made = self._add(self.length[state] + 1, 0, b"", labels)
+        while state >= 0 and (old := self.step.get(state << 8 | byte)) is None:
+            self.step[state << 8 | byte] = made
+            labels[state] += bytes((byte,))
+            state = self.link[state]
+        if state >= 0:
+            self.link[made] = old if self.length[old] == self.length[state] + 1 else self._split(state, old, byte, labels)
+        return made
 
 
 def byte_symbols() -> dict[str, int]:
@@ -56,54 +123,52 @@ class BytePairs:
         vocab = data["model"]["vocab"]
         merges = [m.split(" ") if isinstance(m, str) else m for m in data["model"]["merges"]]
         self.bytes_of = {i: as_bytes(t) for t, i in vocab.items()}
-        #: merged pair -> (rank, id); id -> (rank, left, right) for tokens that a merge makes
-        self.merge: dict[tuple[int, int], int] = {}
-        self.parts: dict[int, tuple[int, int, int]] = {}
+        #: left << 32 | right -> rank; for each token that a merge makes its rank, left and right
+        self.merge: dict[int, int] = {}
+        size = max(vocab.values()) + 1
+        self.rank, self.left, self.right = array("i", [-1]) * size, array("i", [-1]) * size, array("i", [-1]) * size
         for rank, (a, b) in enumerate(merges):
             left, right, whole = vocab[a], vocab[b], vocab[a + b]
-            self.merge[left, right] = rank
-            self.parts.setdefault(whole, (rank, left, right))
+            self.merge[left << 32 | right] = rank
+            if self.rank[whole] < 0:
+                self.rank[whole], self.left[whole], self.right[whole] = rank, left, right
         self.special = {t["content"]: t["id"] for t in data.get("added_tokens", [])}
         self.bytes_of.update({i: t.encode() for t, i in self.special.items()})
         self.special_pattern = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
+        self.spaced_specials = any(" " in t for t in self.special)
         self.pattern, self.common = regex.compile(PATTERN), regex.compile(_COMMON)
         self.odd_space = regex.compile(r"\s (?!\S)")
         self.pre_tokenizer = pre_tokenizer
-        self.automaton = ahocorasick.Automaton()
-        for i, raw in self.bytes_of.items():
-            if i not in self.special.values() and self._stands(i):
-                self.automaton.add_word(raw.decode("latin-1"), (i, len(raw)))
-        self.automaton.make_automaton()
+        self.automaton = SuffixAutomaton({i: self.bytes_of[i] for i in sorted(vocab.values()) if self._stands(i)})
         self.pairs: dict[int, bool] = {}
         self.table: dict[str, bytes] = {}  # ids as 32-bit integers
         self.old_table: dict[str, bytes] = {}
+        self.table_bytes = 0
 
     def _stands(self, token: int) -> bool:
         """Whether merging a token's own bytes gives the token."""
-        if token not in self.parts:
+        if self.rank[token] < 0:
             return len(self.bytes_of[token]) == 1
-        _, left, right = self.parts[token]
-        return self._compatible(left, right, self.parts[token][0])
+        return self._compatible(self.left[token], self.right[token], self.rank[token])
 
     def _compatible(self, left: int, right: int, below: float = float("inf")) -> bool:
         """Whether no merge across the border of two tokens comes before those that make them (and before ``below``)."""
         while True:
-            rank = self.merge.get((left, right))
+            rank = self.merge.get(left << 32 | right)
             if rank is not None and rank < below:
                 return False
-            made_l, made_r = self.parts.get(left), self.parts.get(right)
-            rank_l, rank_r = made_l[0] if made_l else -1, made_r[0] if made_r else -1
+            rank_l, rank_r = self.rank[left], self.rank[right]
             if rank_l < 0 and rank_r < 0:
                 return True
             # undo the later of the two merges; at equal rank the left one was made first
             if rank_l > rank_r:
-                below, left = rank_l, made_l[2]
+                below, left = rank_l, self.right[left]
             else:
-                below, right = rank_r + 1, made_r[1]
+                below, right = rank_r + 1, self.left[right]
                 # a pair across the border of the same rank as the right token's merge stands further left, so it goes first
 
     def _new_pair(self, left: int, right: int) -> bool:
-        if len(self.pairs) >= 2 * TABLE_SIZE:
+        if len(self.pairs) >= PAIRS:
             self.pairs.clear()
         known = self.pairs[left << 32 | right] = self._compatible(left, right)
         return known
@@ -114,36 +179,46 @@ class BytePairs:
         What holds for a prefix holds in every piece that begins with it, so of sorted pieces
         each takes over what it shares with the one before.
         """
-        known, out, previous, last, length = self.pairs.get, [], b"", [-1], [0]
+        step, link, longest, word, shorter = self.automaton.step.get, self.automaton.link, self.automaton.length, self.automaton.word, self.automaton.shorter
+        known, out, previous = self.pairs.get, [], b""
+        # for each prefix: its last token, and the automaton's state and matched length
+        last, states, matched = array("i", [-1]), array("i", [0]), array("i", [0])
         for raw in pieces:
-            n = len(raw)
             shared = 0
             for x, y in zip(raw, previous):
                 if x != y:
                     break
                 shared += 1
-            del last[shared + 1 :], length[shared + 1 :]
-            last += [-1] * (n - shared)
-            length += [0] * (n - shared)
-            for end, (token, size) in self.automaton.iter(raw.decode("latin-1")):
-                end += 1
-                if end <= shared or last[end] >= 0:
-                    continue
-                if size < end:
+            del last[shared + 1 :], states[shared + 1 :], matched[shared + 1 :]
+            state, length = states[shared], matched[shared]
+            for end in range(shared + 1, len(raw) + 1):
+                byte = raw[end - 1]
+                while (to := step(state << 8 | byte)) is None and state:
+                    state = link[state]
+                    length = longest[state]
+                state, length = (0, 0) if to is None else (to, length + 1)
+                token, at = -1, state if word[state] >= 0 and longest[state] == length else shorter[state]
+                while at >= 0:
+                    token, size = word[at], longest[at]
+                    if size == end:
+                        break
                     before = last[end - size]
-                    if before < 0:
-                        continue
-                    fits = known(before << 32 | token)
-                    if not (self._new_pair(before, token) if fits is None else fits):
-                        continue
-                last[end], length[end] = token, size
-            ids, at = [], n
+                    if before >= 0:
+                        fits = known(before << 32 | token)
+                        if self._new_pair(before, token) if fits is None else fits:
+                            break
+                    token, at = -1, shorter[at]
+                last.append(token)
+                states.append(state)
+                matched.append(length)
+            ids, at = array("i"), len(raw)
             while at:
                 if last[at] < 0:
                     raise ValueError("a byte of the text has no token")
                 ids.append(last[at])
-                at -= length[at]
-            out.append(array("i", ids[::-1]).tobytes())
+                at -= len(self.bytes_of[last[at]])
+            ids.reverse()
+            out.append(ids.tobytes())
             previous = raw
         return out
 
@@ -160,9 +235,10 @@ class BytePairs:
         for piece, ids in zip(unknown, self.encode_pieces([p.encode() for p in unknown])):
             found[piece] = ids
             if len(piece) <= 48:
-                if len(self.table) >= TABLE_SIZE:
-                    self.old_table, self.table = self.table, {}
+                if self.table_bytes > TABLE_BYTES:
+                    self.old_table, self.table, self.table_bytes = self.table, {}, 0
                 self.table[piece] = ids
+                self.table_bytes += 150 + len(piece) + len(ids)  # both objects and their place
         return found
 
     def pieces(self, text: str) -> list[str]:
@@ -307,10 +383,76 @@ def decode(df: DataFrame, ids_col: str, path: str, text_col: str = "decoded") ->
     return _with_column(df.select(*others, ids_col), text_col, "string", text_of)
 
 
+def parts(texts: list[str], most: int = SLICE) -> Iterator[tuple[list[int], list[str]]]:
+    """The texts in groups of about ``most`` characters: the numbers of the texts in a group, and what it holds of each.
+
+    A text longer than ``most`` is cut before a space that stands between letters or
+    numbers: a piece of the pattern begins there, whatever comes before.
+    """
+    numbers, group, held = [], [], 0
+    for k, text in enumerate(texts):
+        at = 0
+        while True:
+            end = len(text)
+            if end - at > most:
+                cut = _CUT.search(text, at + max(1, most // 2))
+                end = cut.start() if cut else end
+            numbers.append(k)
+            group.append(text[at:end])
+            held += end - at
+            at = end
+            if held >= most:
+                yield numbers, group
+                numbers, group, held = [], [], 0
+            if at >= len(text):
+                break
+    if group:
+        yield numbers, group
+
+
+class Digests:
+    """Digests of the encodings of texts, and of what these decode to; a long text is held in parts."""
+
+    def __init__(self, path: str):
+        self.coder, self.decoder = load(path), load(path, Decoder)
+        shown = [f",{i}".encode() for i in range(len(self.decoder.sizes))]
+        self.sizes = np.array([len(x) for x in shown], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.values = np.frombuffer(b"".join(shown), np.uint8)
+
+    def of(self, texts: list[str]) -> list[tuple[int, str, str]]:
+        """Number of ids, SHA-256 of the ids and of the decoded text, for each text."""
+        counts = [0] * len(texts)
+        hashes = [(hashlib.sha256(), hashlib.sha256()) for _ in texts]
+        whole = self.coder.spaced_specials  # no text may be cut at a space then
+        for numbers, group in [(list(range(len(texts))), texts)] if whole else parts(texts):
+            offsets, ids = self.coder.encode_batch(group)
+            digits = memoryview(gather(self.values, self.starts, self.sizes, ids))
+            ends = np.r_[0, np.cumsum(self.sizes[ids])][offsets].tolist()
+            decoded = self.decoder.decode_batch(offsets, ids)
+            for j, (k, text, n) in enumerate(zip(numbers, decoded, np.diff(offsets).tolist())):
+                hashes[k][0].update(digits[ends[j] + (counts[k] == 0 and n > 0) : ends[j + 1]])  # no comma before a text's first id
+                hashes[k][1].update(text.encode())
+                counts[k] += n
+        return [(n, a.hexdigest(), b.hexdigest()) for n, (a, b) in zip(counts, hashes)]
+
+
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, n_tokens, ids_sha256, decoded_sha256`` for every row of ``docs``, null ids and repeated rows included."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    encoded = encode(rows, "text", path).select(
-        "id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), "ids"
-    )
-    return decode(encoded, "ids", path).select(F.col("id").alias(id_col), "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    """``id, n_tokens, ids_sha256, decoded_sha256`` for every row of ``docs``, null ids and repeated rows included.
+
+    A null text is the empty text. Ids and decoded texts stay in the Arrow pass that makes
+    them: only digests leave it. Other columns are ignored.
+    """
+
+    def run(batches):
+        made = _LOADED.get((path, Digests)) or _LOADED.setdefault((path, Digests), Digests(path))
+        for whole in batches:
+            rows = max(1, whole.num_rows * SLICE // max(1, whole.nbytes))
+            for at in range(0, whole.num_rows, rows):
+                batch = whole.slice(at, rows)
+                n, ids, decoded = zip(*made.of([t or "" for t in batch.column(1).to_pylist()]))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return found.withColumnRenamed("id", id_col)
