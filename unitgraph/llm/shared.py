@@ -11,7 +11,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _ROOTS: dict[str, str] = {}
@@ -69,6 +69,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(write_table(df, name))
 
 
+def new_names(df: DataFrame, n: int) -> list[str]:
+    """``n`` column names that ``df`` doesn't have (names differ by more than case)."""
+    taken = {c.lower() for c in df.columns}
+    free = (name for k in range(len(taken) + n) if (name := f"own_{k}") not in taken)
+    return [next(free) for _ in range(n)]
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns that Spark can hash."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and kind != "variant"])
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components by alternating large-star and small-star rounds.
 
