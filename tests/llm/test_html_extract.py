@@ -76,3 +76,36 @@ def test_title_and_lead_beside_sections(page, inner):
     html = "<body><nav><p>Menu</p></nav>" + page.format(inner) + "<footer>Foot</footer></body>"
     assert H.main_text(html) == want
     assert H.main_text(html, [p for p, _ in sorted(H.votes(html), key=lambda x: -x[1])][:3]) == want
+
+
+ARTICLE = "".join(f"<p>This is paragraph {i} of the only article of this page, with words enough to count.</p>" for i in range(6))
+
+
+@pytest.mark.parametrize("name", ["content no-sidebar", "post has-comments", "content related-off", "search-results-page content", "layout with-widget", "content-sidebar-wrap"])
+def test_wrappers_named_after_boilerplate(name):
+    text = H.main_text(f"<body><div class='menu'><a href=/>Home</a></div><div class='{name}'>{ARTICLE}</div><div class='footer'>Foot</div></body>")
+    assert text.count("paragraph") == 6 and "Foot" not in text and "Home" not in text
+
+
+@pytest.mark.parametrize("start", ["<option>one", "<button>Go", "<select><option>a<option>b</select><button>x</button>", "<svg>", "<form><button>x"])
+def test_unclosed_elements_leave_the_article(start):
+    assert H.main_text(f"<body>{start}<div>{ARTICLE}</div></body>").count("paragraph") == 6
+
+
+@pytest.mark.parametrize("part", ["<option>", "<a b='", "<svg>", "<title>", "<!-- ", "<button>"])
+def test_time_is_linear(part):
+    import time
+
+    began = time.time()
+    H.main_text(part * 20000)
+    assert time.time() - began < 2
+
+
+@pytest.mark.parametrize("depth", [10, 20, 40, 80])
+def test_paths_stay_apart_however_long(depth):
+    deep = "".join(f"<div class='{'a' * 60}'>" for _ in range(depth))
+    remark = "<p>A remark of a reader that is long enough to be mistaken for article text by anyone.</p>"
+    page = f"<body>{deep}<div class='x'>{ARTICLE}</div><div class='y'>{remark * 2}</div></body>"
+    paths = H.Page(page).paths
+    assert len(set(paths)) == len(paths) and max(map(len, paths)) < H.LONGEST_PATH + 200
+    assert "remark" not in H.main_text(page) and H.main_text(page).count("paragraph") == 6

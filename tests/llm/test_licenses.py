@@ -88,3 +88,35 @@ def test_edges(spark):
     size = len(L.words(mit))
     assert got == sorted([(3, "MIT", 1.0, 0), (3, "MIT", 1.0, 0), (3, "MIT", 1.0, size), (0, "MIT-short", 1.0, 100000), (5, "CC-BY-NC-4.0-short", 1.0, 0)])
     assert L.scan_licenses(df.limit(0)).count() == 0
+
+
+def plain_lcs(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1]
+
+
+@given(words, words)
+@settings(max_examples=300, deadline=None)
+def test_common_subsequence(a, b):
+    pairs = L._common_subsequence(a, b)
+    assert len(pairs) == plain_lcs(a, b) and all(a[i] == b[j] for i, j in pairs)
+    assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+
+
+def test_repeated_words_of_any_number():
+    """A list that differs in its first and last word only, of words that all repeat, on both sides of 4,096 cells."""
+    for n in (20, 60, 64, 65, 70, 200):
+        inner = [f"w{i % 8}" for i in range(n)]
+        assert len(L.align(["first", *inner, "last"], ["other", *inner, "end"])) == n
+        shifted = ["first", *inner[: n // 2], "x", *inner[n // 2 :], "last"]
+        assert len(L.align(shifted, ["other", *inner, "end"])) >= n - 8
+
+
+def test_template_of_repeated_words():
+    body = " ".join(f"w{i % 8}" for i in range(160))
+    template = L.Template("loop", f"begin {body} finish")
+    found = L.scan(f"some words before {body} and some behind", [template])
+    assert [m.license for m in found] == ["loop"] and found[0].matched >= 0.8 * 162

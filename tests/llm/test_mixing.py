@@ -70,3 +70,13 @@ def test_empty(spark):
     assert mixing.mix(df).count() == 0
     blank = spark.createDataFrame([(1, None, None), (2, "", "s")], df.schema)
     assert [(r.size, r.taken, r.target) for r in mixing.mix_report(blank).collect()] == [(0, 0, 0.0)] * 2
+
+
+def test_clashing_names(spark):
+    names = ["_row", "_copies", "_rows", "_again", "own_0", "own_1", "id", "row", "size", "copies", "sid", "a.b"]
+    df = spark.createDataFrame([(i, "some words here", "ab"[i % 2], *range(len(names))) for i in range(6)] + [(9, "twice", "a", *range(len(names)))] * 2, ["doc_id", "text", "source", *names])
+    out = mixing.mix(df)
+    assert out.columns == df.columns
+    rows = [tuple(r) for r in out.collect()]
+    assert rows and {r[3:] for r in rows} == {tuple(range(len(names)))}
+    assert mixing.mix_report(df).count() == 8

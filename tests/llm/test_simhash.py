@@ -112,3 +112,10 @@ def test_keep_one_by_row(spark):
     df = spark.createDataFrame([(1, copy), (2, copy), (2, own), (2, own), (None, copy)], "doc_id bigint, text string")
     kept = sorted(((r.doc_id or -1, r.text) for r in simhash.keep_one(df).collect()))
     assert kept == [(-1, copy), (1, copy), (2, own)]
+
+
+def test_keep_one_with_clashing_names(spark):
+    names = ["__key", "__gone", "__row", "__id", "_row", "own_0", "own_1", "id", "fp", "component_id", "fingerprint", "a.b"]
+    df = spark.createDataFrame([(i, "the same words in every row", *range(len(names))) for i in range(3)], ["doc_id", "text", *names])
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns and [tuple(r) for r in kept.collect()] == [(0, "the same words in every row", *range(len(names)))]

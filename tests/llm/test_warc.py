@@ -63,3 +63,17 @@ def test_rolling_and_payloads(spark):
     back = warc.read_archives(spark, manifest)
     assert back.count() == 50
     assert back.join(rows, "page_id").where(back.payload == rows.payload).count() == 50
+
+
+def test_a_header_may_be_long(spark):
+    url = "http://a.example/" + "x" * 1_300_000
+    made = [warc.record(1, url, b"one", None), warc.record(2, "u", b"two", None)]
+    assert [(r["target_uri"], r["payload"]) for r in warc.read_records(archive(*made))] == [(url, b"one"), ("u", b"two")]
+    rows = spark.createDataFrame([(1, url, "<p>x"), (2, "http://b/", "<p>x")], "page_id long, url string, html string")
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in warc.round_trip(rows).collect()) == [(1, "response", None), (2, "revisit", 1)]
+
+
+def test_folders_without_a_scheme(spark, tmp_path):
+    from unitgraph.llm.shared import qualified
+
+    assert qualified(spark, str(tmp_path)) == f"file://{tmp_path}" == qualified(spark, f"file://{tmp_path}") == qualified(spark, f"file:{tmp_path}")

@@ -124,6 +124,7 @@ def search(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
     for r in indexed.groupBy("cell").count().collect():  # at most k * k rows
         sizes[r["cell"]] = r["count"]
     total = sum(sizes)
+    block_rows = min(block_rows, max(256, total // 64))  # small tables in many blocks too: only the layout differs
     first, parts, filled, block = [0] * index.cells, [1] * index.cells, 0, 0
     for cell, n in enumerate(sizes):
         if n > block_rows:  # a large cell: blocks of its own

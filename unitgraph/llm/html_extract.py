@@ -12,6 +12,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from html import unescape
@@ -41,7 +42,10 @@ ARTICLE_NAMES = frozenset("article body content entry main post story text".spli
 CLOSED_TAGS = frozenset("nav footer head menu header".split())
 CLOSED_NAMES = frozenset("ad ads adv advert adverts advertisement advertising comment comments consent cookie cookies disqus gdpr promo promotion related replies respond".split())
 #: Names of wrappers: with these in it, a name like content-sidebar-wrap is not that of a sidebar.
-WRAPPER_NAMES = ARTICLE_NAMES | frozenset("container has layout page wrap wrapper with".split())
+WRAPPER_NAMES = ARTICLE_NAMES | frozenset("container layout page wrap wrapper".split())
+
+#: A name with one of these says what an element has or lacks, not what it is: has-comments, no-sidebar, related-off.
+MODIFIERS = frozenset("has no with without off none disabled enabled".split())
 
 LONGEST_PATH = 1000
 
@@ -51,6 +55,8 @@ _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _GENERATED = re.compile(r"[0-9]+|(?<=[-_])[0-9a-f]{6,}\b")
 #: A start tag of a key ends an open element of its values.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tr", "td", "th", "tbody", "thead"}, "tfoot": {"tr", "td", "th", "tbody", "thead"}}
+#: What ends an element whose end tag may be left out: any tag, or a tag that can't stand in a button.
+_ENDS = {"option": r"</option\b[^>]*>|(?=</?[a-z])", "button": r"</button\b[^>]*>|(?=<(?:button|article|main|section|p|h[1-6]|ul|ol|table|form|body)\b)|(?=</(?:div|p|li|td|form|nav|header|article|main|section|body)\b)"}
 _SCOPES = frozenset("ul ol dl table article section main div body html blockquote".split())
 
 
@@ -93,10 +99,12 @@ class Page:
                     self.end[node] = len(blocks)
 
         search = _TOKEN.search
+        last = html.rfind(">")  # no tag begins behind it
+        endless: set[str] = set()  # elements that no end tag follows any more
         while at < n:
-            m = search(html, at)
+            m = search(html, at) if at < last else None
             if m is None:
-                text.append(html[at:])
+                text.append(html[at:].partition("<!--")[0])
                 break
             start = m.start()
             if start > at:
@@ -119,8 +127,10 @@ class Page:
                             break
                 continue
             if tag in RAW:
-                stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(html, at)
                 if not m[0].endswith("/>"):
+                    stop = None if tag in endless else re.compile(_ENDS.get(tag) or rf"</{tag}\b[^>]*>?", re.I).search(html, at)
+                    if stop is None:
+                        endless.add(tag)
                     at = stop.end() if stop else n if tag in ("script", "style") else at
                 text.append(" ")
                 continue
@@ -168,7 +178,9 @@ class Page:
                         hidden = " hidden" in attrs.lower()
                         shut, closed = shut | hidden, closed | hidden
                     else:
-                        names += [x.lower() for x in _NAME_PARTS.findall(value)]
+                        for name in value.split():
+                            parts = [x.lower() for x in _NAME_PARTS.findall(name)]
+                            names += parts if MODIFIERS.isdisjoint(parts) else ()
                         if key == "class":
                             classes += [_GENERATED.sub("#", c) for c in value.split()]
             if tag in ("body", "html", "main", "article"):
@@ -181,8 +193,9 @@ class Page:
                 shut = True
             if tag in CONTAINER or shut:
                 path = self.paths[node]
-                if len(path) < LONGEST_PATH:  # deeper elements go by the path above them
-                    path += "/" + tag + "".join("." + c for c in sorted(set(classes)))
+                if len(path) > LONGEST_PATH:  # a digest stands for a long way down: paths stay short and apart
+                    path = "#" + hashlib.md5(path.encode("utf-8", "replace")).hexdigest()
+                path += "/" + tag + "".join("." + c for c in sorted(set(classes)))
                 self.parent.append(node)
                 node = len(self.paths)
                 self.paths.append(path)

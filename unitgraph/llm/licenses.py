@@ -3,8 +3,8 @@
 A template and a stretch of text are aligned on the words that occur exactly once in
 each: of these, a longest run in the same order (a longest increasing subsequence) are
 the anchors, and the gaps between anchors are aligned the same way, with words that
-are unique within the gap. A gap without anchors is finished by its common ends and,
-if it is small, by a longest common subsequence. Coverage is the share of the
+are unique within the gap. A gap without anchors is finished by its common ends and
+a longest common subsequence, found in linear space. Coverage is the share of the
 template's words that found a partner.
 
 Where to align: a stretch that covers ``threshold`` of a template must hold one of its
@@ -20,12 +20,12 @@ import re
 from collections import Counter
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W_]+")
-SMALL = 4096
 
 #: Public license notices and short grants.
 TEMPLATES = {
@@ -73,22 +73,31 @@ def anchors(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return chain[::-1]
 
 
+def _row(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of ``a`` and every prefix of ``b``."""
+    best = np.zeros(len(b) + 1, np.int64)
+    for x in a:
+        best[1:] = np.maximum.accumulate(np.maximum(best[1:], best[:-1] + (b == x)))
+    return best
+
+
 def _common_subsequence(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < n and j < m:
-        if a[i] == b[j]:
-            out.append((i, j))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            i += 1
-        else:
-            j += 1
-    return out
+    """Places of a longest common subsequence: halve ``a``, find where ``b`` must be cut for it, go on with both halves."""
+    numbers: dict[str, int] = {}
+    x, y = (np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int64) for words in (a, b))
+    out, todo = [], [(0, len(x), 0, len(y))]
+    while todo:
+        i, i2, j, j2 = todo.pop()
+        if i == i2 or j == j2:
+            continue
+        if i2 - i == 1:
+            found = np.flatnonzero(y[j:j2] == x[i])
+            out += [(i, j + int(found[0]))] if len(found) else []
+            continue
+        middle = (i + i2) // 2
+        cut = j + int(np.argmax(_row(x[i:middle], y[j:j2]) + _row(x[middle:i2][::-1], y[j:j2][::-1])[::-1]))
+        todo += [(i, middle, j, cut), (middle, i2, cut, j2)]
+    return sorted(out)
 
 
 def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
@@ -107,8 +116,7 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
             continue
         found = anchors(a[i:i2], b[j:j2])
         if not found:
-            if (i2 - i) * (j2 - j) <= SMALL:
-                out += [(i + x, j + y) for x, y in _common_subsequence(a[i:i2], b[j:j2])]
+            out += [(i + x, j + y) for x, y in _common_subsequence(a[i:i2], b[j:j2])]
             continue
         x, y = i, j
         for p, q in found:
@@ -164,7 +172,7 @@ def scan_words(tokens: list[str], template: Template, places: dict[str, list[int
     """All matches of one template, from left to right, none overlapping the one before."""
     size = len(template.tokens)
     reach, widest = size // 2 + 8, size * 5 // 4 + 2
-    hits = sorted((p, s) for w, at in template.seeds.items() for p in places.get(w, ()) for s in at[:1] + at[1:][-1:])
+    hits = sorted((p, s) for w, at in template.seeds.items() for p in places.get(w, ()) for s in at)
     out, done, tried = [], 0, (-1, -1)
     for p, s in hits:
         if p < done:

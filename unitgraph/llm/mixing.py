@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import materialize, new_names, row_hash
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -33,7 +33,8 @@ def source_targets(sizes: DataFrame, weights=(3, 1, 2), share: float = 1.5, most
     Sources in code point order (null last) get the weights in turn. Targets are in
     proportion to the weights, stop at ``most`` times the source's size, and the excess
     goes to the others by weight until none is above (water filling, in closed form:
-    sources sorted by cap / weight, the level is the largest that fits).
+    sources sorted by cap / weight, the level is the largest that fits). One row a source
+    passes through one task: thousands of sources are fine, a source a document isn't.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     named = sizes.withColumn("sid", F.row_number().over(by_name)).withColumn(
@@ -106,8 +107,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     First: ``id, row, ord, size, copies, sid`` - ``row`` is a hash of the row, ``ord``
     numbers rows that are equal. Second: see :func:`source_targets`.
     """
-    hashed = [c for c, t in docs.dtypes if "map<" not in t and t != "variant"]
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(*hashed).alias("row"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    rows = docs.select(F.col(id_col).alias("id"), row_hash(docs).alias("row"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
     id_type = docs.schema[id_col].dataType.simpleString()
     grouped = materialize(rows.groupBy("id", "row", "source", "size").count(), "mix-rows")
     sizes = grouped.groupBy("source").agg(F.sum(F.col("size") * F.col("count")).alias("source_size"), F.sum(F.when(F.col("size") > 0, F.col("count")).otherwise(0)).alias("items"))
@@ -167,10 +167,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """``docs`` with each row as often as the mix takes it, 0 to ``most`` times; same columns.
 
     Equal rows stand for one another: together they come as often as the mix takes them in all.
+    Rows without words (null and empty texts) are never taken. A null source is a source of
+    its own; null ids are ids like others; an empty table stays empty. Columns of ``docs``
+    may have any names.
     """
     mixed, _ = plan(docs, id_col, text_col, source_col, **options)
-    hashed = [c for c, t in docs.dtypes if "map<" not in t and t != "variant"]
-    totals = mixed.groupBy("row").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0")
-    kept = docs.withColumn("_row", F.xxhash64(*hashed)).join(totals.withColumnRenamed("row", "_row"), "_row")
-    once = kept.where("_rows = 1").union(kept.where("_rows > 1").dropDuplicates(["_row"]))
-    return once.withColumn("_again", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))).select(*docs.columns)
+    own, copies, rows, again = new_names(docs, 4)
+    totals = mixed.groupBy(F.col("row").alias(own)).agg(F.sum("copies").alias(copies), F.count("*").alias(rows)).where(F.col(copies) > 0)
+    kept = docs.withColumn(own, row_hash(docs)).join(totals, own)
+    once = kept.where(F.col(rows) == 1).union(kept.where(F.col(rows) > 1).dropDuplicates([own]))
+    return once.withColumn(again, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(copies)))).select(*[F.col(f"`{c}`") for c in docs.columns])

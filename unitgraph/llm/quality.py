@@ -10,6 +10,7 @@ descent didn't see. The model is two arrays of ``SIZE`` numbers, whatever the da
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,12 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import new_names
+
 BUCKETS = 1 << 18
 MAX_N = 4
 #: Behind the hashed buckets: a word comes 2, 3, ... REPEATS + 1 times in a row.
 REPEATS = 8
 SIZE = BUCKETS + REPEATS
 BLOCK = 1 << 20
+_SPACE = re.compile(rb"\s")
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 
 
@@ -37,11 +41,17 @@ def features(text: bytes, seen: np.ndarray) -> np.ndarray:
             h = (h[: len(part) - n] ^ (part[n:] + np.uint32(1))) * _MULTIPLIERS[n]
             h ^= h >> np.uint32(15)
             seen[(h * np.uint32(0x2C1B3C6D)) >> np.uint32(14)] = 1
-        for word in text[at : at + BLOCK].split():
+    at = 0
+    while at < len(text):
+        # a block ends before white space, so that no word is cut
+        stop = _SPACE.search(text, at + BLOCK)
+        end = stop.start() if stop else len(text)
+        for word in text[at:end].split():
             run = run + 1 if word == before else 0
             before = word
             if run > longest:
                 longest = run
+        at = end
     seen[BUCKETS : BUCKETS + min(longest, REPEATS)] = 1
     found = np.flatnonzero(seen)
     seen[found] = 0
@@ -170,17 +180,18 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
     """``docs`` with ``score_col`` (0 to 1) added or replaced. Null texts are scored as empty ones."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # 2 MB, whatever the data
     kept = [c for c in docs.columns if c != score_col]
-    kinds = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in kept) + f", `{score_col}` double"
+    # numbered names in the Arrow pass, which doesn't take any name
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], F.col(text_col).cast("binary").alias("text"))
+    kinds = [*rows.dtypes[:-1], ("score", "double")]
 
     def run(batches):
         seen, own = np.zeros(SIZE, np.uint8), held.value
         for batch in batches:
             n = batch.num_columns - 1
             scores = [own.score(features(t.as_py() or b"", seen)) for t in batch.column(n)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(scores, pa.float64())], [*kept, score_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(scores, pa.float64())], [name for name, _ in kinds])
 
-    return docs.select(*kept, F.col(text_col).cast("binary").alias("_bytes")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, ", ".join(f"{name} {kind}" for name, kind in kinds)).toDF(*kept, score_col)
 
 
 def predictions(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, **options) -> DataFrame:
@@ -192,6 +203,10 @@ def predictions(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, **options) -> DataFrame:
-    """Rows of ``docs`` that score at least ``threshold``; same columns."""
+    """Rows of ``docs`` that score at least ``threshold``; same columns, whatever their names.
+
+    Null texts are scored as empty ones; null ids and repeated rows are rows like others.
+    """
     model = train(docs, labels, id_col, text_col, **options)
-    return score(docs, model, text_col, "_score").where(F.col("_score") >= threshold).select(*docs.columns)
+    (own,) = new_names(docs, 1)
+    return score(docs, model, text_col, own).where(F.col(own) >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])

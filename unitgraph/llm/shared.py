@@ -22,12 +22,19 @@ def shared_root(spark: SparkSession) -> str:
     """This application's folder below ``spark.checkpoint.dir``; a temporary one only where that is unset."""
     app = spark.sparkContext.applicationId
     if app not in _ROOTS:
-        base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="unitgraph-")
+        base = qualified(spark, spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="unitgraph-"))
         _ROOTS[app] = f"{base.rstrip('/')}/unitgraph-{app}"
         atexit.register(_forget, spark, _ROOTS[app])
     return _ROOTS[app]
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """A folder with the scheme of its file system, as all readers understand it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return "file://" + whole.removeprefix("file:") if whole.startswith("file:/") and not whole.startswith("file://") else whole
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 

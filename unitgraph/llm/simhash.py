@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, materialize
+from .shared import components, materialize, new_names, row_hash
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 SEED = 42
@@ -262,13 +262,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     Rows are told apart by id and row hash: different texts of one id stand for
     themselves, of near copies with one id that of the smallest hash stays, of equal rows one.
     """
-    hashed = [c for c, t in docs.dtypes if "map<" not in t and t != "variant"]
-    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(*hashed).alias("row"))
-    rows = docs.withColumn("__key", key)
-    groups = near_duplicates(rows, "__key", text_col, words, max_diff)
-    gone = groups.where((F.col("__key") != F.col("component_id")) & ~F.col("__key.none")).select(F.col("__key.id").alias("__id"), F.col("__key.row").alias("__gone")).distinct()
-    rest = rows.withColumn("__row", F.col("__key.row")).join(gone, (F.col("__row") == F.col("__gone")) & (F.col(id_col) == F.col("__id")), "left_anti")
+    mine, theirs, other, row, whole = new_names(docs, 5)
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), row_hash(docs).alias("row"))
+    rows = docs.withColumn(mine, key)
+    groups = near_duplicates(rows, mine, text_col, words, max_diff)
+    gone = groups.where((F.col(mine) != F.col("component_id")) & ~F.col(f"{mine}.none")).select(F.col(f"{mine}.id").alias(theirs), F.col(f"{mine}.row").alias(other)).distinct()
+    rest = rows.withColumn(row, F.col(f"{mine}.row")).join(gone, (F.col(row) == F.col(other)) & (F.col(id_col) == F.col(theirs)), "left_anti")
     named, unnamed = rest.where(F.col(id_col).isNotNull()), rest.where(F.col(id_col).isNull())
-    others = [c for c in docs.columns if c != id_col]
-    first = named.groupBy(id_col, "__row").agg(F.first(F.struct(*others)).alias("_row"))
-    return first.select(id_col, "_row.*").select(*docs.columns).union(unnamed.select(*docs.columns))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    first = named.groupBy(id_col, row).agg(F.first(F.struct(*columns)).alias(whole))
+    return first.select(f"{whole}.*").union(unnamed.select(*columns))

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialize, new_path
+from .shared import materialize, new_path, qualified
 
 CHUNK = 1 << 16
 DATE = "2024-01-01T00:00:00Z"
@@ -117,9 +117,12 @@ class Members:
                 return True
         return False
 
-    def until(self, end: bytes, most: int = 1 << 20) -> bytes:
-        while (at := self.ready.find(end)) < 0:
-            if len(self.ready) > most or not self._more():
+    def until(self, end: bytes) -> bytes:
+        """All up to ``end``, however long: a header is as long as the longest URL."""
+        looked = 0
+        while (at := self.ready.find(end, looked)) < 0:
+            looked = max(0, len(self.ready) - len(end) + 1)
+            if not self._more():
                 raise ValueError("a header has no end")
         out = bytes(self.ready[:at])
         del self.ready[: at + len(end)]
@@ -196,7 +199,11 @@ def classify(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
 
 
 def write_archives(rows: DataFrame, folder: str, roll_bytes: int = 32 << 20, level: int = 4) -> DataFrame:
-    """Write ``page_id, url, payload, refers_to`` rows to ``folder`` (a URI of the shared store); returns ``archive, records, bytes``."""
+    """Write ``page_id, url, payload, refers_to`` rows to ``folder`` (a URI of the shared store); returns ``archive, records, bytes``.
+
+    A folder without a scheme is one of Spark's default file system.
+    """
+    folder = qualified(rows.sparkSession, folder)
 
     def run(batches):
         store, root = pafs.FileSystem.from_uri(folder)
