@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 from ..config import DEFAULT, Settings
-from .lexer import Token, camel, lex, line_at, matching, unit
+from .lexer import Lines, Token, camel, lex, matching, unit
 
+#: Words of the language that no call is named by.
 KEYWORDS = frozenset("if for while switch catch function return typeof await new delete void in of do else with super import yield case throw".split())
 #: Before a function that is a statement of its own.
 _STATEMENT = frozenset("; { } ) async export default".split())
@@ -62,12 +65,13 @@ def parse(source: str, settings: Settings = DEFAULT) -> list[dict]:
     tokens = [t for t in everything if t.kind != "comment"]
     units: list[dict] = []
     seen: set[str] = set()
+    lines, ends = Lines(source), [c.end for c in comments]
 
     def comment_before(start: int) -> str:
-        before = [c for c in comments if c.end <= start]
-        if not before or source[before[-1].end : start].strip():
+        k = bisect_right(ends, start) - 1
+        if k < 0 or source[ends[k] : start].strip():
             return ""
-        return before[-1].text.lstrip("/").lstrip("*").strip()
+        return comments[k].text.lstrip("/").lstrip("*").strip()
 
     def add(name: str, parent: str, head: list[Token], shown: str, body: list[Token], first: Token, last: Token) -> None:
         qualified = f"{parent}.{name}" if parent else name
@@ -90,7 +94,7 @@ def parse(source: str, settings: Settings = DEFAULT) -> list[dict]:
         units.append(
             unit(
                 language="javascript", unit_type="function", qualified_name=unique, name=name, class_name=parent, signature=f"function {name}{shown}", start_line=first.line,
-                end_line=line_at(source, last.end - 1), body_text=source[body[0].start : body[-1].end][: settings.body_chars] if body else "", calls=found, comment=comment_before(first.start), param_names=names, summary=text,
+                end_line=lines.at(last.end - 1), body_text=source[body[0].start : body[-1].end][: settings.body_chars] if body else "", calls=found, comment=comment_before(first.start), param_names=names, summary=text,
             )
         )
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 
 _TOKEN = re.compile(
@@ -31,15 +32,13 @@ class Token:
 def lex(source: str, script: bool = False) -> list[Token]:
     """Tokens with comments; ``script``: tell regular expressions from divisions."""
     out: list[Token] = []
-    at, line, counted, before = 0, 1, 0, ""
+    at, before, lines = 0, "", Lines(source)
     while m := _TOKEN.search(source, at):
         if script and m[0] == "/" and (before in _BEFORE_REGEX or not before) and (r := _REGEX.match(source, m.start())):
             kind, text, end = "string", r[0], r.end()
         else:
             kind, text, end = m.lastgroup, m[0], m.end()
-        line += source.count("\n", counted, m.start())
-        counted = m.start()
-        out.append(Token(kind, text, m.start(), end, line))
+        out.append(Token(kind, text, m.start(), end, lines.at(m.start())))
         at = end
         if kind != "comment":
             before = text
@@ -61,21 +60,14 @@ def matching(tokens: list[Token], at: int) -> int:
     return -1
 
 
-def line_at(source: str, offset: int) -> int:
-    return source.count("\n", 0, offset) + 1
+class Lines:
+    """Line numbers of offsets, from a table of the line breaks."""
 
+    def __init__(self, source: str):
+        self.breaks = [m.start() for m in re.finditer("\n", source)]
 
-def block_end(source: str, at: int) -> int:
-    """Offset behind the brace that closes the one at ``at``, counting braces only; ``at`` if none does."""
-    depth = 0
-    for i in range(at, len(source)):
-        if source[i] == "{":
-            depth += 1
-        elif source[i] == "}":
-            depth -= 1
-            if not depth:
-                return i + 1
-    return at
+    def at(self, offset: int) -> int:
+        return bisect_left(self.breaks, offset) + 1
 
 
 def unit(**fields) -> dict:
