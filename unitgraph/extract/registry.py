@@ -69,6 +69,16 @@ def extract(files: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     return files.select("repo_id", "file_path", "language", "content").mapInPandas(run, f"repo_id bigint, file_path string, ordinal int, error string, {UNIT}")
 
 
+def encodings(files: DataFrame) -> DataFrame:
+    """``file_path, n_bytes, encoding`` of ``file_path, content`` rows (SC8)."""
+
+    def run(batches):
+        for batch in batches:
+            yield pd.DataFrame({"file_path": batch["file_path"], "n_bytes": batch["content"].map(len).astype("int64"), "encoding": batch["content"].map(lambda raw: encoding_of(bytes(raw)))})
+
+    return files.select("file_path", "content").mapInPandas(run, "file_path string, n_bytes bigint, encoding string")
+
+
 def units(extracted: DataFrame) -> DataFrame:
     return extracted.where("error is null").drop("error")
 

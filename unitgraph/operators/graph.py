@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions.columns import callee_patterns, short_name, slashes
-from ..plans.lineage import cut
+from ..plans.lineage import cut, only_named
 from .rows import first_by
 
 
@@ -16,10 +16,16 @@ def reverse_adjacency(edges: DataFrame) -> DataFrame:
     return edges.groupBy("callee").agg(F.array_sort(F.collect_set("caller")).alias("callers"))
 
 
+def _patterns(nodes: DataFrame, settings: Settings) -> DataFrame:
+    """``start_qn, qualified_name, callee``: the names by which a node is called."""
+    return nodes.select("start_qn", "qualified_name", F.explode(callee_patterns(F.col("qualified_name"), settings)).alias("callee"))
+
+
 def next_frontier(frontier: DataFrame, edges: DataFrame, visited: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """``start_qn, qualified_name``: callers of the frontier that haven't been visited from that start."""
-    patterns = frontier.select("start_qn", F.explode(callee_patterns(F.col("qualified_name"), settings)).alias("callee"))
-    callers = patterns.join(edges.select("caller", "callee"), "callee").select("start_qn", F.col("caller").alias("qualified_name")).distinct()
+    patterns = _patterns(frontier, settings).drop("qualified_name")
+    asked = only_named(edges.select("caller", "callee"), "callee", patterns.select("callee").distinct())
+    callers = patterns.join(asked, "callee").select("start_qn", F.col("caller").alias("qualified_name")).distinct()
     return callers.join(visited.select("start_qn", "qualified_name"), ["start_qn", "qualified_name"], "left_anti")
 
 
@@ -29,17 +35,18 @@ def upstream(starts: DataFrame, edges: DataFrame, settings: Settings = DEFAULT)
     Level by level, depth ``max_depth`` at most; of each start at most ``max_nodes``
     nodes, itself included, are kept: those of a level in order of their name (Q4).
     A start never gathers more than ``max_nodes`` rows behind its rank, because the rank's
-    limit is applied before the shuffle. Each level is computed once, when it is called
-    for, and kept: the next level reads it four times.
+    limit is applied before the shuffle. A level reads only the edges that its frontier
+    asks for, and starts that have no room left ask for none. Each level is computed once
+    and kept, because the next reads it several times.
     """
-    edges = cut(edges.select("caller", "callee").distinct())
-    visited = starts.select("start_qn", F.col("start_qn").alias("qualified_name"), F.lit(0).alias("depth")).distinct()
+    visited = cut(starts.select("start_qn", F.col("start_qn").alias("qualified_name"), F.lit(0).alias("depth")).distinct())
     frontier = visited
     by_name = Window.partitionBy("start_qn").orderBy("qualified_name")
     for depth in range(1, settings.max_depth + 1):
-        fresh = next_frontier(frontier, edges, visited, settings)
+        room = visited.groupBy("start_qn").agg((F.lit(settings.max_nodes) - F.count("*")).alias("_room")).where("_room > 0")
+        asking = frontier.join(room.select("start_qn"), "start_qn", "left_semi") if depth > 1 else frontier
+        fresh = next_frontier(asking, edges, visited, settings)
         ranked = fresh.withColumn("_rank", F.row_number().over(by_name)).where(F.col("_rank") <= settings.max_nodes)
-        room = visited.groupBy("start_qn").agg((F.lit(settings.max_nodes) - F.count("*")).alias("_room"))
         frontier = cut(ranked.join(room, "start_qn").where(F.col("_rank") <= F.col("_room")).select("start_qn", "qualified_name", F.lit(depth).alias("depth")))
         visited = visited.unionByName(frontier)
     return visited
@@ -47,8 +54,8 @@ def upstream(starts: DataFrame, edges: DataFrame, settings: Settings = DEFAULT)
 
 def callers_of(nodes: DataFrame, edges: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """``start_qn, qualified_name, caller, call_line``: who calls each node, and where (A8, ``via_line`` of Q2)."""
-    patterns = nodes.select("start_qn", "qualified_name", F.explode(callee_patterns(F.col("qualified_name"), settings)).alias("callee"))
-    joined = patterns.join(edges, "callee")
+    patterns = _patterns(nodes, settings)
+    joined = patterns.join(only_named(edges, "callee", patterns.select("callee").distinct()), "callee")
     return joined.groupBy("start_qn", "qualified_name", "caller").agg(F.min("call_line").alias("call_line"))
 
 
@@ -59,12 +66,13 @@ def node_details(nodes: DataFrame, units: DataFrame, edges: DataFrame, body_char
     the lowest file path and line counts. ``call_line`` is 0 for nodes that don't call the
     start by its full or short name (here the list of general names doesn't apply).
     """
-    detail = first_by(units, ["qualified_name"], "file_path", "start_line").select(
+    known = only_named(units, "qualified_name", nodes.select("qualified_name").distinct())
+    detail = first_by(known, ["qualified_name"], "file_path", "start_line").select(
         "qualified_name", "file_path", "start_line", "signature", "language", F.substring("body_text", 1, body_chars).alias("body_text")
     )
     starts = nodes.select("start_qn").distinct()
     names = starts.select("start_qn", F.explode(F.array_distinct(F.array("start_qn", short_name(F.col("start_qn"))))).alias("callee"))
-    direct = names.join(edges, "callee").groupBy("start_qn", F.col("caller").alias("qualified_name")).agg(F.min("call_line").alias("call_line"))
+    direct = names.join(only_named(edges, "callee", names.select("callee").distinct()), "callee").groupBy("start_qn", F.col("caller").alias("qualified_name")).agg(F.min("call_line").alias("call_line"))
     joined = nodes.join(detail, "qualified_name", "left").join(direct, ["start_qn", "qualified_name"], "left")
     empty = [F.coalesce(c, F.lit("")).alias(c) for c in ("file_path", "signature", "language", "body_text")]
     return joined.select("start_qn", "qualified_name", "depth", F.coalesce("start_line", F.lit(0)).alias("start_line"), F.coalesce("call_line", F.lit(0)).alias("call_line"), *empty)

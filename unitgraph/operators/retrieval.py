@@ -6,24 +6,37 @@ job answers any number of them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from itertools import groupby
+
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, TERMS, Settings
-from ..functions.columns import contains_like, inner_product, trivial_name
+from ..functions.columns import LOWER, UPPER, ascii_fold, contains_like, inner_product, trivial_name
+
+#: Queries broadcast at once (some megabytes of vectors), and words that one scan looks for.
+QUERY_BATCH, WORD_BATCH = 512, 256
 
 
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, language: Column | None = None) -> DataFrame:
     """``query_id, collection, id, score, rank``: best ``k`` of each collection for each query.
 
     ``vectors``: ``collection, id, vector``; ``queries``: ``query_id, collection, query``.
-    The join is on the collection, with the queries - a batch somebody typed - as the
-    small side; the rank's limit is applied before the shuffle.
+    Queries meet the vectors in broadcast batches of about ``QUERY_BATCH`` rows, so the
+    vectors are never shuffled; the rank's limit is applied before the shuffle of scores.
     """
     kept = vectors if language is None else vectors.where(language)
-    scored = kept.join(queries, "collection").select("query_id", "collection", "id", F.round(inner_product(F.col("vector"), F.col("query")), 6).alias("score"))
+    batches = -(-queries.count() // QUERY_BATCH) or 1
     w = Window.partitionBy("query_id", "collection").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    ranked = []
+    for batch in range(batches):
+        own = queries if batches == 1 else queries.where(F.pmod(F.xxhash64("query_id", "collection"), F.lit(batches)) == batch)
+        scored = kept.join(F.broadcast(own), "collection").select("query_id", "collection", "id", F.round(inner_product(F.col("vector"), F.col("query")), 6).alias("score"))
+        ranked.append(scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
+    return reduce(DataFrame.union, ranked)
 
 
 def fuse(hits: DataFrame, n: int, settings: Settings = DEFAULT) -> DataFrame:
@@ -69,16 +82,63 @@ def keywords(queries: DataFrame, terms: DataFrame) -> DataFrame:
     return own.union(found).distinct()
 
 
+def _matches(columns: list[str], word: str) -> Column:
+    """:func:`contains_like` of a given word and columns that are folded already."""
+    folded = word.translate(str.maketrans(UPPER, LOWER))
+    if "%" in folded or "_" in folded:
+        found = [F.col(c).like("%" + folded.replace("\\", "\\\\") + "%") for c in columns]
+    else:
+        found = [F.contains(F.col(c), F.lit(folded)) for c in columns]
+    return reduce(lambda x, y: x | y, found)
+
+
 def keyword_hits(units: DataFrame, words: DataFrame, limit: int | None = None, settings: Settings = DEFAULT) -> DataFrame:
-    """``query_id`` and units whose name or summary contains a word of the query; first ``limit`` by name (F8, T5).
+    """Units whose name or summary contains a word of the query, and ``query_id``; first ``limit`` by name (F8, T5).
 
-    ``words``: ``query_id, word``. Each query's words are one array, so that a unit meets a query once.
+    ``words``: ``query_id, word``, a batch that somebody typed: it is collected, and its
+    words become expressions of one scan (of several, ``WORD_BATCH`` words each, for a long
+    batch). Texts are folded once; no join takes place, and a unit meets a query once.
     """
     n = settings.keyword_limit if limit is None else limit
-    by_query = words.groupBy("query_id").agg(F.collect_set("word").alias("words"))
-    match = F.exists("words", lambda w: contains_like(F.col("qualified_name"), w) | contains_like(F.coalesce("summary", F.lit("")), w))
+    kind = dict(words.dtypes)["query_id"]
+    columns = [F.col(f"`{c}`") for c in units.columns]
+    folded = units.select(F.struct(*columns).alias("_unit"), ascii_fold(F.col("qualified_name")).alias("_name"), ascii_fold(F.coalesce("summary", F.lit(""))).alias("_text"))
+    batches: list[dict] = [{}]
+    for query, own in groupby(sorted({(r.query_id, r.word) for r in words.select("query_id", "word").where("query_id is not null and word is not null").collect()}), key=lambda x: x[0]):
+        if len(batches[-1]) >= WORD_BATCH:
+            batches.append({})
+        for _, word in own:
+            batches[-1].setdefault(word, []).append(query)
+    hits = []
+    for batch in batches:
+        found = [F.when(_matches(["_name", "_text"], word), F.array(*map(F.lit, queries)).cast(f"array<{kind}>")) for word, queries in batch.items()]
+        every = F.array_distinct(F.flatten(F.array_compact(F.array(*found)))) if found else F.array().cast(f"array<{kind}>")
+        hits.append(folded.select("_unit", F.explode(every).alias("query_id")).select("_unit.*", "query_id"))
     w = Window.partitionBy("query_id").orderBy("qualified_name")
-    return units.join(by_query, match).drop("words").withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= n).drop("_place")
+    return reduce(DataFrame.union, hits).withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= n).drop("_place")
+
+
+def autocomplete(units: DataFrame, typed: str, limit: int = 20) -> DataFrame:
+    """Units whose name or qualified name contains what was typed, by name; at most 50, none for a blank text."""
+    if not typed.strip():
+        return units.limit(0)
+    text = F.lit(typed.strip())
+    found = units.where(contains_like(F.col("name"), text) | contains_like(F.col("qualified_name"), text))
+    return found.orderBy("name", "qualified_name").limit(max(1, min(limit, 50)))
+
+
+def collection_counts(vectors: DataFrame, collections: DataFrame) -> DataFrame:
+    """``collection, n`` for each collection asked for; one that isn't there has 0 (SC15, A12)."""
+    counted = vectors.groupBy("collection").agg(F.count("*").alias("n"))
+    return collections.select("collection").distinct().join(counted, "collection", "left").select("collection", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
+
+
+def count_or_error(read: Callable[[], DataFrame]) -> int:
+    """Number of rows of a table; -1 if it can't be read (SC15)."""
+    try:
+        return read().count()
+    except PySparkException:
+        return -1
 
 
 def merge_hits(vector_hits: DataFrame, keyword_hits_: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
-from ..functions.columns import percent
+from ..functions.columns import percent, slashes
 from .rows import first_by, last_by
 
 
@@ -57,6 +57,27 @@ def status(repos: DataFrame, live: DataFrame, key: str = "repo_id") -> DataFrame
     return repos.join(live, key, "left").select(key, F.coalesce("live_status", stored, F.lit("idle")).alias("status"))
 
 
+def create_repos(repos: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Repositories after adding those of ``fresh`` (``name, path``) whose path isn't there yet.
+
+    Paths are unique with forward slashes and without one at the end; of equal new paths
+    the first by name counts. Ids go on behind the largest.
+    """
+    clean = lambda c: F.regexp_replace(slashes(F.col(c)), "(.)/+$", "$1")
+    new = first_by(fresh.select("name", clean("path").alias("path")), ["path"], "name").join(repos.select(clean("path").alias("path")), "path", "left_anti")
+    top = repos.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))  # one row
+    # one number a new repository: a table of what somebody registered
+    numbered = new.withColumn("_n", F.row_number().over(Window.orderBy("path"))).withColumn("_one", F.lit(1)).join(F.broadcast(top.withColumn("_one", F.lit(1))), "_one")
+    return repos.select("id", "name", "path").unionByName(numbered.select((F.col("_top") + F.col("_n")).cast(repos.schema["id"].dataType).alias("id"), "name", "path"))
+
+
+def repos_of_paths(repos: DataFrame, paths: DataFrame) -> DataFrame:
+    """``path, id`` of each path asked for; null where no repository has it."""
+    clean = lambda c: F.regexp_replace(slashes(F.col(c)), "(.)/+$", "$1")
+    known = repos.select(clean("path").alias("_path"), "id")
+    return paths.select("path", clean("path").alias("_path")).join(known, "_path", "left").select("path", "id")
+
+
 def progress(events: DataFrame, keys: list[str]) -> DataFrame:
     """Event log folded to one row a phase: events, last numbers, percent (ST5, R5)."""
     agg = events.groupBy(*keys, "phase").agg(F.count("*").alias("events"), F.max_by("done", "seq").alias("done"), F.max_by("total", "seq").alias("total"))

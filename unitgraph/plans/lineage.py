@@ -1,19 +1,49 @@
-"""Cutting the lineage of results that later steps read several times."""
+"""Results that later steps read several times, kept in the shared folder."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a name list up to which it is broadcast: some megabytes.
+SMALL = 100_000
+_ROOTS: dict[str, str] = {}
+
+
+def _root(spark: SparkSession) -> str:
+    """This application's folder below ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
+    app = spark.sparkContext.applicationId
+    if app not in _ROOTS:
+        base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="unitgraph-")
+        _ROOTS[app] = f"{base.rstrip('/')}/unitgraph-core-{app}"
+        atexit.register(_forget, spark, _ROOTS[app])
+    return _ROOTS[app]
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # noqa: BLE001  the JVM may be gone at interpreter exit
+        pass
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df``, computed now and kept in the shared folder that ``spark.checkpoint.dir`` names.
+    """``df``, computed now and written as a table: a lost executor costs a re-read, and its size is known to the optimizer."""
+    path = f"{_root(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def only_named(table: DataFrame, column: str, names: DataFrame) -> DataFrame:
+    """Rows of ``table`` whose ``column`` is one of ``names`` (a column of that name, different values).
 
-    A lost executor costs a re-read, not the steps before. Where the session names no
-    folder, as in tests, a temporary one is taken.
+    Up to ``SMALL`` names are broadcast, and the optimizer takes the filter below the
+    table's aggregations; more are joined by key.
     """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="unitgraph-"))
-    return df.checkpoint(eager=True)
+    own = names.select(column)
+    return table.join(F.broadcast(own) if own.count() <= SMALL else own, column, "left_semi")

@@ -1,15 +1,13 @@
-"""Queries of extraction: markup rules over pages, and the extractors over inline sources."""
+"""Queries of extraction: markup rules over pages."""
 
 from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..extract import registry
 from ..functions import markup as M
 from ..operators import rows as R
 from ..plans import tables as T
-from . import sources as INLINE
 
 _TAG = r"<([a-zA-Z][a-zA-Z0-9]*)((?: [^<>]*)?)>"
 _LEAF = r">([^<>]+)</"
@@ -85,22 +83,6 @@ def event_frames(spark, d):
     return ev.select("event_id", F.size(M.event_frames(body)).cast("bigint").alias("frames"), F.element_at(M.event_frames(body), -1).alias("last"))
 
 
-def _extracted(spark, kind):
-    return registry.extract(INLINE.files(spark, kind))
-
-
-def _units(kind):
-    def run(spark, d):
-        return registry.units(_extracted(spark, kind)).drop("calls", "param_names", "param_types")
-
-    return run
-
-
-def encoding_sniff(spark, d):
-    rows = [(n, bytearray(raw), registry.encoding_of(raw)) for n, raw in INLINE.ENCODED.items()]
-    return spark.createDataFrame(rows, "name string, content binary, encoding string").select("name", F.length("content").alias("n_bytes"), "encoding")
-
-
 QUERIES = {
     "q_tag_extract": (tag_extract, TAG_SQL),
     "q_comment_strip": (comment_strip, "SELECT page_id, md5(regexp_replace(html, '(?s)<!--.*?-->', '', 'g')) AS stripped_md5 FROM pages"),
@@ -109,9 +91,4 @@ QUERIES = {
     "q_el_distinct": (el_distinct, EL_SQL),
     "q_json_roundtrip": (json_roundtrip, JSON_SQL),
     "q_event_frames": (event_frames, "SELECT event_id, CAST(2 AS BIGINT) AS frames, concat('{\"user_id\":', CAST(user_id AS VARCHAR), '}') AS last FROM events"),
-    "q_java_units": (_units("java"), None),
-    "q_js_units": (_units("javascript"), None),
-    "q_jsp_units": (_units("jsp"), None),
-    "q_xml_units": (_units("xml"), None),
-    "q_encoding_sniff": (encoding_sniff, None),
 }

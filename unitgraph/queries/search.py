@@ -172,6 +172,11 @@ def detail_overlay(spark, d):
 OVERLAY_SQL = f"WITH {_SCORED}, {T.U} SELECT b.query_id, u.qualified_name, CASE WHEN unit_id IN (SELECT doc_id FROM labels) THEN file_path ELSE '' END AS file_path, CASE WHEN unit_id IN (SELECT doc_id FROM labels) THEN signature ELSE '?' END AS signature FROM best b JOIN units u ON u.unit_id = b.id"
 
 
+def collection_counts(spark, d):
+    asked = spark.createDataFrame([("signatures",), ("context",), ("nothing",)], "collection string")
+    return R.collection_counts(T.vectors(spark, d), asked)
+
+
 def vector_count(spark, d):
     return T.vectors(spark, d).groupBy("collection", "label").agg(F.count("*").alias("n"))
 
@@ -201,6 +206,7 @@ QUERIES = {
     "q_hit_union": (hit_union, HIT_SQL),
     "q_detail_overlay": (detail_overlay, OVERLAY_SQL),
     "q_vector_count": (vector_count, f"WITH {T.V} SELECT collection, label, count(*) AS n FROM vectors GROUP BY 1, 2"),
+    "q_collection_counts": (collection_counts, f"WITH {T.V} SELECT c AS collection, (SELECT count(*) FROM vectors WHERE collection = c) AS n FROM (VALUES ('signatures'), ('context'), ('nothing')) t(c)"),
     "q_vector_delete": (vector_delete, f"WITH {T.V} SELECT collection, id FROM vectors WHERE label NOT IN (SELECT r_regionkey FROM region)"),
     "q_detect_lang": (detect_lang, LANG_SQL),
 }

@@ -99,7 +99,33 @@ def removed_units(spark, d):
     return R.removed_units(new, old, ["qualified_name"]).select("qualified_name")
 
 
+def _repos(spark, d):
+    return T.table(spark, d, "supplier").select(F.col("s_suppkey").cast("bigint").alias("id"), F.col("s_name").alias("name"), F.concat(F.lit("/src/"), "s_name").alias("path"))
+
+
+def repo_create(spark, d):
+    """New repositories by customers, of which some share a path, and some have one that is there."""
+    key = F.col("c_custkey")
+    path = F.when(key % 3 == 0, F.concat(F.lit("\\src\\"), F.replace("c_name", F.lit("Customer"), F.lit("Supplier")), F.lit("/"))).otherwise(F.concat(F.lit("/new/"), (key % 50).cast("string"), F.lit("//")))
+    return S.create_repos(_repos(spark, d), T.table(spark, d, "customer").select(F.col("c_name").alias("name"), path.alias("path")))
+
+
+REPO_SQL = """WITH r AS (SELECT CAST(s_suppkey AS BIGINT) AS id, s_name AS name, concat('/src/', s_name) AS path FROM supplier),
+f AS (SELECT c_name AS name, CASE WHEN c_custkey % 3 = 0 THEN concat('/src/', replace(c_name, 'Customer', 'Supplier')) ELSE concat('/new/', CAST(c_custkey % 50 AS VARCHAR)) END AS path FROM customer),
+n AS (SELECT path, min(name) AS name FROM f WHERE path NOT IN (SELECT path FROM r) GROUP BY path)
+SELECT id, name, path FROM r UNION ALL SELECT (SELECT max(id) FROM r) + row_number() OVER (ORDER BY path), name, path FROM n"""
+
+
+def repo_by_path(spark, d):
+    asked = T.table(spark, d, "customer").select(F.concat(F.lit("/src\\"), F.replace("c_name", F.lit("Customer"), F.lit("Supplier")), F.lit("/")).alias("path"))
+    return S.repos_of_paths(_repos(spark, d), asked)
+
+
+PATH_SQL = """SELECT concat('/src', chr(92), replace(c_name, 'Customer', 'Supplier'), '/') AS path, CAST(s_suppkey AS BIGINT) AS id FROM customer LEFT JOIN supplier ON s_name = replace(c_name, 'Customer', 'Supplier')"""
+
 QUERIES = {
+    "q_repo_create": (repo_create, REPO_SQL),
+    "q_repo_by_path": (repo_by_path, PATH_SQL),
     "q_cache_overlay": (cache_overlay, "SELECT d.doc_id, d.lang, l.toxic AS tag, l.doc_id IS NOT NULL AS cached FROM documents d LEFT JOIN (SELECT * FROM labels WHERE quality = 1) l ON l.doc_id = d.doc_id"),
     "q_cache_misses": (cache_misses, "SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)"),
     "q_recent_reports": (recent_reports, "SELECT conv_id, turn, role FROM conversations ORDER BY conv_id DESC, turn DESC LIMIT 20"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..operators import retrieval
 from ..operators import rows as R
 from ..operators import service as S
 from ..plans import tables as T
@@ -149,8 +150,8 @@ def point_id(spark, d):
 
 
 def method_autocomplete(spark, d):
-    p = T.table(spark, d, "part").select("p_partkey", F.col("p_name").alias("name"), "p_brand")
-    return p.where(C.contains_like(F.col("name"), F.lit("WIDGET")) | C.contains_like(F.col("p_brand"), F.lit("#1_"))).orderBy("name", "p_partkey").limit(20)
+    p = T.table(spark, d, "part").select("p_partkey", F.col("p_name").alias("name"), F.concat("p_brand", F.lit("."), F.col("p_partkey").cast("string")).alias("qualified_name"))
+    return retrieval.autocomplete(p, " BRAND#1_.1 ", 80).union(retrieval.autocomplete(p, "  "))
 
 
 def units_by_file(spark, d):
@@ -202,7 +203,7 @@ QUERIES = {
     "q_cascade_delete": (cascade_delete, f"WITH {T.U} SELECT repo_id, qualified_name FROM units WHERE repo_id IN (SELECT n_nationkey FROM nation WHERE n_regionkey <> 0)"),
     "q_fingerprint_changed": (fingerprint_changed, FINGERPRINT_SQL),
     "q_point_id": (point_id, f"WITH {T.U} SELECT unit_id, md5(concat_ws('::', CAST(repo_id AS VARCHAR), qualified_name)) AS point_id FROM units"),
-    "q_method_autocomplete": (method_autocomplete, "SELECT p_partkey, p_name AS name, p_brand FROM part WHERE lower(p_name) LIKE '%widget%' OR lower(p_brand) LIKE '%#1_%' ORDER BY p_name, p_partkey LIMIT 20"),
+    "q_method_autocomplete": (method_autocomplete, "SELECT p_partkey, p_name AS name, concat(p_brand, '.', CAST(p_partkey AS VARCHAR)) AS qualified_name FROM part WHERE lower(p_name) LIKE '%brand#1_.1%' OR lower(concat(p_brand, '.', CAST(p_partkey AS VARCHAR))) LIKE '%brand#1_.1%' ORDER BY name, qualified_name LIMIT 50"),
     "q_units_by_file": (units_by_file, f"WITH {T.UB} SELECT file_path, count(*) AS units, min(start_line) AS first_line, max(end_line) AS last_line FROM blocks GROUP BY file_path"),
     "q_embed_text": (embed_text, EMBED_SQL),
     "q_camel_summary": (camel_summary, CAMEL_SQL),
