@@ -146,20 +146,102 @@ def test_streamed_bursts_are_the_batch(spark, tmp_path):
 
 
 def test_watch_loop(spark, tmp_path):
+    """Two bursts on one file: the second is compared with what the first left, and a clear empties the accumulated changes."""
+    event = lambda seq, at: json.dumps({"seq": seq, "ts": f"2024-01-01T00:{at}:00Z", "path": "A.java", "kind": "modified"})
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "1.json").write_text(json.dumps({"seq": 1, "ts": "2024-01-01T00:00:00Z", "path": "A.java", "kind": "modified"}) + "\n" + json.dumps({"seq": 2, "ts": "2024-01-01T00:10:00Z", "path": "A.java", "kind": "modified"}))
+    (tmp_path / "in" / "1.json").write_text(event(1, "00") + "\n" + event(2, "10"))
     schema = "repo_id bigint, file_path string, qualified_name string, name string, signature string, body_text string, start_line int, end_line int, language string"
-    stored = spark.createDataFrame([(1, "A.java", "A#run", "run", "run()", "old", 1, 2, "java"), (1, "A.java", "A#same", "same", "same()", "x", 3, 4, "java")], schema)
-    edges = spark.createDataFrame([("B#main", "A#run", 3)], "caller string, callee string, call_line int")
-    fresh = stored.withColumn("body_text", F.when(F.col("name") == "run", "new").otherwise(F.col("body_text")))
-    state, out = watch.StateTable(spark, str(tmp_path / "state")), []
-    reparse = lambda paths: fresh.join(paths.withColumnRenamed("path", "file_path"), "file_path", "left_semi")
+    stored = spark.createDataFrame([(1, "A.java", "A#run", "run", "run()", "old", 1, 2, "java"), (1, "A.java", "A#same", "same", "same()", "x", 3, 4, "java"), (1, "B.java", "B#main", "main", "main()", "y", 1, 1, "java")], schema)
+    edge_schema = "repo_id bigint, file_path string, caller string, callee string, call_line int"
+    edges = spark.createDataFrame([(1, "B.java", "B#main", "A#run", 3), (1, "A.java", "A#old", "A#run", 9)], edge_schema)
+    bodies = iter(["new", "newer", "newer"])
+
+    def reparse(paths):
+        body = next(bodies)
+        units = stored.join(paths.withColumnRenamed("path", "file_path"), "file_path", "left_semi").withColumn("body_text", F.when(F.col("name") == "run", body).otherwise(F.col("body_text")))
+        files = paths.select(F.lit(1).cast("bigint").alias("repo_id"), F.col("path").alias("file_path"))
+        return watch.Parsed(files, units, spark.createDataFrame([(1, "A.java", "A#same", "A#run", 4)], edge_schema), files.withColumn("hash", F.lit(body)))
+
+    table = lambda name, s, first=None: watch.StateTable(spark, str(tmp_path / name), s, first)
+    tables = watch.Tables(table("units", schema, stored), table("edges", edge_schema, edges), table("hashes", "repo_id bigint, file_path string, hash string"), table("changes", watch.STATE))
+    out, clear = [], {}
     log = watch.ProgressLog()
     spark.streams.addListener(log)
-    stream = watch.bursts(watch.event_stream(spark, str(tmp_path / "in")))
-    watch.watch_loop(stream, state, reparse, lambda: stored, lambda: edges, lambda chains, b: out.append([(r.start_qn, [n.qualified_name for n in r.impact_chain]) for r in chains.collect()]), str(tmp_path / "cp")).awaitTermination(180)
+
+    def sink(chains, batch):
+        out.append([(r.start_qn, [n.qualified_name for n in r.impact_chain]) for r in chains.collect()])
+        watch.frame_sink(str(tmp_path / "frames"))(chains, batch)
+
+    def run():
+        cleared = lambda batch: spark.createDataFrame([(r,) for r in clear.get("now", [])], "repo_id bigint")
+        stream = watch.bursts(watch.event_stream(spark, str(tmp_path / "in")))
+        watch.watch_loop(stream, tables, reparse, sink, str(tmp_path / "cp"), cleared).awaitTermination(180)
+
+    run()
     spark.streams.removeListener(log)
-    assert ("A#run", ["B#main"]) in out[-1] and all(name == "A#run" for name, _ in out[-1])
-    assert [(r.qualified_name, r.change) for r in state.before(1 << 40).collect()] == [("A#run", "modified")]
-    cleared = watch.next_state(state.before(1 << 40), spark.createDataFrame([], watch.STATE), spark.createDataFrame([(1,)], "repo_id bigint"))
-    assert cleared.count() == 0
+    assert out[-1] == [("A#run", ["A#same", "B#main"])]
+    assert [(r.qualified_name, r.change) for r in tables.changes.latest().collect()] == [("A#run", "modified")]
+    assert {(r.qualified_name, r.body_text) for r in tables.units.latest().collect()} >= {("A#run", "new"), ("B#main", "y")} or tables.units.latest().where("body_text = 'newer'").count() == 1
+    assert {(r.caller, r.callee) for r in tables.edges.latest().collect()} == {("B#main", "A#run"), ("A#same", "A#run")}
+    assert [r.hash for r in tables.hashes.latest().collect()][0].startswith("new")
+    assert any(json.loads(r.value.removeprefix("data: "))["start_qn"] == "A#run" for r in spark.read.text(str(tmp_path / "frames")).where("value != ''").collect())
+    # the repository is cleared, and what comes next is the same text: nothing is accumulated
+    clear["now"] = [1]
+    bodies = iter([tables.units.latest().where("name = 'run'").first().body_text] * 3)
+    (tmp_path / "in" / "2.json").write_text(event(3, "30") + "\n" + event(4, "50"))
+    run()
+    assert tables.changes.latest().count() == 0 and out[-1] == []
+    assert all(len(t.versions()) <= t.keep for t in (tables.units, tables.edges, tables.hashes, tables.changes))
+
+
+def test_git_diffs(spark, tmp_path):
+    import shutil
+    import subprocess
+
+    if not shutil.which("git"):
+        pytest.skip("git isn't there")
+    git = lambda *args: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=a", "-c", "user.email=a@b", *args], check=True, capture_output=True)
+    git("init", "-q")
+    (tmp_path / "A.java").write_text("class A {\n}\n")
+    git("add", ".")
+    git("commit", "-qm", "one")
+    (tmp_path / "A.java").write_text("class A {\n int x;\n}\n")
+    git("commit", "-qam", "two")
+    (tmp_path / "A.java").write_text("class A {\n int x;\n int y;\n}\n")
+    (tmp_path / "B.js").write_text("f();\n")
+    git("add", "B.js")
+    changed = lambda *args: {r.file_path: [tuple(x) for x in r.line_ranges] for r in diffs.changed_files(diffs.git_diffs(spark, str(tmp_path), *args)).collect()}
+    assert changed() == {"A.java": [(1, 5)], "B.js": [(1, 2)]}
+    assert changed("between", "HEAD~1", "HEAD") == {"A.java": [(1, 4)]} == changed("recent")
+    with pytest.raises(ValueError):
+        diffs.git_diffs(spark, str(tmp_path), "between")
+
+
+def test_save_scan(spark, tree, tmp_path):
+    first = scan.scan(spark, str(tree), 7, spark.createDataFrame([], HASHES), embedding.HashingEmbedder(16))
+    paths = scan.save_scan({}, first, str(tmp_path / "v1"))
+    stored = {name: spark.read.parquet(path) for name, path in paths.items()}
+    again = scan.scan(spark, str(tree), 7, stored["hashes"], embedding.HashingEmbedder(16))
+    assert again.changed.count() == 0
+    more = {name: spark.read.parquet(path) for name, path in scan.save_scan(stored, again, str(tmp_path / "v2")).items()}
+    assert {name: t.count() for name, t in more.items()} == {name: t.count() for name, t in stored.items()}
+
+
+def test_counts_and_autocomplete(spark):
+    assert R.count_or_error(lambda: spark.read.parquet("/nowhere/at/all")) == -1 and R.count_or_error(lambda: spark.range(3)) == 3
+    units = spark.createDataFrame([(f"p.C#m{i:02d}", f"m{i:02d}") for i in range(60)], "qualified_name string, name string")
+    assert R.autocomplete(units, " M0 ", 5).count() == 5 and R.autocomplete(units, "\t ").count() == 0 and R.autocomplete(units, "c#m", 99).count() == 50
+
+
+def test_keyword_batches_agree(spark, monkeypatch):
+    rng = __import__("random").Random(3)
+    units = spark.createDataFrame([(f"q{i:03d}", " ".join(rng.choice(["Alpha", "be_ta", "ga%mma", "d\\elta", "x"]) for _ in range(4))) for i in range(80)], "qualified_name string, summary string")
+    words = spark.createDataFrame([(q, w) for q in range(6) for w in rng.sample(["alph", "e_t", "a%m", "d\\e", "Q00", "q_1", "nothing"], 3)], "query_id bigint, word string")
+    whole = sorted(map(tuple, R.keyword_hits(units, words, 7).collect()))
+    match = F.exists("words", lambda w: C.contains_like(F.col("qualified_name"), w) | C.contains_like(F.col("summary"), w))
+    plain = units.join(words.groupBy("query_id").agg(F.collect_set("word").alias("words")), match).collect()
+    want = sorted((*r[:2], q) for q in range(6) for r in sorted((x for x in plain if x.query_id == q), key=lambda x: x.qualified_name)[:7])
+    assert whole == want
+    monkeypatch.setattr(R, "WORD_BATCH", 2)
+    assert sorted(map(tuple, R.keyword_hits(units, words, 7).collect())) == want
+    assert R.keyword_hits(units, words.limit(0)).count() == 0

@@ -50,3 +50,23 @@ def apply_scan(stored: DataFrame, fresh: DataFrame, result: Scan) -> DataFrame:
     """A stored table of the repository after the scan: rows of changed and gone files replaced (K1-K5, Q7)."""
     touched = result.changed.select(*FILE).union(result.gone.select(*FILE)).distinct()
     return R.replace_by_file(stored, fresh, touched, FILE)
+
+
+def save_scan(stored: dict[str, DataFrame], result: Scan, folder: str) -> dict[str, str]:
+    """Write the tables after a scan below ``folder`` and return their paths (K1-K5).
+
+    ``stored``: the tables before, by name (``units``, ``edges``, ``hashes``, ``vectors``; any
+    may be missing). Vectors are partitioned by collection, so a search reads only its own.
+    The folder must be another than that of the stored tables: a version is never changed
+    while it is read.
+    """
+    fresh = {"units": result.units, "edges": result.edges, "hashes": result.changed.select(*FILE, "hash"), "vectors": result.vectors}
+    paths = {}
+    for name, new in fresh.items():
+        if new is None:
+            continue
+        table = apply_scan(stored[name], new, result) if name in stored else new
+        paths[name] = f"{folder.rstrip('/')}/{name}"
+        writer = table.write.mode("overwrite")
+        (writer.partitionBy("collection") if name == "vectors" else writer).parquet(paths[name])
+    return paths

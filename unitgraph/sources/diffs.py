@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import subprocess
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
@@ -32,6 +34,18 @@ def hunks(changed: DataFrame) -> DataFrame:
     return changed.select("file_path", F.explode_outer("line_ranges").alias("r")).select("file_path", "r.r_start", "r.r_end")
 
 
+def git_diffs(spark: SparkSession, repo: str, mode: str = "head", base: str = "HEAD", compare: str | None = None) -> DataFrame:
+    """``ordinal, diff`` of a working copy (SC10): staged then unstaged changes (``head``), two commits (``between``), or the last commit (``recent``).
+
+    git runs where the driver is, on a working copy that somebody works in; its output is
+    a handful of rows.
+    """
+    check_mode(mode, compare)
+    commands = {"head": [["--cached"], []], "between": [[base, str(compare)]], "recent": [[f"{base}~1", base]], "methods": [["--cached"], []]}[mode]
+    run = lambda args: subprocess.run(["git", "-C", repo, "diff", "--no-color", "--no-ext-diff", *args, "--"], capture_output=True, check=True)
+    return spark.createDataFrame([(i, run(args).stdout.decode("utf-8", "replace")) for i, args in enumerate(commands)], "ordinal int, diff string")
+
+
 def check_mode(mode: str, compare: str | None) -> str:
     """The analysis mode; ``between`` without a second commit is an error (Q18)."""
     if mode not in ("head", "between", "methods", "recent"):

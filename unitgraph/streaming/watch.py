@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from ..operators import rows as R
 from ..operators import service as S
 from ..schemas import WATCH_EVENTS
 
-KEYS = ["repo_id", "qualified_name"]
+KEYS, FILE = ["repo_id", "qualified_name"], ["repo_id", "file_path"]
 STATE = "repo_id bigint, qualified_name string, file_path string, name string, change string"
 
 
@@ -32,19 +33,22 @@ def bursts(events: DataFrame, delay: str = "5 seconds", settings: Settings = DEF
 
 
 class StateTable:
-    """Accumulated changes by (repository, name), a folder of versions; version n is what batch n left.
+    """A table that batches change, a folder of versions; version n is what batch n left.
 
     A batch that runs again after a failure reads the version before it and writes its own
-    anew, so it takes effect once.
+    anew, so it takes effect once. Versions before the ``keep`` last are deleted. ``first``
+    is what batch 0 finds.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, schema: str = STATE):
-        self.spark, self.folder, self.schema = spark, folder.rstrip("/"), schema
+    def __init__(self, spark: SparkSession, folder: str, schema: str = STATE, first: DataFrame | None = None, keep: int = 3):
+        self.spark, self.folder, self.schema, self.first, self.keep = spark, folder.rstrip("/"), schema, first, keep
         self.path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
 
+    def _store(self):
+        return self.path(self.folder).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
     def versions(self) -> list[int]:
-        home = self.path(self.folder)
-        store = home.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        home, store = self.path(self.folder), self._store()
         if not store.exists(home):
             return []
         names = [f.getPath().getName() for f in store.listStatus(home)]
@@ -53,13 +57,19 @@ class StateTable:
 
     def before(self, batch: int) -> DataFrame:
         older = [v for v in self.versions() if v < batch]
-        if not older:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/v={older[-1]}")
+        if older:
+            return self.spark.read.schema(self.schema).parquet(f"{self.folder}/v={older[-1]}")
+        return self.spark.createDataFrame([], self.schema) if self.first is None else self.first
+
+    def latest(self) -> DataFrame:
+        return self.before(1 << 62)
 
     def write(self, batch: int, state: DataFrame) -> DataFrame:
         where = f"{self.folder}/v={batch}"
-        state.select(*[x.split()[0] for x in self.schema.split(", ")]).write.mode("overwrite").parquet(where)
+        empty = self.spark.createDataFrame([], self.schema)
+        state.select(*empty.columns).write.mode("overwrite").parquet(where)
+        for old in [v for v in self.versions() if v <= batch][: -self.keep]:
+            self._store().delete(self.path(f"{self.folder}/v={old}"), True)
         return self.spark.read.schema(self.schema).parquet(where)
 
 
@@ -69,35 +79,70 @@ def next_state(old: DataFrame, changed: DataFrame, cleared: DataFrame) -> DataFr
     return R.upsert(kept, R.first_by(changed, KEYS, "file_path"), KEYS)
 
 
+@dataclass
+class Parsed:
+    """What re-parsing some paths gives: units, edges and file hashes, each with ``repo_id, file_path``; ``files`` are the files looked at, gone ones too."""
+
+    files: DataFrame
+    units: DataFrame
+    edges: DataFrame
+    hashes: DataFrame
+
+
+@dataclass
+class Tables:
+    """The tables that a watcher keeps current, and the changes it has accumulated."""
+
+    units: StateTable
+    edges: StateTable
+    hashes: StateTable
+    changes: StateTable
+
+
 def watch_loop(
     stream: DataFrame,
-    state: StateTable,
-    reparse: Callable[[DataFrame], DataFrame],
-    stored_units: Callable[[], DataFrame],
-    edges: Callable[[], DataFrame],
+    tables: Tables,
+    reparse: Callable[[DataFrame], Parsed],
     sink: Callable[[DataFrame, int], None],
     checkpoint: str,
+    cleared: Callable[[int], DataFrame] | None = None,
     settings: Settings = DEFAULT,
 ) -> StreamingQuery:
-    """Start the loop (ST3): of each burst re-parse the paths, find changed units, update the state, report the impact of all accumulated names.
+    """Start the loop (ST3): of each burst re-parse the paths, find changed units, write back, report the impact of all accumulated names.
 
-    ``reparse`` maps ``path`` rows to units; ``sink`` gets the chains of each batch.
+    ``reparse`` maps ``path`` rows to :class:`Parsed`. Units, edges and hashes of the files
+    that it looked at are replaced, so the next batch compares with what this one left.
+    ``cleared`` gives ``repo_id`` rows: repositories whose accumulated changes were taken
+    note of before a batch, and start anew. ``sink`` gets the chains of each batch. All
+    versions of a batch are written again if it runs again.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        paths = batch.select(F.explode("paths").alias("path")).distinct()
-        fresh = reparse(paths)
-        keys = ["repo_id", "file_path", "qualified_name", "signature"]
-        files = fresh.select("repo_id", "file_path").distinct()
-        old = stored_units().join(files, ["repo_id", "file_path"], "left_semi")
-        changed = R.changed_units(fresh, old, keys)
+        fresh = reparse(batch.select(F.explode("paths").alias("path")).distinct())
+        files = fresh.files.select(*FILE).distinct()
+        before = tables.units.before(batch_id)
+        own, old = fresh.units.join(files, FILE, "left_semi"), before.join(files, FILE, "left_semi")
+        changed = R.changed_units(own, old, [*FILE, "qualified_name", "signature"])
         none = batch.sparkSession.createDataFrame([], "repo_id bigint")
-        now = state.write(batch_id, next_state(state.before(batch_id), changed, none))
-        sink(G.impact_chains(now.select(F.col("qualified_name").alias("start_qn")), edges(), stored_units(), settings), batch_id)
+        now = tables.changes.write(batch_id, next_state(tables.changes.before(batch_id), changed, none if cleared is None else cleared(batch_id)))
+        units = tables.units.write(batch_id, R.replace_by_file(before, own, files, FILE))
+        edges = tables.edges.write(batch_id, R.replace_by_file(tables.edges.before(batch_id), fresh.edges, files, FILE))
+        tables.hashes.write(batch_id, R.replace_by_file(tables.hashes.before(batch_id), fresh.hashes, files, FILE))
+        sink(G.impact_chains(now.select(F.col("qualified_name").alias("start_qn")), edges, units, settings), batch_id)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def frame_sink(folder: str) -> Callable[[DataFrame, int], None]:
+    """A sink that writes each batch's chains as JSON frames, a folder a batch, replaced if the batch runs again (K8)."""
+
+    def write(chains: DataFrame, batch: int) -> None:
+        frame = F.concat(F.lit("data: "), F.to_json(F.struct(*chains.columns)), F.lit("\n"))
+        chains.select(frame.alias("frame")).write.mode("overwrite").text(f"{folder.rstrip('/')}/batch={batch}")
+
+    return write
+
+
 class ProgressLog(StreamingQueryListener):
     """Progress of streaming queries as rows of ``seq, phase, done, total`` (ST5)."""
 
