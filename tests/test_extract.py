@@ -60,6 +60,26 @@ def test_xml():
     assert len(xmlunits.parse(S.GENERIC.encode())) == 100 and xmlunits.parse(b"") == []
 
 
+@pytest.mark.parametrize(
+    "broken, names",
+    [
+        ("<mapper namespace='m'>\n<select id='a'>x < 1 & y</select>\n<delete id=b>d</delete></mapper>", [("m.a", 2), ("m.b", 3)]),
+        ("<mapper namespace='m'><select id='a'><if>x</select>\n<update id='b'>u</update>", [("m.a", 1), ("m.b", 2)]),
+        ("<mapper namespace='m'></where><q:select id='a' id='z'>x</q:select>\n</mapper>\n<mapper/>", [("m.a", 1)]),
+        ("<?xml version='1.0' encoding='no-such'?>\n<mapper namespace='m'><select\n id='a'>&nbsp;</select></wrong><insert id='b'/></mapper>", [("m.a", 2), ("m.b", 3)]),
+    ],
+)
+def test_xml_goes_on_after_a_fault(broken, names):
+    assert [(u["qualified_name"], u["start_line"]) for u in xmlunits.parse(broken.encode())] == names
+
+
+@given(st.text(alphabet="<>/&;=\"' ab:!-[]?x\n", max_size=80))
+@settings(max_examples=500, deadline=None)
+def test_repaired_xml_is_well_formed(text):
+    fixed = xmlunits.repaired("<r>" + text)
+    assert xmlunits._parsed(fixed.encode())[2] or "<!" in text or "<?" in text or ":" in text or "]]>" in text
+
+
 def test_encodings():
     assert {n: registry.encoding_of(b) for n, b in S.ENCODED.items()} == {"utf8": "utf-8", "shift_jis": "cp932", "gbk": "gb2312", "latin": "cp1252", "undefined": "cp932"}
 

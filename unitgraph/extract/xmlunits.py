@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from xml.parsers import expat
 
@@ -47,8 +48,70 @@ class Node:
         return child.text.strip() or other if child is not None else other
 
 
+_MARKUP = re.compile(
+    r"""<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<!DOCTYPE[^\[>]*(?:\[.*?\]\s*)?>
+    |<(?P<end>/?)(?P<name>[A-Za-z_][\w.\-]*(?::[A-Za-z_][\w.\-]*)?)(?P<attrs>(?:[^<>"']|"[^"<]*"|'[^'<]*')*?)(?P<empty>/?)>""",
+    re.S | re.X,
+)
+_VALUE = re.compile(r"""([A-Za-z_][\w:.\-]*)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_BARE = re.compile(r"&(?!(?:amp|lt|gt|quot|apos|#[0-9]+|#x[0-9a-fA-F]+);)")
+
+
+def repaired(text: str) -> str:
+    """A broken document made well-formed, line for line.
+
+    Signs that begin no markup become text, attributes get quotes and are kept once, prefixes
+    that nothing declares are dropped, an end tag closes what is open inside its element, and one
+    without a start tag is left out; what is open at the end is closed.
+    """
+    declared = {"xml", "xmlns", *re.findall(r"xmlns:([\w.\-]+)\s*=", text)}
+    escaped = lambda raw: _BARE.sub("&amp;", raw).replace("<", "&lt;")
+    local = lambda name: name if name.partition(":")[0] in declared or ":" not in name else name.partition(":")[2]
+    out, opened, at, rooted = [], [], 0, False
+    for m in _MARKUP.finditer(text):
+        between, at = text[at : m.start()], m.end()
+        out.append(escaped(between) if opened else "\n" * between.count("\n"))
+        if not m["name"]:
+            out.append(m[0] if opened or not rooted and m[0][1] in "!?" and not m[0].startswith("<![") else "")
+            continue
+        name = local(m["name"])
+        if m["end"]:
+            while name in opened:
+                out.append(f"</{opened[-1]}>")
+                if opened.pop() == name:
+                    break
+            continue
+        if rooted and not opened:  # a second root
+            break
+        rooted = True
+        attrs: dict[str, str] = {}
+        for key, *values in _VALUE.findall(m["attrs"]):
+            attrs.setdefault(local(key), escaped("".join(values)).replace('"', "&quot;"))
+        lines = m[0].count("\n") - sum(v.count("\n") for v in attrs.values())
+        out.append(f"<{name}" + "".join(f' {k}="{v}"' for k, v in attrs.items()) + "\n" * max(0, lines) + ("/>" if m["empty"] else ">"))
+        if not m["empty"]:
+            opened.append(name)
+    if opened:
+        out.append(escaped(text[at:]))
+    return "".join(out) + "".join(f"</{name}>" for name in reversed(opened))
+
+
 def tree(data: bytes) -> tuple[Node | None, set[str]]:
-    """Root and namespaces; of a broken file what came before the fault."""
+    """Root and namespaces; a broken document is read as :func:`repaired`, or up to its first fault if that can't be read either."""
+    root, spaces, whole = _parsed(data)
+    if whole:
+        return root, spaces
+    named = re.search(rb"<\?xml[^>]*encoding=[\"']([\w.\-]+)", data[:200])
+    try:
+        text = data.decode(named[1].decode() if named else "utf-8", "replace")
+    except LookupError:
+        text = data.decode("utf-8", "replace")
+    again, more, whole = _parsed(re.sub(r"(<\?xml[^>]*?)\s+encoding=[\"'][^\"']*[\"']", r"\1", repaired(text), count=1).encode())
+    return (again, more) if whole else (root, spaces)
+
+
+def _parsed(data: bytes) -> tuple[Node | None, set[str], bool]:
+    """Root, namespaces, and whether the document was read to its end."""
     parser = expat.ParserCreate(namespace_separator="\x01")
     stack: list[Node] = []
     root: list[Node] = []
@@ -66,9 +129,9 @@ def tree(data: bytes) -> tuple[Node | None, set[str]]:
     parser.StartNamespaceDeclHandler = lambda prefix, uri: spaces.add(uri or "")
     try:
         parser.Parse(data, True)
-    except expat.ExpatError:
-        pass
-    return (root[0] if root else None), spaces
+    except (expat.ExpatError, LookupError, ValueError):
+        return (root[0] if root else None), spaces, False
+    return (root[0] if root else None), spaces, True
 
 
 def kind(root: Node, spaces: set[str]) -> str:
