@@ -5,6 +5,7 @@ import pytest
 
 import corpus_pipeline as P
 from unitgraph.llm import quality, simhash
+from unitgraph.llm.shared import materialize
 
 from .test_line_dedup import plain_dedup, words_of
 from .test_mixing import plain_targets
@@ -18,7 +19,7 @@ def steps(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     out = [docs]
     for _, stage in P.STAGES:
-        out.append(P.materialize(stage(spark, out[-1], DATA), "test-stage"))
+        out.append(materialize(stage(spark, out[-1], DATA), "test-stage"))
     return out
 
 
@@ -36,13 +37,17 @@ def test_quality_stage(spark, steps):
 
 
 def test_line_stage(steps):
+    """Against brute force over all pairs of lines: nothing more goes, and nearly all that should."""
     rows = [(r.doc_id, r.text) for r in steps[1].orderBy("doc_id").collect()]
     want = {}
     for (i, old), new in zip(rows, plain_dedup(rows)):
-        if new == old or any(len(words_of(line)) >= 5 for line in new.split("\n")):
+        if new == old or words_of(new):
             want[i] = new
     got = {r.doc_id: r.text for r in steps[2].collect()}
-    assert got == want and got != dict(rows)
+    lines = lambda texts: Counter(line for t in texts.values() for line in t.split("\n") if words_of(line))
+    kept, ideal, before = lines(got), lines(want), lines(dict(rows))
+    assert (kept - ideal).total() <= 0.02 * (before - ideal).total() and (ideal - kept).total() <= (kept - ideal).total()
+    assert set(want) <= set(got) | {i for i in want if want[i] != dict(rows)[i]} and got != dict(rows)
     assert all(r.n_chars == len(r.text) for r in steps[2].collect())
 
 
@@ -86,6 +91,60 @@ def test_run(spark, steps):
     assert sorted(map(str, got.collect())) == sorted(map(str, steps[5].collect()))
 
 
+NAMES = ["row", "id", "k1", "gone", "fp", "component_id", "copies", "score", "_row", "_score", "own_0", "lines_removed", "size"]
+FIELDS = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"`{n}` int" for n in NAMES)
+
+
+def odd(spark):
+    """Nulls in every column, empty and very long texts, repeated rows, ids and texts, names of the operators' own."""
+    long = " ".join(f"word{i * i % 9973}" for i in range(60000))
+    prose = "a plain sentence of several words that nobody would throw away"
+    rows = [
+        (1, prose, "en", "s", 1), (1, prose, "en", "s", 1), (1, "another text with the same id as before it", "en", "s", 1), (None, prose, "en", "s", 1), (2, None, "en", "s", None), (3, "", None, "s", 0),
+        (4, prose.upper(), "en", None, 1), (5, long, "en", "t", 1), (6, long + " end", "en", "t", 1), (7, " \t\n", "en", "t", 3), (None, None, None, None, None), (8, "短い 行", "ja", "u", 4),
+    ]
+    return spark.createDataFrame([(*r, *range(len(NAMES))) for r in rows], FIELDS)
+
+
+STAGE = dict(P.STAGES)
+
+
+def plain(rows):
+    return Counter((r.doc_id, r.text, r.lang, r.source) for r in rows)
+
+
+@pytest.mark.parametrize("name", list(STAGE))
+def test_odd_input(spark, name):
+    docs = odd(spark)
+    out = STAGE[name](spark, docs, DATA)
+    rows = out.collect()
+    if name != "BPE encoding":
+        assert out.columns == docs.columns and {tuple(r)[5:] for r in rows} == {tuple(range(len(NAMES)))}
+    before, prose, long = plain(docs.collect()), docs.first().text, next(r.text for r in docs.collect() if r.doc_id == 5)
+    if name == "quality classifier":
+        assert plain(rows) <= before and all(n in (0, before[k]) for k, n in plain(rows).items())
+    elif name == "line dedup":
+        got = plain(rows)
+        assert got[1, prose, "en", "s"] == 2 and got[2, None, "en", "s"] == got[None, None, None, None] == got[3, "", None, "s"] == 1
+        assert not any(r.doc_id in (4, 6) or r.doc_id is None and r.text for r in rows) and got[5, long, "en", "t"] == 1 and len(rows) == 9
+    elif name == "SimHash near-dedup":
+        got = plain(rows)
+        assert got == Counter({(1, prose, "en", "s"): 1, (1, "another text with the same id as before it", "en", "s"): 1, (None, prose, "en", "s"): 1, (2, None, "en", "s"): 1, (5, long, "en", "t"): 1, (None, None, None, None): 1, (8, "短い 行", "ja", "u"): 1})
+    elif name == "mixing sources":
+        got = plain(rows)
+        assert all(n <= 2 * before[k] for k, n in got.items()) and not any((r.text or "").strip() == "" for r in rows) and got.total() > 0
+        assert plain(STAGE[name](spark, docs, DATA).collect()) == got
+    else:
+        assert len(rows) == 12 and all(r.ids == [] and r.n_tokens == 0 for r in rows if r.doc_id in (2, 3)) and out.columns == ["doc_id", "lang", "source", "ids", "n_tokens"]
+
+
+@pytest.mark.parametrize("name", list(STAGE))
+def test_empty_table(spark, name):
+    docs = odd(spark).limit(0)
+    out = STAGE[name](spark, docs, DATA)
+    assert out.count() == 0 and (name == "BPE encoding" or out.columns == docs.columns)
+
+
 def test_registered():
     import __spark_entry__
 

@@ -119,3 +119,20 @@ def test_keep_one_with_clashing_names(spark):
     df = spark.createDataFrame([(i, "the same words in every row", *range(len(names))) for i in range(3)], ["doc_id", "text", *names])
     kept = simhash.keep_one(df)
     assert kept.columns == df.columns and [tuple(r) for r in kept.collect()] == [(0, "the same words in every row", *range(len(names)))]
+
+
+def test_links_in_portions(spark, monkeypatch):
+    """Few rows held at a time: the same components."""
+    from unitgraph.llm.shared import components
+
+    rng = np.random.default_rng(8)
+    fps = rng.integers(0, 1 << 63, 300).astype(np.uint64)
+    fps = np.unique(np.concatenate([fps, *[fps ^ (np.uint64(1) << np.uint64(k)) for k in (3, 17, 40)]])).view(np.int64)
+    df = spark.createDataFrame([(int(x),) for x in fps], "fp bigint")
+    whole = sorted(map(tuple, components(simhash.links(df)).collect()))
+    monkeypatch.setattr(simhash, "HELD", 5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert sorted(map(tuple, components(simhash.links(df)).collect())) == whole and len(whole) == len(fps)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

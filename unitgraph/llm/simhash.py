@@ -35,6 +35,8 @@ SEED = 42
 FAN_OUT = 8
 #: Pairs of queries and group members looked at in one vectorised step.
 STEP = 1 << 20
+#: Rows that a task of Spark gathers before it searches them.
+HELD = 1 << 17
 
 
 def fingerprint(text: bytes | None, words: int) -> int:
@@ -222,16 +224,33 @@ def links(distinct: DataFrame, max_diff: int = 4, chunk: int = 512, shared: int
         .select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("task"), "fp")
     )
 
+    def found(tasks: list[np.ndarray], fps: list[np.ndarray]) -> pa.RecordBatch:
+        a, b = spanning_links(np.concatenate(tasks), np.concatenate(fps).view(np.uint64), max_diff)
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+
     def run(batches):
-        tasks, fps = [], []
+        """Searches whole tasks as they come by: what is held is ``HELD`` rows and one task."""
+        tasks, fps, held = [], [], 0
         for batch in batches:
-            tasks.append(batch.column(0).to_numpy(zero_copy_only=False))
-            fps.append(batch.column(1).to_numpy(zero_copy_only=False))
-        if tasks:
-            a, b = spanning_links(np.concatenate(tasks), np.concatenate(fps).view(np.uint64), max_diff)
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
-
-    return dealt.union(split).repartition("task").mapInArrow(run, "a bigint, b bigint")
+            task, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            if held >= HELD and len(task):
+                # rows of the task that came last may go on
+                going_on = int(np.searchsorted(task, tasks[-1][-1], side="right"))
+                tasks.append(task[:going_on])
+                fps.append(fp[:going_on])
+                task, fp = task[going_on:], fp[going_on:]
+                held += going_on
+                if len(task):
+                    yield found(tasks, fps)
+                    tasks, fps, held = [], [], 0
+            if len(task):
+                tasks.append(task)
+                fps.append(fp)
+                held += len(task)
+        if held:
+            yield found(tasks, fps)
+
+    return dealt.union(split).repartition("task").sortWithinPartitions("task").mapInArrow(run, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, max_diff: int = 4, chunk: int = 512) -> DataFrame:
