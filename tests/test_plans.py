@@ -111,7 +111,7 @@ def test_column_rules(spark):
 
 
 def test_service_tables(spark):
-    log = spark.createDataFrame([(1, 1, "pending"), (1, 2, "done"), (1, 3, "error"), (2, 1, "pending")], "k int, seq int, status string")
+    log = spark.createDataFrame([(1, 0, "read"), (1, 1, "pending"), (1, 2, "done"), (1, 3, "error"), (1, 4, "read"), (2, 1, "pending"), (2, 2, "read")], "k int, seq int, status string")
     assert {r.k: (r.status, r.hit_count) for r in S.cache_state(log, ["k"]).collect()} == {1: ("done", 1), 2: ("pending", 0)}
     terms = R.keywords(spark.createDataFrame([(1, "如何判空 foo")], "query_id int, query string"), R.term_table(spark))
     assert {r.word for r in terms.collect()} == {"foo", "empty", "null", "blank", "isEmpty", "isNull", "isBlank"}

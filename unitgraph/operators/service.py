@@ -35,11 +35,16 @@ def cache_misses(hits: DataFrame, cache: DataFrame, keys: list[str]) -> DataFram
 
 
 def cache_state(log: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
-    """Status of each key after its log of pending / done / error; done is final (K7), with hits counted."""
-    rank = F.when(F.col("status") == "done", 1).otherwise(0)
-    last = first_by(log.withColumn("_done", rank), keys, F.desc("_done"), F.desc(order)).select(*keys, "status")
-    hits = log.groupBy(*keys).agg(F.count_if(F.col("status") == "done").alias("hit_count"))
-    return last.join(hits, keys)
+    """Status of each key after its log of pending / done / error / read; done is final (K7).
+
+    ``hit_count``: reads that found a finished row (A11). A read changes no status; a key that
+    was only read has none. Window and sum share one exchange.
+    """
+    finished = F.min(F.when(F.col("status") == "done", F.col(order))).over(Window.partitionBy(*keys))
+    rank = F.struct(F.when(F.col("status") == "done", 1).otherwise(0), F.col(order))
+    rows = log.withColumn("_finished", finished).withColumn("_written", F.when(F.col("status") != "read", rank))
+    hit = (F.col("status") == "read") & (F.col(order) > F.col("_finished"))
+    return rows.groupBy(*keys).agg(F.max_by("status", "_written").alias("status"), F.count_if(F.coalesce(hit, F.lit(False))).alias("hit_count"))
 
 
 def recent(rows: DataFrame, n: int, *order) -> DataFrame:

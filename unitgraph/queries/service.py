@@ -39,12 +39,15 @@ def report_log(spark, d):
 
 def cache_state(spark, d):
     ev = T.table(spark, d, "events")
-    status = F.when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "error").otherwise("pending")
+    kind = F.col("event_type")
+    status = F.when((kind == "purchase") & (F.col("event_id") % 3 == 0), "done").when(kind == "error", "error").when(F.col("event_id") % 4 == 1, "pending").otherwise("read")
     return S.cache_state(ev.select("user_id", F.col("event_id").alias("seq"), status.alias("status")), ["user_id"])
 
 
-STATE_SQL = """WITH l AS (SELECT user_id, event_id AS seq, CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'error' ELSE 'pending' END AS status FROM events)
-SELECT user_id, arg_max(status, (CASE WHEN status = 'done' THEN 1 ELSE 0 END) * 1000000000000 + seq) AS status, count(*) FILTER (status = 'done') AS hit_count FROM l GROUP BY user_id"""
+STATE_SQL = """WITH l AS (SELECT user_id, event_id AS seq, CASE WHEN event_type = 'purchase' AND event_id % 3 = 0 THEN 'done' WHEN event_type = 'error' THEN 'error' WHEN event_id % 4 = 1 THEN 'pending' ELSE 'read' END AS status FROM events),
+d AS (SELECT user_id, min(seq) AS finished FROM l WHERE status = 'done' GROUP BY user_id),
+w AS (SELECT user_id, arg_max(status, (CASE WHEN status = 'done' THEN 1 ELSE 0 END) * 1000000000000 + seq) AS status FROM l WHERE status <> 'read' GROUP BY user_id)
+SELECT l.user_id, any_value(w.status) AS status, count(*) FILTER (l.status = 'read' AND l.seq > d.finished) AS hit_count FROM l LEFT JOIN d ON d.user_id = l.user_id LEFT JOIN w ON w.user_id = l.user_id GROUP BY l.user_id"""
 
 
 def status_lookup(spark, d):
