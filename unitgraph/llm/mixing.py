@@ -167,8 +167,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """``docs`` with each row as often as the mix takes it, 0 to ``most`` times; same columns.
 
     Equal rows stand for one another: together they come as often as the mix takes them in all.
-    Rows without words (null and empty texts) are never taken. A null source is a source of
-    its own; null ids are ids like others; an empty table stays empty. Columns of ``docs``
+    Rows without words (null and empty texts) come as often as the whole part of their
+    source's rate says, as they move no words. A null source is a source of its own; null ids are ids like others; an empty table stays empty. Columns of ``docs``
     may have any names.
     """
     mixed, _ = plan(docs, id_col, text_col, source_col, **options)
