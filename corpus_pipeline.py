@@ -53,7 +53,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, 0 to 2 times.
 
-    Null and empty texts have no words and are never taken. A null source is a source.
+    Null and empty texts, which have no words, come as often as the whole part of their
+    source's rate says. A null source is a source.
     Equal rows share their copies. Ties are settled by hashes of id, row and seed.
     """
     return mixing.mix(docs)
