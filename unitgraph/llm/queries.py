@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, html_extract, licenses, line_dedup, media, mixing, quality, simhash, warc
+from . import ann, bpe, fim, html_extract, licenses, line_dedup, media, mixing, quality, simhash, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,6 +62,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predictions(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.7)
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(_table(spark, sf_dir, "documents"), unit="line", rate=100, spm=50, seed=7)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash": op1_simhash,
@@ -74,8 +78,9 @@ def queries() -> dict[str, Query]:
         "op8_media": op8_media,
         "op9_lines": op9_lines,
         "op10_quality": op10_quality,
+        "op11_fim": op11_fim,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_fim": fim.SQL}
