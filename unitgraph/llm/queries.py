@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, fim, html_extract, licenses, line_dedup, media, mixing, quality, simhash, warc
+from . import ann, bpe, fim, html_extract, licenses, line_dedup, media, mixing, periodic, quality, simhash, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,6 +66,10 @@ def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digests(_table(spark, sf_dir, "documents"), unit="line", rate=100, spm=50, seed=7)
 
 
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.with_period(_table(spark, sf_dir, "documents")), min_length=6, min_exponent=4)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash": op1_simhash,
@@ -79,6 +83,7 @@ def queries() -> dict[str, Query]:
         "op9_lines": op9_lines,
         "op10_quality": op10_quality,
         "op11_fim": op11_fim,
+        "op12_runs": op12_runs,
     }
 
 
