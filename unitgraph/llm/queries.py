@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, fim, html_extract, licenses, line_dedup, media, mixing, periodic, quality, simhash, warc
+from . import ann, bpe, fim, html_extract, licenses, line_dedup, media, mixing, periodic, quality, simhash, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,6 +70,10 @@ def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(periodic.with_period(_table(spark, sf_dir, "documents")), min_length=6, min_exponent=4)
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.predictions(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.5)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash": op1_simhash,
@@ -84,6 +88,7 @@ def queries() -> dict[str, Query]:
         "op10_quality": op10_quality,
         "op11_fim": op11_fim,
         "op12_runs": op12_runs,
+        "op13_toxicity": op13_toxicity,
     }
 
 
