@@ -10,10 +10,12 @@ from unitgraph.operators import retrieval as R
 from unitgraph.operators import rows
 from unitgraph.operators import service as S
 from unitgraph.plans import embedding, impact, scan, search
+from unitgraph.plans.store import FILE, Store
 from unitgraph.queries import sources as INLINE
 from unitgraph.sources import diffs
 from unitgraph.sources.files import scan_tree
 from unitgraph.streaming import watch
+from unitgraph.streaming.state import accumulated
 
 HASHES = "repo_id bigint, file_path string, hash string"
 
@@ -149,6 +151,7 @@ def test_watch_loop(spark, tmp_path):
     """Two bursts on one file: the second is compared with what the first left, and a clear empties the accumulated changes."""
     event = lambda seq, at: json.dumps({"seq": seq, "ts": f"2024-01-01T00:{at}:00Z", "path": "A.java", "kind": "modified"})
     (tmp_path / "in").mkdir()
+    (tmp_path / "clears").mkdir()
     (tmp_path / "in" / "1.json").write_text(event(1, "00") + "\n" + event(2, "10"))
     schema = "repo_id bigint, file_path string, qualified_name string, name string, signature string, body_text string, start_line int, end_line int, language string"
     stored = spark.createDataFrame([(1, "A.java", "A#run", "run", "run()", "old", 1, 2, "java"), (1, "A.java", "A#same", "same", "same()", "x", 3, 4, "java"), (1, "B.java", "B#main", "main", "main()", "y", 1, 1, "java")], schema)
@@ -162,9 +165,9 @@ def test_watch_loop(spark, tmp_path):
         files = paths.select(F.lit(1).cast("bigint").alias("repo_id"), F.col("path").alias("file_path"))
         return watch.Parsed(files, units, spark.createDataFrame([(1, "A.java", "A#same", "A#run", 4)], edge_schema), files.withColumn("hash", F.lit(body)))
 
-    table = lambda name, s, first=None: watch.StateTable(spark, str(tmp_path / name), s, first)
-    tables = watch.Tables(table("units", schema, stored), table("edges", edge_schema, edges), table("hashes", "repo_id bigint, file_path string, hash string"), table("changes", watch.STATE))
-    out, clear = [], {}
+    store = Store(spark, str(tmp_path / "store"), {"units": schema, "edges": edge_schema, "hashes": HASHES}, buckets=4)
+    store.replace(stored.select(*FILE), {"units": stored, "edges": edges})
+    out = []
     log = watch.ProgressLog()
     spark.streams.addListener(log)
 
@@ -173,25 +176,31 @@ def test_watch_loop(spark, tmp_path):
         watch.frame_sink(str(tmp_path / "frames"))(chains, batch)
 
     def run():
-        cleared = lambda batch: spark.createDataFrame([(r,) for r in clear.get("now", [])], "repo_id bigint")
         stream = watch.bursts(watch.event_stream(spark, str(tmp_path / "in")))
-        watch.watch_loop(stream, tables, reparse, sink, str(tmp_path / "cp"), cleared).awaitTermination(180)
+        watch.watch_loop(stream, store, reparse, str(tmp_path / "changes"), str(tmp_path / "cp")).awaitTermination(180)
+        operations = watch.change_stream(spark, str(tmp_path / "changes"), str(tmp_path / "clears"))
+        watch.report_loop(operations, store, sink, str(tmp_path / "cp2"), slices=2).awaitTermination(180)
 
     run()
     spark.streams.removeListener(log)
     assert out[-1] == [("A#run", ["A#same", "B#main"])]
-    assert [(r.qualified_name, r.change) for r in tables.changes.latest().collect()] == [("A#run", "modified")]
-    assert {(r.qualified_name, r.body_text) for r in tables.units.latest().collect()} >= {("A#run", "new"), ("B#main", "y")} or tables.units.latest().where("body_text = 'newer'").count() == 1
-    assert {(r.caller, r.callee) for r in tables.edges.latest().collect()} == {("B#main", "A#run"), ("A#same", "A#run")}
-    assert [r.hash for r in tables.hashes.latest().collect()][0].startswith("new")
+    names = lambda: [(r.qualified_name, r.change) for r in accumulated(spark, str(tmp_path / "cp2")).collect()]
+    assert names() == [("A#run", "modified")]
+    units = {(r.qualified_name, r.body_text) for r in store.read("units").collect()}
+    assert len(units) == 3 and ("B#main", "y") in units and ("A#run", "old") not in units
+    assert {(r.caller, r.callee) for r in store.read("edges").collect()} == {("B#main", "A#run"), ("A#same", "A#run")}
+    assert [r.hash for r in store.read("hashes").collect()][0].startswith("new")
     assert any(json.loads(r.value.removeprefix("data: "))["start_qn"] == "A#run" for r in spark.read.text(str(tmp_path / "frames")).where("value != ''").collect())
     # the repository is cleared, and what comes next is the same text: nothing is accumulated
-    clear["now"] = [1]
-    bodies = iter([tables.units.latest().where("name = 'run'").first().body_text] * 3)
+    (tmp_path / "clears" / "1.json").write_text(json.dumps({"repo_id": 1, "seq": 1704067200_000000 + 40 * 60 * 1_000_000}))
+    bodies = iter([store.read("units").where("name = 'run'").first().body_text] * 3)
     (tmp_path / "in" / "2.json").write_text(event(3, "30") + "\n" + event(4, "50"))
+    version = store.versions()[-1]
     run()
-    assert tables.changes.latest().count() == 0 and out[-1] == []
-    assert all(len(t.versions()) <= t.keep for t in (tables.units, tables.edges, tables.hashes, tables.changes))
+    assert names() == [] and out[-1] == [] and store.versions()[-1] > version
+    # a batch that is part of the store already isn't done again
+    version = store.versions()[-1]
+    assert store.replace(stored.select(*FILE), {"units": stored.limit(0)}, (f"watch:{tmp_path / 'cp'}", 0)) == [] and store.versions()[-1] == version
 
 
 def test_git_diffs(spark, tmp_path):
@@ -218,13 +227,19 @@ def test_git_diffs(spark, tmp_path):
 
 
 def test_save_scan(spark, tree, tmp_path):
-    first = scan.scan(spark, str(tree), 7, spark.createDataFrame([], HASHES), embedding.HashingEmbedder(16))
-    paths = scan.save_scan({}, first, str(tmp_path / "v1"))
-    stored = {name: spark.read.parquet(path) for name, path in paths.items()}
-    again = scan.scan(spark, str(tree), 7, stored["hashes"], embedding.HashingEmbedder(16))
-    assert again.changed.count() == 0
-    more = {name: spark.read.parquet(path) for name, path in scan.save_scan(stored, again, str(tmp_path / "v2")).items()}
-    assert {name: t.count() for name, t in more.items()} == {name: t.count() for name, t in stored.items()}
+    store = Store(spark, str(tmp_path / "store"), scan.TABLES, buckets=8)
+    first = scan.scan(spark, str(tree), 7, store.read("hashes"), embedding.HashingEmbedder(16))
+    assert scan.save_scan(store, first)
+    sizes = {name: store.read(name).count() for name in scan.TABLES}
+    assert sizes["units"] == 7 + 7 + 3 and sizes["hashes"] == 3 and sizes["vectors"] and sizes["edges"]
+    assert scan.save_scan(store, scan.scan(spark, str(tree), 7, store.read("hashes"))) == [] and len(store.versions()) == 1
+    (tree / "src/web/cart.JS").unlink()
+    (tree / "src/A.java").write_text("class A { void only(int a) { run(a);\n go(); } }")
+    written = scan.save_scan(store, scan.scan(spark, str(tree), 7, store.read("hashes"), embedding.HashingEmbedder(16)))
+    assert 1 <= len(written) <= 2
+    assert sorted({r.file_path for r in store.read("units").collect()}) == ["conf/beans.xml", "src/A.java"] == sorted(r.file_path for r in store.read("hashes").collect())
+    assert {r.callee for r in store.read("edges").where("file_path = 'src/A.java'").collect()} == {"run", "go"}
+    assert store.read("units", version=0).count() == sizes["units"]
 
 
 def test_counts_and_autocomplete(spark):

@@ -32,9 +32,14 @@ def _forget(spark: SparkSession, path: str) -> None:
         pass
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A folder of its own below this application's, gone when the application ends."""
+    return f"{_root(spark)}/{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df``, computed now and written as a table: a lost executor costs a re-read, and its size is known to the optimizer."""
-    path = f"{_root(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -11,10 +11,14 @@ from ..config import DEFAULT, Settings
 from ..extract import registry
 from ..functions.columns import embeddable
 from ..operators import rows as R
+from ..schemas import CALL_EDGES
+from ..schemas import UNIT as UNIT_COLUMNS
 from ..sources.files import scan_tree
 from .embedding import Embedder, unit_vectors
+from .lineage import cut
+from .store import FILE, Store
 
-FILE, UNIT = ["repo_id", "file_path"], ["repo_id", "file_path", "qualified_name", "signature"]
+UNIT = [*FILE, "qualified_name", "signature"]
 
 
 @dataclass
@@ -52,21 +56,17 @@ def apply_scan(stored: DataFrame, fresh: DataFrame, result: Scan) -> DataFrame:
     return R.replace_by_file(stored, fresh, touched, FILE)
 
 
-def save_scan(stored: dict[str, DataFrame], result: Scan, folder: str) -> dict[str, str]:
-    """Write the tables after a scan below ``folder`` and return their paths (K1-K5).
+#: Tables that a scan keeps in a store, as it makes them.
+TABLES = {
+    "units": f"repo_id bigint, file_path string, ordinal int, {UNIT_COLUMNS}",
+    "edges": CALL_EDGES,
+    "hashes": "repo_id bigint, file_path string, hash string",
+    "vectors": "id string, repo_id bigint, language string, file_path string, qualified_name string, collection string, vector array<float>",
+}
 
-    ``stored``: the tables before, by name (``units``, ``edges``, ``hashes``, ``vectors``; any
-    may be missing). Vectors are partitioned by collection, so a search reads only its own.
-    The folder must be another than that of the stored tables: a version is never changed
-    while it is read.
-    """
+
+def save_scan(store: Store, result: Scan) -> list[int]:
+    """Bring the stored tables up to date (K1-K5): rows of changed and gone files are replaced, in their buckets only. Returns these."""
+    touched = cut(result.changed.select(*FILE).union(result.gone.select(*FILE)).distinct())
     fresh = {"units": result.units, "edges": result.edges, "hashes": result.changed.select(*FILE, "hash"), "vectors": result.vectors}
-    paths = {}
-    for name, new in fresh.items():
-        if new is None:
-            continue
-        table = apply_scan(stored[name], new, result) if name in stored else new
-        paths[name] = f"{folder.rstrip('/')}/{name}"
-        writer = table.write.mode("overwrite")
-        (writer.partitionBy("collection") if name == "vectors" else writer).parquet(paths[name])
-    return paths
+    return store.replace(touched, {name: new for name, new in fresh.items() if new is not None})

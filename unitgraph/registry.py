@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules() -> list:
-    from .queries import composed, extract, graph, search, service, units
+    from .queries import composed, extract, graph, maintenance, search, service, units
 
-    return [graph, units, search, service, extract, composed]
+    return [graph, units, search, service, maintenance, extract, composed]
 
 
 def queries() -> dict[str, Query]:

@@ -15,10 +15,11 @@ from ..functions.columns import watched
 from ..operators import graph as G
 from ..operators import rows as R
 from ..operators import service as S
+from ..plans.lineage import cut
+from ..plans.store import FILE, Store
 from ..schemas import WATCH_EVENTS
+from .state import OPERATIONS, accumulate
 
-KEYS, FILE = ["repo_id", "qualified_name"], ["repo_id", "file_path"]
-STATE = "repo_id bigint, qualified_name string, file_path string, name string, change string"
 
 
 def event_stream(spark: SparkSession, folder: str, max_files: int = 100) -> DataFrame:
@@ -32,53 +33,6 @@ def bursts(events: DataFrame, delay: str = "5 seconds", settings: Settings = DEF
     return S.debounced(events.withWatermark("ts", delay), settings)
 
 
-class StateTable:
-    """A table that batches change, a folder of versions; version n is what batch n left.
-
-    A batch that runs again after a failure reads the version before it and writes its own
-    anew, so it takes effect once. Versions before the ``keep`` last are deleted. ``first``
-    is what batch 0 finds.
-    """
-
-    def __init__(self, spark: SparkSession, folder: str, schema: str = STATE, first: DataFrame | None = None, keep: int = 3):
-        self.spark, self.folder, self.schema, self.first, self.keep = spark, folder.rstrip("/"), schema, first, keep
-        self.path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-
-    def _store(self):
-        return self.path(self.folder).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def versions(self) -> list[int]:
-        home, store = self.path(self.folder), self._store()
-        if not store.exists(home):
-            return []
-        names = [f.getPath().getName() for f in store.listStatus(home)]
-        done = [n for n in names if n.startswith("v=") and store.exists(self.path(f"{self.folder}/{n}/_SUCCESS"))]
-        return sorted(int(n[2:]) for n in done)
-
-    def before(self, batch: int) -> DataFrame:
-        older = [v for v in self.versions() if v < batch]
-        if older:
-            return self.spark.read.schema(self.schema).parquet(f"{self.folder}/v={older[-1]}")
-        return self.spark.createDataFrame([], self.schema) if self.first is None else self.first
-
-    def latest(self) -> DataFrame:
-        return self.before(1 << 62)
-
-    def write(self, batch: int, state: DataFrame) -> DataFrame:
-        where = f"{self.folder}/v={batch}"
-        empty = self.spark.createDataFrame([], self.schema)
-        state.select(*empty.columns).write.mode("overwrite").parquet(where)
-        for old in [v for v in self.versions() if v <= batch][: -self.keep]:
-            self._store().delete(self.path(f"{self.folder}/v={old}"), True)
-        return self.spark.read.schema(self.schema).parquet(where)
-
-
-def next_state(old: DataFrame, changed: DataFrame, cleared: DataFrame) -> DataFrame:
-    """State after a batch: last value of each name (ST2); repositories in ``cleared`` (repo_id) start anew."""
-    kept = old.join(cleared.select("repo_id").distinct(), "repo_id", "left_anti")
-    return R.upsert(kept, R.first_by(changed, KEYS, "file_path"), KEYS)
-
-
 @dataclass
 class Parsed:
     """What re-parsing some paths gives: units, edges and file hashes, each with ``repo_id, file_path``; ``files`` are the files looked at, gone ones too."""
@@ -89,50 +43,55 @@ class Parsed:
     hashes: DataFrame
 
 
-@dataclass
-class Tables:
-    """The tables that a watcher keeps current, and the changes it has accumulated."""
-
-    units: StateTable
-    edges: StateTable
-    hashes: StateTable
-    changes: StateTable
-
-
-def watch_loop(
-    stream: DataFrame,
-    tables: Tables,
-    reparse: Callable[[DataFrame], Parsed],
-    sink: Callable[[DataFrame, int], None],
-    checkpoint: str,
-    cleared: Callable[[int], DataFrame] | None = None,
-    settings: Settings = DEFAULT,
-) -> StreamingQuery:
-    """Start the loop (ST3): of each burst re-parse the paths, find changed units, write back, report the impact of all accumulated names.
-
-    ``reparse`` maps ``path`` rows to :class:`Parsed`. Units, edges and hashes of the files
-    that it looked at are replaced, so the next batch compares with what this one left.
-    ``cleared`` gives ``repo_id`` rows: repositories whose accumulated changes were taken
-    note of before a batch, and start anew. ``sink`` gets the chains of each batch. All
-    versions of a batch are written again if it runs again.
+def watch_loop(stream: DataFrame, store: Store, reparse: Callable[[DataFrame], Parsed], changes: str, checkpoint: str) -> StreamingQuery:
+    """Start the loop (ST3): of each burst re-parse the paths, find changed units, and bring the store up to date.
+
+    ``reparse`` maps ``path`` rows to :class:`Parsed`. Only the buckets of files that it looked
+    at are read and written. Changed names go to the folder ``changes`` as operations for
+    :func:`report_loop`, before the store's version is switched: a batch that runs again finds
+    either the old version and repeats its work, or the new one and does nothing.
     """
+    writer = f"watch:{checkpoint}"
 
     def step(batch: DataFrame, batch_id: int) -> None:
+        if store.done((writer, batch_id)):
+            return
+        at = F.unix_micros(F.coalesce(F.lit(batch.agg(F.max("last_ts")).first()[0]).cast("timestamp"), F.timestamp_seconds(F.lit(0))))
         fresh = reparse(batch.select(F.explode("paths").alias("path")).distinct())
         files = fresh.files.select(*FILE).distinct()
-        before = tables.units.before(batch_id)
-        own, old = fresh.units.join(files, FILE, "left_semi"), before.join(files, FILE, "left_semi")
-        changed = R.changed_units(own, old, [*FILE, "qualified_name", "signature"])
-        none = batch.sparkSession.createDataFrame([], "repo_id bigint")
-        now = tables.changes.write(batch_id, next_state(tables.changes.before(batch_id), changed, none if cleared is None else cleared(batch_id)))
-        units = tables.units.write(batch_id, R.replace_by_file(before, own, files, FILE))
-        edges = tables.edges.write(batch_id, R.replace_by_file(tables.edges.before(batch_id), fresh.edges, files, FILE))
-        tables.hashes.write(batch_id, R.replace_by_file(tables.hashes.before(batch_id), fresh.hashes, files, FILE))
-        sink(G.impact_chains(now.select(F.col("qualified_name").alias("start_qn")), edges, units, settings), batch_id)
+        # what is parsed anew is read once by each step below
+        units = cut(fresh.units.join(files, FILE, "left_semi"))
+        changed = R.changed_units(units, store.read_files("units", files), [*FILE, "qualified_name", "signature"])
+        named = R.first_by(changed, ["repo_id", "qualified_name"], "file_path").select("repo_id", F.lit("set").alias("op"), at.alias("seq"), "qualified_name", "file_path", "name", "change")
+        touched = files.select("repo_id").distinct().select("repo_id", F.lit("touch").alias("op"), at.alias("seq"), *[F.lit(None).cast("string").alias(c) for c in ("qualified_name", "file_path", "name", "change")])
+        named.unionByName(touched).write.mode("overwrite").parquet(f"{changes.rstrip('/')}/batch={batch_id}")
+        store.replace(files, {"units": units, "edges": fresh.edges, "hashes": fresh.hashes}, (writer, batch_id))
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def change_stream(spark: SparkSession, changes: str, clears: str | None = None) -> DataFrame:
+    """Operations of :func:`watch_loop`, and clears (``repo_id, seq``, in microseconds) that arrive as JSON files."""
+    found = spark.readStream.schema(OPERATIONS).parquet(f"{changes.rstrip('/')}/batch=*")
+    if clears is None:
+        return found
+    asked = spark.readStream.schema("repo_id bigint, seq bigint").json(clears)
+    return found.unionByName(asked.withColumn("op", F.lit("clear")), allowMissingColumns=True)
+
+
+def report_loop(operations: DataFrame, store: Store, sink: Callable[[DataFrame, int], None], checkpoint: str, slices: int = 8, settings: Settings = DEFAULT) -> StreamingQuery:
+    """Start the reports: names accumulate in keyed state, and a burst reports the impact of all accumulated names of its repositories.
+
+    ``sink`` gets the chains of each batch; an empty batch of names gives it none.
+    """
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        names = cut(batch.where("op = 'set'").select(F.col("qualified_name").alias("start_qn")).distinct())
+        sink(G.impact_chains(names, store.read("edges"), store.read("units"), settings), batch_id)
+
+    return accumulate(operations, slices).writeStream.outputMode("update").foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def frame_sink(folder: str) -> Callable[[DataFrame, int], None]:
     """A sink that writes each batch's chains as JSON frames, a folder a batch, replaced if the batch runs again (K8)."""
 
