@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions.columns import callee_patterns, short_name, slashes
-from ..plans.lineage import cut, only_named
+from ..plans.lineage import SMALL, cut, only_named
 from .rows import first_by
 
 
@@ -29,27 +31,83 @@ def next_frontier(frontier: DataFrame, edges: DataFrame, visited: DataFrame, set
     return callers.join(visited.select("start_qn", "qualified_name"), ["start_qn", "qualified_name"], "left_anti")
 
 
+#: Starts whose sets share one number.
+WORD = 64
+
+
+def _one(bit: Column) -> Column:
+    """The number in which only ``bit`` is set."""
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)
+
+
+def _unpacked(rows: DataFrame, *columns: str) -> DataFrame:
+    """A row for each set bit of ``mask``, as ``bit``."""
+    bits = F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda k: F.getbit("mask", k) == 1)
+    return rows.select(*columns, "chunk", F.explode(bits).alias("bit"))
+
+
+def _only(rows: DataFrame, states: DataFrame, which: str) -> DataFrame:
+    """``rows`` with the starts that column ``which`` of ``states`` (a row a chunk) holds."""
+    joined = rows.join(states.select("chunk", F.col(which).alias("_which")), "chunk").withColumn("mask", F.col("mask").bitwiseAND(F.col("_which")))
+    return joined.where("mask <> 0").select("qualified_name", "chunk", "mask")
+
+
+def next_sets(frontier: DataFrame, edges: DataFrame, visited: DataFrame, settings: Settings = DEFAULT, few: bool = False) -> DataFrame:
+    """``qualified_name, chunk, mask``: callers of the frontier's nodes, with the starts that haven't visited them.
+
+    ``frontier`` and ``visited`` have those columns too. The edges are read once for all
+    starts, and an edge gives at most a row for each chunk of starts that asks for it.
+    ``few``: the frontier is known to have few enough rows to be broadcast.
+    """
+    patterns = frontier.select(F.explode(callee_patterns(F.col("qualified_name"), settings)).alias("callee"), "chunk", "mask")
+    asked = edges.select("caller", "callee")
+    callers = asked.join(F.broadcast(patterns) if few else patterns, "callee").groupBy(F.col("caller").alias("qualified_name"), "chunk").agg(F.bit_or("mask").alias("mask"))
+    seen = visited.groupBy("qualified_name", "chunk").agg(F.bit_or("mask").alias("seen"))
+    fresh = callers.join(seen, ["qualified_name", "chunk"], "left").withColumn("mask", F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("seen", F.lit(0).cast("bigint")))))
+    return fresh.where("mask <> 0").select("qualified_name", "chunk", "mask")
+
+
 def upstream(starts: DataFrame, edges: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """``start_qn, qualified_name, depth`` of all that call each start, directly or not (G1).
 
     Level by level, depth ``max_depth`` at most; of each start at most ``max_nodes``
     nodes, itself included, are kept: those of a level in order of their name (Q4).
-    A start never gathers more than ``max_nodes`` rows behind its rank, because the rank's
-    limit is applied before the shuffle. A level reads only the edges that its frontier
-    asks for, and starts that have no room left ask for none. Each level is computed once
-    and kept, because the next reads it several times.
+    Starts are numbered, and a node holds sets of them, ``WORD`` to a number: a level reads the
+    edges once, whatever the number of starts, and shuffles a row for each caller and chunk of
+    starts. Only starts for which a level has more than their room are unpacked and ranked,
+    the rank's limit applied before the shuffle. Starts that have no room left ask for no edges, and
+    a level that nobody asks for isn't computed.
     """
-    visited = cut(starts.select("start_qn", F.col("start_qn").alias("qualified_name"), F.lit(0).alias("depth")).distinct())
-    frontier = visited
-    by_name = Window.partitionBy("start_qn").orderBy("qualified_name")
+    named = starts.select("start_qn").where("start_qn is not null").distinct().sortWithinPartitions("start_qn").withColumn("_n", F.monotonically_increasing_id())
+    # numbers are consecutive within a partition, so a chunk is of one partition; they are written, and so the same for all readers
+    numbers = cut(named.select("start_qn", F.floor(F.col("_n") / WORD).alias("chunk"), (F.col("_n") % WORD).cast("int").alias("bit")))
+    frontier = numbers.select(F.col("start_qn").alias("qualified_name"), "chunk", F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bit")).alias("mask"))
+    levels = [frontier]
+    room = numbers.select("chunk", "bit", F.lit(settings.max_nodes - 1).cast("bigint").alias("room")).where("room > 0")
+    rows = numbers.count()
     for depth in range(1, settings.max_depth + 1):
-        room = visited.groupBy("start_qn").agg((F.lit(settings.max_nodes) - F.count("*")).alias("_room")).where("_room > 0")
-        asking = frontier.join(room.select("start_qn"), "start_qn", "left_semi") if depth > 1 else frontier
-        fresh = next_frontier(asking, edges, visited, settings)
-        ranked = fresh.withColumn("_rank", F.row_number().over(by_name)).where(F.col("_rank") <= settings.max_nodes)
-        frontier = cut(ranked.join(room, "start_qn").where(F.col("_rank") <= F.col("_room")).select("start_qn", "qualified_name", F.lit(depth).alias("depth")))
-        visited = visited.unionByName(frontier)
-    return visited
+        fresh = cut(next_sets(frontier, edges, reduce(DataFrame.unionByName, levels), settings, rows <= SMALL))
+        found = _unpacked(fresh).groupBy("chunk", "bit").agg(F.count("*").alias("found"))
+        # a row for each start that has room and finds something: the frontier holds no others
+        states = cut(room.join(found, ["chunk", "bit"]))
+        fits, more = F.col("found") <= F.col("room"), F.col("found") < F.col("room")
+        masks = states.groupBy("chunk").agg(*[F.bit_or(F.when(c, _one(F.col("bit"))).otherwise(F.lit(0).cast("bigint"))).alias(n) for n, c in (("whole", fits), ("over", ~fits), ("left", more))])
+        rows, crowded, asking = states.agg(F.coalesce(F.sum(F.least("found", "room")), F.lit(0)), F.count_if(~fits), F.count_if(more)).first()
+        level = _only(fresh, masks, "whole")
+        if crowded:
+            by_name = Window.partitionBy("chunk", "bit").orderBy("qualified_name")
+            ranked = _unpacked(_only(fresh, masks, "over"), "qualified_name").withColumn("_rank", F.row_number().over(by_name)).where(F.col("_rank") <= settings.max_nodes)
+            kept = ranked.join(states.select("chunk", "bit", "room"), ["chunk", "bit"]).where("_rank <= room")
+            packed = kept.groupBy("qualified_name", "chunk").agg(F.bit_or(_one(F.col("bit"))).alias("mask"))
+            level = cut(level.unionByName(packed))
+        levels.append(level)
+        if not asking:
+            break
+        frontier = _only(fresh, masks, "left")
+        room = states.where(more).select("chunk", "bit", (F.col("room") - F.col("found")).alias("room"))
+    # the same node may be in a level twice, for different starts
+    nodes = reduce(DataFrame.unionByName, [_unpacked(level.withColumn("depth", F.lit(k)), "qualified_name", "depth") for k, level in enumerate(levels)])
+    return cut(nodes.join(numbers, ["chunk", "bit"]).select("start_qn", "qualified_name", "depth"))
 
 
 def callers_of(nodes: DataFrame, edges: DataFrame, settings: Settings = DEFAULT) -> DataFrame:

@@ -10,6 +10,7 @@ from ..operators import render
 from ..operators import rows as R
 from ..operators import service as S
 from ..plans import tables as T
+from ..plans.lineage import cut
 from .search import formats_sql
 
 
@@ -40,10 +41,16 @@ nodes AS (SELECT start_qn, start_qn AS qualified_name, 0 AS depth FROM starts UN
 _PARTS = "starts AS (SELECT concat('part#', CAST(p_partkey AS VARCHAR)) AS start_qn FROM part)"
 
 
+def _edges(spark, d):
+    """The edges as a stored table, which the levels of a search read."""
+    return cut(T.edges(spark, d))
+
+
 def impact_upstream(spark, d):
     starts = spark.createDataFrame([("supp#1",)], "start_qn string")
-    nodes = G.upstream(starts, T.edges(spark, d))
-    return G.node_details(nodes, T.graph_units(spark, d), T.edges(spark, d)).where("depth > 0").drop("body_text")
+    edges = T.edges(spark, d)
+    nodes = G.upstream(starts, edges)
+    return G.node_details(nodes, T.graph_units(spark, d), edges).where("depth > 0").drop("body_text")
 
 
 _DETAIL = f"""{T.GU}, one AS (SELECT * FROM graph_units QUALIFY row_number() OVER (PARTITION BY qualified_name ORDER BY file_path, start_line) = 1),
@@ -57,13 +64,14 @@ def impact_multi(spark, d):
 
 
 def impact_detail(spark, d):
-    nodes = G.upstream(_starts(spark, d), T.edges(spark, d)).where("depth > 0")
-    return G.node_details(nodes, T.graph_units(spark, d), T.edges(spark, d))
+    edges = _edges(spark, d)
+    nodes = G.upstream(_starts(spark, d), edges).where("depth > 0")
+    return G.node_details(nodes, T.graph_units(spark, d), edges)
 
 
 def impact_sizes(spark, d):
     starts = T.table(spark, d, "part").select(F.concat(F.lit("part#"), F.col("p_partkey").cast("string")).alias("start_qn"))
-    return G.upstream(starts, T.edges(spark, d)).groupBy("start_qn", "depth").agg(F.count("*").alias("nodes"))
+    return G.upstream(starts, _edges(spark, d)).groupBy("start_qn", "depth").agg(F.count("*").alias("nodes"))
 
 
 def impact_report(spark, d):
@@ -80,7 +88,8 @@ SELECT c.start_qn, direct, indirect, report, c.start_qn AS display FROM counts c
 def impact_context(spark, d):
     starts = _starts(spark, d)
     units = T.graph_units(spark, d)
-    nodes = G.node_details(G.upstream(starts, T.edges(spark, d)).where("depth > 0"), units, T.edges(spark, d))
+    edges = _edges(spark, d)
+    nodes = G.node_details(G.upstream(starts, edges).where("depth > 0"), units, edges)
     own = R.first_by(units, ["qualified_name"], "file_path", "start_line").withColumnRenamed("qualified_name", "start_qn").join(starts, "start_qn", "left_semi")
     lang = F.element_at(F.array(*map(F.lit, ["en", "zh", "ja", "xx"])), (F.substring_index("start_qn", "#", -1).cast("int") % 4 + 1).cast("int"))
     return render.impact_context(own, nodes, lang)
