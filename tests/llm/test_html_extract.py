@@ -1,5 +1,6 @@
 import html as htmllib
 import re
+import time
 
 import pytest
 
@@ -109,3 +110,57 @@ def test_paths_stay_apart_however_long(depth):
     paths = H.Page(page).paths
     assert len(set(paths)) == len(paths) and max(map(len, paths)) < H.LONGEST_PATH + 200
     assert "remark" not in H.main_text(page) and H.main_text(page).count("paragraph") == 6
+
+
+MAIN = ("The main text of this page is here and long enough to be one. " * 4).strip()
+READER = "I think that this is a comment by a reader. " * 8
+
+
+@pytest.mark.parametrize("tag", ["div", "article", "section"])
+@pytest.mark.parametrize(
+    "names", ["post comments-open", "post category-advertising", "post-12 post tag-cookies hentry", "post type-post category-promotion", "story ad-free", "container promo-top", "page-comments", "content ads-loaded"]
+)
+def test_names_that_only_sound_like_boilerplate(tag, names):
+    page = f"<body><nav><a href=x>Home</a> menu line</nav><{tag} class='{names}'><p>{MAIN}</p></{tag}><footer>Foot line</footer></body>"
+    assert H.main_text(page) == MAIN
+
+
+@pytest.mark.parametrize("attribute", ["data-id='ad-7'", "data-class='comment box'", "x:class='ads'"])
+def test_other_attributes_are_no_names(attribute):
+    assert H.main_text(f"<body><nav>menu line</nav><div {attribute}><p>{MAIN}</p></div><footer>Foot line</footer></body>") == MAIN
+
+
+@pytest.mark.parametrize("names", ["comments-with-avatars", "comments-disabled-form", "discussion", "responses", "author-bio", "comments", "comment-list", "page-comments"])
+def test_comments_go(names):
+    part = f"<div class='{names}'><p>{READER}</p></div>"
+    for page in (f"<body><article><p>{MAIN}</p>{part}</article><footer>Foot</footer></body>", f"<body><div class=content><p>{MAIN}</p></div>{part}<footer>Foot</footer></body>"):
+        assert H.main_text(page) == MAIN
+
+
+def test_text_of_formulas_and_fallbacks_stays():
+    page = "<article><p>So <math><mi>x</mi> = <mn>42</mn></math> holds.</p><video src=v>The film shows a bee.</video><p>An <object>old plugin</object> too.</p></article>"
+    assert H.main_text(page) == "So x = 42 holds.\nThe film shows a bee.\nAn old plugin too."
+
+
+@pytest.mark.parametrize("tag", ["form", "aside", "nav", "dialog", "header", "div", "li", "section", "td", "x"])
+def test_nested_elements_take_linear_time(tag):
+    began = time.time()
+    for page in (f"<{tag}>a" * 40_000, "<div>" * 20_000 + f"</{tag}>" * 20_000, f"<form><{tag}>a" * 20_000):
+        H.main_text(page)
+    assert time.time() - began < 6
+
+
+def test_votes_are_a_plain_count(spark):
+    """Winning paths of hosts whose pages have no article element, against a count page by page."""
+    pages = []
+    for k in range(60):
+        inner = "".join(f"<p>{MAIN} {k} {j}</p>" for j in range(k % 4))
+        layout = f"<div class='wrap w{k}'><div class='col'>{inner}</div><div class='side'><p>{'other things ' * (3 + k % 5)}</p></div></div>" if k % 3 else f"<table><tr><td>{inner}</td></tr></table>"
+        pages.append((k, f"http://h{k % 4}.org/{k}", f"<body>{layout}</body>"))
+    got = {r.host: r.winners for r in H.winning_paths(spark.createDataFrame(pages, "page_id int, url string, html string")).collect()}
+    want = {}
+    for _, url, html in pages:
+        for path, share in H.votes(html):
+            own = want.setdefault(url.split("/")[2], {})
+            own[path] = own.get(path, 0) + round(share * 1_000_000)
+    assert got == {h: sorted(v, key=lambda p: (-v[p], -len(p), p))[:3] for h, v in want.items()} and len(got) == 4

@@ -25,32 +25,38 @@ from .shared import materialize
 
 #: Element names of HTML by what they do to the flow of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math select option button object canvas audio video".split())
+RAW = frozenset("script style textarea title template iframe svg select option button".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINER = frozenset("article blockquote body center dd details div dl fieldset figure html li main ol section table tbody td tr ul".split())
 BOILERPLATE_TAGS = frozenset("nav footer aside form head menu dialog".split())
 #: Names that pages give to parts around an article.
 BOILERPLATE_NAMES = frozenset(
-    """ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies
-    disqus footer form gdpr login masthead menu modal nav navbar navigation newsletter notice notices overlay pagination paging popup promo
-    promotion related replies respond rss search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets""".split()
+    """ad ads adv advert adverts advertisement advertising banner bio breadcrumb breadcrumbs comment comments consent cookie cookies
+    discussion discussions disqus footer form gdpr login masthead menu modal nav navbar navigation newsletter notice notices overlay pagination paging popup promo
+    promotion related replies respond response responses rss search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets""".split()
 )
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 ARTICLE_NAMES = frozenset("article body content entry main post story text".split())
 
 #: Boilerplate that never holds an article, whatever its size.
 CLOSED_TAGS = frozenset("nav footer head menu header".split())
-CLOSED_NAMES = frozenset("ad ads adv advert adverts advertisement advertising comment comments consent cookie cookies disqus gdpr promo promotion related replies respond".split())
+CLOSED_NAMES = frozenset(
+    "ad ads adv advert adverts advertisement advertising comment comments consent cookie cookies discussion discussions disqus gdpr promo promotion related replies respond response responses".split()
+)
+#: With a closed name, these make up the whole name of such a part: comment-list, ad-slot.
+PART_NAMES = frozenset("area block box container count form inner item items link links list outer section slot thread title unit wrap wrapper".split())
 #: Names of wrappers: with these in it, a name like content-sidebar-wrap is not that of a sidebar.
 WRAPPER_NAMES = ARTICLE_NAMES | frozenset("container layout page wrap wrapper".split())
 
-#: A name with one of these says what an element has or lacks, not what it is: has-comments, no-sidebar, related-off.
-MODIFIERS = frozenset("has no with without off none disabled enabled".split())
+#: A name that begins or ends with one of these says what an element has or lacks, not what it is: has-comments, comments-open, ad-free.
+MODIFIERS = frozenset("has no with without off none disabled enabled open closed free loaded ready allowed".split())
+#: A name that begins with one of these says what an article is filed under: category-advertising, tag-cookies.
+FILED = frozenset("category cat tag type format status topic term label".split())
 
 LONGEST_PATH = 1000
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""", re.S)
-_ATTR = re.compile(r"""\b(class|id|role|hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTR = re.compile(r"""(?<![\w:.-])(class|id|role|hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _GENERATED = re.compile(r"[0-9]+|(?<=[-_])[0-9a-f]{6,}\b")
 #: A start tag of a key ends an open element of its values.
@@ -71,13 +77,14 @@ class Page:
         self.blocks: list[tuple[str, int, int, int]] = []  # text, container, innermost boilerplate element or -1, characters in links
         self.parent: list[int] = [-1]
         self.article: list[bool] = [False]  # whether an element is an article or inside one
-        self.shut: dict[int, tuple[int, int]] = {}  # boilerplate element: the one around it or -1, 0 closed, 1 open if all is shut, 2 open if it holds the article
+        self.shut: dict[int, tuple[int, int]] = {}  # boilerplate element: the one around it or -1, and when it is opened: 0 never, 1 if all is shut, 2 if it holds the article, 3 if it holds the only one or all text
         self.articles: list[tuple[int, int]] = []  # article and main elements, innermost boilerplate
         self._read(html)
         self._reopen()
 
     def _read(self, html: str) -> None:
         stack: list[tuple[str, int, int]] = [("html", 0, -1)]  # tag, node (own or that of the container), innermost boilerplate
+        count = Counter(["html"])  # of the tags on the stack
         text: list[str] = []
         linked, links = 0, 0
         at, n = 0, len(html)
@@ -95,6 +102,7 @@ class Page:
         def close(depth: int):
             while len(stack) > depth:
                 tag, node, _ = stack.pop()
+                count[tag] -= 1
                 if node != stack[-1][1]:
                     self.end[node] = len(blocks)
 
@@ -121,7 +129,7 @@ class Page:
                     links = max(0, links - 1)
                 elif tag in BLOCK:
                     flush()
-                    for depth in range(len(stack) - 1, 0, -1):
+                    for depth in range(len(stack) - 1, 0, -1) if count[tag] else ():
                         if stack[depth][0] == tag:
                             close(depth)
                             break
@@ -143,7 +151,7 @@ class Page:
                 continue
             flush()
             links = 0
-            if tag in ("html", "head", "body") and any(t == tag for t, _, _ in stack):
+            if tag in ("html", "head", "body") and count[tag]:
                 continue
             if stack[-1][0] == "p" or tag != "p" and any(t == "p" for t, _, _ in stack[-3:]):
                 for depth in range(len(stack) - 1, 0, -1):
@@ -152,7 +160,8 @@ class Page:
                         break
             if tag == "body" and stack[-1][0] == "head":
                 close(len(stack) - 1)
-            for closes in (_CLOSES.get(tag, ()),):
+            closes = _CLOSES.get(tag, ())
+            if any(count[t] for t in closes):
                 for depth in range(len(stack) - 1, 0, -1):
                     if stack[depth][0] in closes:
                         close(depth)
@@ -180,7 +189,11 @@ class Page:
                     else:
                         for name in value.split():
                             parts = [x.lower() for x in _NAME_PARTS.findall(name)]
-                            names += parts if MODIFIERS.isdisjoint(parts) else ()
+                            if not parts or parts[0] in FILED and len(parts) > 1 or parts[0] in MODIFIERS or parts[-1] in MODIFIERS:
+                                continue
+                            names += parts
+                            # the whole name is that of a part that is never opened
+                            closed |= not CLOSED_NAMES.isdisjoint(parts) and all(x in PART_NAMES or x in BOILERPLATE_NAMES for x in parts)
                         if key == "class":
                             classes += [_GENERATED.sub("#", c) for c in value.split()]
             if tag in ("body", "html", "main", "article"):
@@ -208,8 +221,9 @@ class Page:
                     self.articles.append((node, boiler))
                 if shut:
                     wraps = tag in ("form", "aside", "dialog") and (BOILERPLATE_NAMES - {tag}).isdisjoint(names) or not WRAPPER_NAMES.isdisjoint(names)
-                    self.shut[node] = boiler, 0 if closed or not CLOSED_NAMES.isdisjoint(names) else 1 + wraps
+                    self.shut[node] = boiler, 0 if closed else 3 if not CLOSED_NAMES.isdisjoint(names) else 1 + wraps
             stack.append((tag, node, node if shut else boiler))
+            count[tag] += 1
         flush()
         close(1)
         self.end[0] = len(blocks)
@@ -218,28 +232,37 @@ class Page:
         """Open boilerplate elements that hold the article: a form around the page, a wrapper named after its sidebar.
 
         They hold most of the text that isn't in menus and the like, or the page's only
-        article or main elements. If all text is shut, everything not closed for good is opened.
+        article or main elements. One named after comments, adverts and the like must hold
+        nearly all text, or the only article. If all text is shut, everything not closed for good is opened.
         """
         if not self.shut:
             return
-        closed = {-1: False}
-        for node, (outer, kind) in self.shut.items():
-            closed[node] = closed[outer] or kind == 0
-        sums = [0]
-        for text, _, boiler, linked in self.blocks:
-            sums.append(sums[-1] + (0 if closed[boiler] else len(text) - linked))
-        held = lambda node: sums[self.end[node]] - sums[self.first[node]]
+
+        def counted(kinds: tuple[int, ...]):
+            """Whether a boilerplate element is in one of some kinds, and the characters outside links of the others that stand in an element."""
+            closed = {-1: False}
+            for node, (outer, kind) in self.shut.items():
+                closed[node] = closed[outer] or kind in kinds and node not in opened
+            sums = [0]
+            for text, _, boiler, linked in self.blocks:
+                sums.append(sums[-1] + (0 if closed[boiler] else len(text) - linked))
+            return closed, sums, lambda node: sums[self.end[node]] - sums[self.first[node]]
+
+        opened: set[int] = set()
+        closed, sums, held = counted((0,))
         outside = any(boiler < 0 and held(node) for node, boiler in self.articles)
-        holders = set()
+        holders: set[int] = set()
         for node, boiler in () if outside else self.articles:
-            while boiler >= 0 and held(node):
+            while boiler >= 0 and boiler not in holders and held(node):
                 holders.add(boiler)
                 boiler = self.shut[boiler][0]
+        opened = {node for node, (_, kind) in self.shut.items() if kind == 3 and not closed[node] and not outside and (node in holders or sums[-1] and 10 * held(node) >= 9 * sums[-1])}
+        closed, sums, held = counted((0, 3))
         inner = {-1: -1}
         for everything in (False, True):
             for node, (outer, kind) in self.shut.items():
-                opened = not closed[node] and (everything or kind == 2 and (node in holders or 2 * held(node) > sums[-1]))
-                inner[node] = inner[outer] if opened else node
+                free = node in opened or not closed[node] and (everything or kind == 2 and (node in holders or 2 * held(node) > sums[-1]))
+                inner[node] = inner[outer] if free else node
             if not sums[-1] or any(inner[boiler] < 0 and len(text) > linked for text, _, boiler, linked in self.blocks):
                 break
         self.blocks = [(text, node, inner[boiler], linked) for text, node, boiler, linked in self.blocks]
