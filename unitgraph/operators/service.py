@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions.columns import percent, slashes
+from ..plans.lineage import cut
 from .rows import first_by, last_by
 
 
@@ -97,25 +98,57 @@ def watch_state(events: DataFrame, keys: list[str], *order: str) -> DataFrame:
 def debounced(events: DataFrame, settings: Settings = DEFAULT, key: str | None = None) -> DataFrame:
     """Bursts of events: ``first_ts, last_ts, events, paths`` (ST1). Each event restarts the timer.
 
-    One timer for all events - which is one task's work - unless ``key`` names a column,
-    such as the repository. The same code runs on a stream with a watermark, where a
-    session needs some key: without one it is that there is a time.
+    One timer for all events, unless ``key`` names a column, such as the repository. On a
+    stream, which needs a watermark, a burst is a session window, and without a key its key is that there is a
+    time. A table's time line is cut into ranges (:func:`numbered_islands`), so that
+    one timer isn't one task. Events without a time belong to no burst.
     """
-    window = F.session_window("ts", f"{settings.debounce_ms} milliseconds")
-    keys = [window.alias("w"), F.col(key) if key else F.col("ts").isNotNull().alias("_any")]
-    agg = events.groupBy(*keys).agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("events"), F.array_sort(F.collect_set("path")).alias("paths"))
-    return agg.drop("w", "_any")
+    if events.isStreaming:
+        window = F.session_window("ts", f"{settings.debounce_ms} milliseconds")
+        groups = [window.alias("_w"), F.col(key) if key else F.col("ts").isNotNull().alias("_any")]
+    else:
+        own = [key] if key else []
+        timed = events.where(F.col("ts").isNotNull()).select("ts", "path", F.unix_micros(F.col("ts").cast("timestamp")).alias("_at"), *own)
+        events = numbered_islands(timed, own, "_at", "_at", settings.debounce_ms * 1000)
+        groups = [F.col(c) for c in (*own, "island")]
+    agg = events.groupBy(*groups).agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("events"), F.array_sort(F.collect_set("path")).alias("paths"))
+    return agg.select("first_ts", "last_ts", "events", "paths") if key is None else agg.select(key, "first_ts", "last_ts", "events", "paths")
+
+
+def numbered_islands(rows: DataFrame, keys: list[str], start: str, end: str, gap: int, ranges: int | None = None) -> DataFrame:
+    """Rows with ``island``, numbered from 0 in each key: a row opens one if it starts more than ``gap`` behind the furthest end before it.
+
+    The rows are dealt to ``ranges`` of (key, start, end) of about equal size, and each is swept alone. What a range
+    needs of those before it - the furthest end, and how many islands there are - comes
+    from a scan over one row for each key and range. So neither a key with most rows nor a table
+    without keys is one task's work. Null starts come first, as Spark sorts them, and open no island.
+    """
+    n = ranges or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # written, so that all readers see a row in the same range
+    dealt = cut(rows.repartitionByRange(n, *keys, start, end).withColumn("_range", F.spark_partition_id()))
+    by_range = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys, "_range").orderBy(start, end)
+    ends = dealt.groupBy(*keys, "_range").agg(F.max(end).alias("_end")).withColumn("_carried", F.max("_end").over(by_range)).drop("_end")
+
+    def joined(left: DataFrame, right: DataFrame) -> DataFrame:
+        same = F.col("l._range") == F.col("r._range")
+        for k in keys:
+            same = same & F.col(f"l.`{k}`").eqNullSafe(F.col(f"r.`{k}`"))
+        added = [F.col(f"r.`{c}`") for c in right.columns if c not in (*keys, "_range")]
+        return left.alias("l").join(right.alias("r"), same).select("l.*", *added)
+
+    before = F.greatest(F.max(end).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.col("_carried"))
+    opened = joined(dealt, ends).withColumn("_new", F.when(F.col(start) - before > gap, 1).otherwise(0)).withColumn("_here", F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    counts = opened.groupBy(*keys, "_range").agg(F.sum("_new").alias("_count")).withColumn("_before", F.coalesce(F.sum("_count").over(by_range), F.lit(0))).drop("_count")
+    return joined(opened, counts).withColumn("island", (F.col("_here") + F.col("_before")).cast("int")).select(*[F.col(f"`{c}`") for c in rows.columns], "island")
 
 
 def merged_gaps(rows: DataFrame, keys: list[str], start: str, end: str, gap: int) -> DataFrame:
     """Neighbouring ranges joined while the gap to the furthest end so far is at most ``gap`` (EX15, W2).
 
-    Returns the rows with ``island``, numbered from 0 in each key.
+    Returns the rows with ``island``, numbered from 0 in each key (see :func:`numbered_islands`).
     """
-    before = Window.partitionBy(*keys).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy(*keys).orderBy(start, end).rowsBetween(Window.unboundedPreceding, 0)
-    new = F.when(F.col(start) - F.max(end).over(before) > gap, 1).otherwise(0)
-    return rows.withColumn("_new", new).withColumn("island", F.sum("_new").over(upto).cast("int")).drop("_new")
+    return numbered_islands(rows, keys, start, end, gap)
 
 
 def impact_report(chains: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
