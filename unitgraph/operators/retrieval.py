@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
-from itertools import groupby
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,8 +15,9 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, TERMS, Settings
 from ..functions.columns import LOWER, UPPER, ascii_fold, contains_like, inner_product, trivial_name
+from . import substring
 
-#: Queries broadcast at once (some megabytes of vectors), and words that one scan looks for.
+#: Queries broadcast at once (some megabytes of vectors), and pairs of query and word that one scan looks for.
 QUERY_BATCH, WORD_BATCH = 512, 256
 
 
@@ -95,27 +95,26 @@ def _matches(columns: list[str], word: str) -> Column:
 def keyword_hits(units: DataFrame, words: DataFrame, limit: int | None = None, settings: Settings = DEFAULT) -> DataFrame:
     """Units whose name or summary contains a word of the query, and ``query_id``; first ``limit`` by name (F8, T5).
 
-    ``words``: ``query_id, word``, a batch that somebody typed: it is collected, and its
-    words become expressions of one scan (of several, ``WORD_BATCH`` words each, for a long
-    batch). Texts are folded once; no join takes place, and a unit meets a query once.
+    ``words``: ``query_id, word``. Up to ``WORD_BATCH`` pairs become expressions of one scan: texts
+    are folded once, and no join takes place. More are looked up in an index of grams
+    (:func:`.substring.hits`), and never reach the driver. A unit meets a query once.
     """
     n = settings.keyword_limit if limit is None else limit
+    w = Window.partitionBy("query_id").orderBy("qualified_name")
+    typed = words.select("query_id", "word").where("query_id is not null and word is not null").distinct().limit(WORD_BATCH + 1).collect()
+    if len(typed) > WORD_BATCH:
+        found = substring.hits(units, words, ["qualified_name", "summary"]).select(*[F.col(f"`{c}`") for c in units.columns], "query_id")
+        return found.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= n).drop("_place")
     kind = dict(words.dtypes)["query_id"]
     columns = [F.col(f"`{c}`") for c in units.columns]
     folded = units.select(F.struct(*columns).alias("_unit"), ascii_fold(F.col("qualified_name")).alias("_name"), ascii_fold(F.coalesce("summary", F.lit(""))).alias("_text"))
-    batches: list[dict] = [{}]
-    for query, own in groupby(sorted({(r.query_id, r.word) for r in words.select("query_id", "word").where("query_id is not null and word is not null").collect()}), key=lambda x: x[0]):
-        if len(batches[-1]) >= WORD_BATCH:
-            batches.append({})
-        for _, word in own:
-            batches[-1].setdefault(word, []).append(query)
-    hits = []
-    for batch in batches:
-        found = [F.when(_matches(["_name", "_text"], word), F.array(*map(F.lit, queries)).cast(f"array<{kind}>")) for word, queries in batch.items()]
-        every = F.array_distinct(F.flatten(F.array_compact(F.array(*found)))) if found else F.array().cast(f"array<{kind}>")
-        hits.append(folded.select("_unit", F.explode(every).alias("query_id")).select("_unit.*", "query_id"))
-    w = Window.partitionBy("query_id").orderBy("qualified_name")
-    return reduce(DataFrame.union, hits).withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= n).drop("_place")
+    asking: dict[str, list] = {}
+    for query, word in sorted((r.query_id, r.word) for r in typed):
+        asking.setdefault(word, []).append(query)
+    found = [F.when(_matches(["_name", "_text"], word), F.array(*map(F.lit, queries)).cast(f"array<{kind}>")) for word, queries in asking.items()]
+    every = F.array_distinct(F.flatten(F.array_compact(F.array(*found)))) if found else F.array().cast(f"array<{kind}>")
+    hits = folded.select("_unit", F.explode(every).alias("query_id")).select("_unit.*", "query_id")
+    return hits.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= n).drop("_place")
 
 
 def autocomplete(units: DataFrame, typed: str, limit: int = 20) -> DataFrame:

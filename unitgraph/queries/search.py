@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import render
 from ..operators import retrieval as R
+from ..operators import substring
 from ..operators import rows
 from ..plans import tables as T
 
@@ -84,12 +85,42 @@ def keyword_search(spark, d):
     return R.keyword_hits(_summaries(spark, d), _words(spark, d)).select("query_id", "qualified_name", "file_path")
 
 
+def keyword_batch(spark, d):
+    """Every benchmark text as a query: thousands of words, looked up in the index of grams."""
+    typed = T.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    words = typed.select("query_id", F.explode(F.regexp_extract_all("query", F.lit("[a-zA-Z]{3,}"), F.lit(0))).alias("word")).distinct()
+    return R.keyword_hits(_summaries(spark, d), words).select("query_id", "qualified_name", "file_path")
+
+
+def autocomplete_batch(spark, d):
+    """The first letters of customers' and parts' names, typed at once, against the names of suppliers and parts."""
+    part = T.table(spark, d, "part").select(F.col("p_name").alias("name"), F.concat(F.lit("part."), F.col("p_partkey").cast("string")).alias("qualified_name"))
+    supplier = T.table(spark, d, "supplier").select(F.col("s_name").alias("name"), F.concat(F.lit("supplier."), F.col("s_suppkey").cast("string")).alias("qualified_name"))
+    key = F.col("p_partkey")
+    typed = T.table(spark, d, "part").select(key.alias("query_id"), F.when(key % 9 == 0, F.lit(" ")).when(key % 9 == 1, F.concat(F.lit("T_"), (key % 10).cast("string"))).otherwise(F.concat(F.lit(" "), F.upper(F.substring("p_name", 3, 7)), F.lit(" "))).alias("typed"))
+    return substring.first_hits(part.union(supplier), typed, 3).select("query_id", "place", "name", "qualified_name")
+
+
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _MATCH = f"({_FOLD.format('qualified_name')} LIKE concat('%', {_FOLD.format('word')}, '%') OR {_FOLD.format('body_text')} LIKE concat('%', {_FOLD.format('word')}, '%'))"
 _KEYWORD = f"""{_WORDS}, matched AS (SELECT DISTINCT query_id, qualified_name, name, file_path FROM units JOIN words ON {_MATCH}),
 kw AS (SELECT * FROM matched QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY qualified_name) <= 15)"""
 
 
+KEYWORD_BATCH = f"""WITH {T.U}, words AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(text, '[a-zA-Z]{{3,}}')) AS word FROM benchmark),
+folded AS (SELECT qualified_name, file_path, {_FOLD.format("qualified_name")} AS a, {_FOLD.format("body_text")} AS b FROM units),
+own AS (SELECT DISTINCT {_FOLD.format("word")} AS w FROM words), found AS (SELECT w, qualified_name, file_path FROM folded JOIN own ON contains(a, w) OR contains(b, w)),
+matched AS (SELECT DISTINCT query_id, qualified_name, file_path FROM words JOIN found ON w = {_FOLD.format("word")})
+SELECT * FROM matched QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY qualified_name) <= 15"""
+
+AUTOCOMPLETE_BATCH = f"""WITH n AS (SELECT p_name AS name, concat('part.', CAST(p_partkey AS VARCHAR)) AS qualified_name FROM part UNION ALL SELECT s_name, concat('supplier.', CAST(s_suppkey AS VARCHAR)) FROM supplier),
+q AS (SELECT p_partkey AS query_id, CASE p_partkey % 9 WHEN 0 THEN ' ' WHEN 1 THEN concat('T_', CAST(p_partkey % 10 AS VARCHAR)) ELSE upper(substr(p_name, 3, 7)) END AS typed FROM part),
+t AS (SELECT query_id, {_FOLD.format("trim(typed)")} AS w FROM q WHERE trim(typed) <> ''), own AS (SELECT DISTINCT w FROM t),
+found AS (SELECT DISTINCT w, name, qualified_name FROM n JOIN own ON {_FOLD.format("name")} LIKE concat('%', w, '%') OR {_FOLD.format("qualified_name")} LIKE concat('%', w, '%')),
+ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY name, qualified_name) AS place, name, qualified_name FROM t JOIN found USING (w))
+SELECT * FROM ranked WHERE place <= 3"""
+
+
 def _vector_hits(spark, d):
     """Fused hits as units: vector i stands for document i."""
     u = T.units(spark, d).select(F.col("unit_id").alias("id"), "qualified_name", F.when(F.col("unit_id") % 3 == 0, F.concat(F.lit("get"), "name")).otherwise(F.col("name")).alias("name"))
@@ -199,6 +230,8 @@ QUERIES = {
     "q_rrf_outer": (rrf_outer, FUSED_SQL),
     "q_keyword_terms": (keyword_terms, f"WITH {_terms_sql()} SELECT query_id, word FROM words"),
     "q_keyword_search": (keyword_search, f"WITH {T.U}, {_KEYWORD} SELECT query_id, qualified_name, file_path FROM kw"),
+    "q_keyword_batch": (keyword_batch, KEYWORD_BATCH),
+    "q_autocomplete_batch": (autocomplete_batch, AUTOCOMPLETE_BATCH),
     "q_hybrid_merge": (hybrid_merge, HYBRID_SQL),
     "q_rerank": (rerank, RERANK_SQL),
     "q_rerank_texts": (rerank_texts, RERANK_TEXT_SQL),
