@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import render
+from ..operators import blocks as B
+from ..operators import render, rows, substring
 from ..operators import retrieval as R
-from ..operators import substring
-from ..operators import rows
 from ..plans import tables as T
 
 _N = 20
@@ -33,6 +32,12 @@ def vector_topk(spark, d):
     return hits.select("query_id", "collection", "id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
+def vector_blocks(spark, d):
+    """The same hits from blocks of vectors, with a payload filter."""
+    hits, _ = B.topk(B.build(T.vectors(spark, d), 64, "label"), _queries(spark, d), 60, low=2)
+    return hits.select("query_id", "collection", "id", "score", F.col("rank").cast("bigint").alias("rank"))
+
+
 TOPK_SQL = f"WITH {_SCORED} SELECT query_id, collection, id, score, row_number() OVER (PARTITION BY query_id, collection ORDER BY score DESC, id) AS rank FROM scored WHERE label >= 2 QUALIFY rank <= 60"
 
 
@@ -226,6 +231,7 @@ LANG_SQL = "WITH t AS (SELECT item_id AS query_id, text AS query FROM benchmark
 
 QUERIES = {
     "q_vector_topk": (vector_topk, TOPK_SQL),
+    "q_vector_blocks": (vector_blocks, TOPK_SQL),
     "q_rrf_fusion": (rrf_fusion, FUSED_SQL),
     "q_rrf_outer": (rrf_outer, FUSED_SQL),
     "q_keyword_terms": (keyword_terms, f"WITH {_terms_sql()} SELECT query_id, word FROM words"),
