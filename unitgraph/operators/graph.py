@@ -31,6 +31,8 @@ def next_frontier(frontier: DataFrame, edges: DataFrame, visited: DataFrame, set
     return callers.join(visited.select("start_qn", "qualified_name"), ["start_qn", "qualified_name"], "left_anti")
 
 
+#: Lines of the smallest bins in which units and ranges meet.
+BIN = 16
 #: Starts whose sets share one number.
 WORD = 64
 
@@ -152,14 +154,39 @@ def units_of_hunks(units: DataFrame, hunks: DataFrame, exact_end: bool = False)
     """Units that a change touches (J2): overlapping a range of their file, or of a file that has none.
 
     ``hunks``: ``file_path, r_start, r_end`` with null bounds for a file without ranges.
-    The end of a range counts as inside (Q17) unless ``exact_end``. The equi key on the
-    file keeps this a hash or merge join.
+    The end of a range counts as inside (Q17) unless ``exact_end``. Units and ranges of a file
+    meet in bins of its lines (:func:`_binned`), so a crowded file is many small groups.
     """
     paths = units.withColumn("_path", slashes(F.col("file_path")))
     ranges = hunks.select(slashes(F.col("file_path")).alias("_path"), "r_start", "r_end").distinct()
     last = F.col("r_end") - 1 if exact_end else F.col("r_end")
     with_ranges = ranges.where(F.col("r_start").isNotNull())
     whole = ranges.select("_path").distinct().join(with_ranges.select("_path").distinct(), "_path", "left_anti")
-    u, h = paths.alias("u"), with_ranges.withColumn("_last", last).alias("h")
-    overlap = u.join(h, (F.col("u._path") == F.col("h._path")) & (F.col("u.start_line") <= F.col("h._last")) & (F.col("u.end_line") >= F.col("h.r_start")), "left_semi")
-    return overlap.unionByName(paths.join(whole, "_path", "left_semi")).drop("_path")
+    spans = paths.select("_path", F.col("start_line").alias("_from"), F.col("end_line").alias("_to")).distinct()
+    h = with_ranges.select("_path", F.col("r_start").alias("_from"), last.alias("_to"))
+    top = spans.select(_level().alias("n")).union(h.select(_level())).agg(F.max("n")).first()[0] or 0
+    u, v = _binned(spans, top).alias("u"), _binned(h, top).alias("v")
+    same = (F.col("u._path") == F.col("v._path")) & (F.col("u._size") == F.col("v._size")) & (F.col("u._bin") == F.col("v._bin"))
+    meet = (F.col("u._own") == F.col("u._size")) | (F.col("v._own") == F.col("v._size"))
+    touched = u.join(v, same & meet & (F.col("u._from") <= F.col("v._to")) & (F.col("u._to") >= F.col("v._from")), "left_semi")
+    found = touched.select("_path", F.col("_from").alias("start_line"), F.col("_to").alias("end_line")).distinct()
+    return paths.join(found, ["_path", "start_line", "end_line"], "left_semi").select(*paths.columns).unionByName(paths.join(whole, "_path", "left_semi")).drop("_path")
+
+
+def _level() -> Column:
+    """The smallest size of bins (a power of two, times ``BIN``) of which a span ``_from, _to`` meets two at most."""
+    length = F.abs(F.col("_to") - F.col("_from")) + 1
+    return F.greatest(F.lit(0), F.ceil(F.log2(length / F.lit(float(BIN))))).cast("int")
+
+
+def _binned(spans: DataFrame, top: int) -> DataFrame:
+    """Spans ``_from, _to`` with the bins that they meet (``_size, _bin``): of their own size (``_own``) and of all larger ones up to ``top``.
+
+    Two spans that overlap share a bin of the larger one's own size, so that a long
+    span meets short ones in few rows. Spans without lines are left out.
+    """
+    leveled = spans.where(F.col("_from").isNotNull() & F.col("_to").isNotNull()).withColumn("_own", _level())
+    sized = leveled.withColumn("_size", F.explode(F.sequence(F.col("_own"), F.lit(top))))
+    place = lambda c: F.floor(c / (F.lit(BIN) * F.pow(F.lit(2.0), F.col("_size"))))
+    ends = F.array_distinct(F.array(place(F.col("_from")), place(F.col("_to"))))
+    return sized.withColumn("_bin", F.explode(ends))

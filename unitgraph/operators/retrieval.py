@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, TERMS, Settings
 from ..functions.columns import LOWER, UPPER, ascii_fold, contains_like, inner_product, trivial_name
-from . import substring
+from . import blocks, substring
 
 #: Queries broadcast at once (some megabytes of vectors), and pairs of query and word that one scan looks for.
 QUERY_BATCH, WORD_BATCH = 512, 256
@@ -25,18 +25,17 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, language: Column
     """``query_id, collection, id, score, rank``: best ``k`` of each collection for each query.
 
     ``vectors``: ``collection, id, vector``; ``queries``: ``query_id, collection, query``.
-    Queries meet the vectors in broadcast batches of about ``QUERY_BATCH`` rows, so the
-    vectors are never shuffled; the rank's limit is applied before the shuffle of scores.
+    Up to ``QUERY_BATCH`` queries are broadcast, so the vectors are never shuffled; more meet
+    blocks of vectors (:mod:`.blocks`), each only those that can hold one of its best. The rank's limit is
+    applied before the shuffle of scores.
     """
     kept = vectors if language is None else vectors.where(language)
-    batches = -(-queries.count() // QUERY_BATCH) or 1
+    if queries.limit(QUERY_BATCH + 1).count() > QUERY_BATCH:
+        hits, _ = blocks.topk(blocks.build(kept), queries, k)
+        return hits.select("query_id", "collection", "id", "score", "rank")
     w = Window.partitionBy("query_id", "collection").orderBy(F.desc("score"), "id")
-    ranked = []
-    for batch in range(batches):
-        own = queries if batches == 1 else queries.where(F.pmod(F.xxhash64("query_id", "collection"), F.lit(batches)) == batch)
-        scored = kept.join(F.broadcast(own), "collection").select("query_id", "collection", "id", F.round(inner_product(F.col("vector"), F.col("query")), 6).alias("score"))
-        ranked.append(scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
-    return reduce(DataFrame.union, ranked)
+    scored = kept.join(F.broadcast(queries), "collection").select("query_id", "collection", "id", F.round(inner_product(F.col("vector"), F.col("query")), 6).alias("score"))
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def fuse(hits: DataFrame, n: int, settings: Settings = DEFAULT) -> DataFrame:
