@@ -78,7 +78,7 @@ def test_digests(spark, library):
     assert bpe.digests(df.limit(0), PATH).count() == 0
 
 
-@given(st.lists(st.text(alphabet="ab é\n1.'", max_size=120), max_size=6), st.integers(1, 40))
+@given(st.lists(st.text(alphabet="ab é\n1.'一，ы\"|<>", max_size=120), max_size=6), st.integers(1, 40))
 @settings(max_examples=300, deadline=None)
 def test_parts_of_long_texts(texts, most):
     coder = bpe.load(PATH)
@@ -90,6 +90,17 @@ def test_parts_of_long_texts(texts, most):
     assert joined == texts and ids == [coder.encode(t) for t in texts]
 
 
+def test_texts_without_spaces_are_cut():
+    rng = __import__("random").Random(4)
+    text = "".join("".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(rng.randint(1, 12))) + rng.choice("，。！\n") for _ in range(3000))
+    cut = [part for _, group in bpe.parts([text], 900) for part in group]
+    assert "".join(cut) == text and max(map(len, cut)) <= 300 + 13
+    coder = bpe.load(PATH)
+    assert sum((coder.encode(p) for p in cut), []) == coder.encode(text)
+    # a mark that a special token holds is no border
+    assert not bpe.borders(["<a.b>"]).search("a.b") and bpe.borders(["<a>"]).search("a.b").start() == 1
+
+
 @given(st.lists(st.binary(min_size=1, max_size=6).map(lambda b: bytes(x % 3 for x in b)), min_size=1, max_size=12, unique=True), st.binary(max_size=30).map(lambda b: bytes(x % 4 for x in b)))
 @settings(max_examples=300, deadline=None)
 def test_suffix_automaton(words, text):

@@ -13,7 +13,7 @@ pattern. A piece of that pattern holds a space inside only in a run of white spa
 other texts are cut before every space first, the different parts of a batch of texts are
 found by Arrow, and only these are cut by the pattern and looked up in a bounded table
 of encodings. A long text is worked through in parts of about ``SLICE``
-characters for the same reason.
+characters for the same reason, cut at spaces, line feeds and punctuation behind letters.
 
 Memory: parts of ``SLICE``, tables of ``TABLE_BYTES`` for each of two generations, the
 automaton (about 40 MB for 50,000 tokens), and one piece of the pattern.
@@ -25,7 +25,7 @@ import codecs
 import hashlib
 import json
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +35,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Where a long text may be cut: no version of the character tables takes a letter or a number for white space.
-_CUT = regex.compile(r"(?<=[\p{L}\p{N}]) (?=[\p{L}\p{N}])")
+#: Letters and numbers, and characters that are neither, by all versions of the character tables: behind one of
+#: the first and before one of the second a piece of the pattern ends, and what begins there doesn't look back.
+_LETTERS, _BREAKS = "0-9A-Za-zÀ-ÖØ-öø-ʯЀ-ԯぁ-ゖァ-ヺ一-龥가-힣", " \n\t\r,.;:?!()[]{}\"…—–、。，；：？！（）「」『』《》〈〉【】"
 #: Where all versions of the character tables agree on letters, numbers and spaces; other texts are cut by the library.
 _COMMON = r"[\u0000-ԯ‐-⁰₠-₰ぁ-ゖァ-ヺ一-龥가-힣]*"
 #: Bytes that a generation of the table of pieces takes; there are two.
@@ -383,23 +384,29 @@ def decode(df: DataFrame, ids_col: str, path: str, text_col: str = "decoded") ->
     return _with_column(df.select(*others, ids_col), text_col, "string", text_of)
 
 
-def parts(texts: list[str], most: int = SLICE) -> Iterator[tuple[list[int], list[str]]]:
+def borders(special: Iterable[str] = ()) -> regex.Pattern:
+    """Where a long text may be cut: before a space between letters or numbers, and before any of ``_BREAKS`` behind a letter, but for characters of special tokens."""
+    breaks = "".join(regex.escape(c) for c in _BREAKS if not any(c in t for t in special))
+    return regex.compile(rf"(?<=[\p{{L}}\p{{N}}])(?= [\p{{L}}\p{{N}}])" + (rf"|(?<=[{_LETTERS}])(?=[{breaks}])" if breaks else ""))
+
+
+def parts(texts: list[str], most: int = SLICE, cuts: regex.Pattern = borders()) -> Iterator[tuple[list[int], list[str]]]:
     """The texts in groups of about ``most`` characters: the numbers of the texts in a group, and what it holds of each.
 
-    A text longer than ``most`` is cut before a space that stands between letters or
-    numbers: a piece of the pattern begins there, whatever comes before.
+    A text longer than ``most`` is cut at one of ``cuts`` (:func:`borders`): a piece of the
+    pattern begins there, whatever comes before. A text without any, such as one endless word, is one part.
     """
     numbers, group, held = [], [], 0
     for k, text in enumerate(texts):
-        at = 0
+        at, room = 0, most if text.isascii() else max(1, most // 3)  # other characters take up to three times the bytes
         while True:
             end = len(text)
-            if end - at > most:
-                cut = _CUT.search(text, at + max(1, most // 2))
+            if end - at > room:
+                cut = cuts.search(text, at + max(1, room // 2))
                 end = cut.start() if cut else end
             numbers.append(k)
             group.append(text[at:end])
-            held += end - at
+            held += (end - at) * most // room
             at = end
             if held >= most:
                 yield numbers, group
@@ -415,6 +422,7 @@ class Digests:
 
     def __init__(self, path: str):
         self.coder, self.decoder = load(path), load(path, Decoder)
+        self.cuts = borders(self.coder.special)
         shown = [f",{i}".encode() for i in range(len(self.decoder.sizes))]
         self.sizes = np.array([len(x) for x in shown], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
@@ -425,7 +433,7 @@ class Digests:
         counts = [0] * len(texts)
         hashes = [(hashlib.sha256(), hashlib.sha256()) for _ in texts]
         whole = self.coder.spaced_specials  # no text may be cut at a space then
-        for numbers, group in [(list(range(len(texts))), texts)] if whole else parts(texts):
+        for numbers, group in [(list(range(len(texts))), texts)] if whole else parts(texts, SLICE, self.cuts):
             offsets, ids = self.coder.encode_batch(group)
             digits = memoryview(gather(self.values, self.starts, self.sizes, ids))
             ends = np.r_[0, np.cumsum(self.sizes[ids])][offsets].tolist()
