@@ -24,6 +24,34 @@ def scan_counters(current: DataFrame, stored: DataFrame, keys: list[str], hash_c
     return current.join(old, keys, "left").agg(F.count_if(~same).alias("updated"), F.count_if(same).alias("skipped"), F.count("*").alias("total"))
 
 
+def scan_summary(units: DataFrame, scans: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``repo_id, scan_id, updated_units, updated_files, mode`` of each repository's scan.
+
+    ``units`` carry the ``scan_id`` that wrote them, ``scans`` (``repo_id, scan_id, force``) names the scan to
+    sum up, ``vectors`` (``repo_id, n``) tells how many vectors are stored. Mode ``updated``: the units of that scan or
+    later ones are embedded; ``rebuild``: all, as the scan was forced, or nothing was updated and no vector is
+    there; ``none``: nothing. A rebuild counts all units.
+    """
+    joined = units.select("repo_id", "file_path", F.col("scan_id").alias("_written")).join(scans, "repo_id", "right")
+    fresh = F.col("_written") >= F.col("scan_id")
+    counted = joined.groupBy("repo_id", "scan_id", "force").agg(
+        F.count_if(fresh).alias("_new"), F.count_distinct(F.when(fresh, F.col("file_path"))).alias("_new_files"), F.count("_written").alias("_all"), F.count_distinct("file_path").alias("_files")
+    )
+    stored = counted.join(vectors.select("repo_id", F.col("n").alias("_vectors")), "repo_id", "left")
+    rebuild = (F.col("_all") > 0) & (F.coalesce("force", F.lit(False)) | ((F.col("_new") == 0) & (F.coalesce("_vectors", F.lit(0)) == 0)))
+    mode = F.when(rebuild, "rebuild").when(F.col("_new") > 0, "updated").otherwise("none")
+    shown = lambda one, whole: F.when(rebuild, F.col(whole)).otherwise(F.col(one))
+    return stored.select("repo_id", "scan_id", shown("_new", "_all").alias("updated_units"), shown("_new_files", "_files").alias("updated_files"), mode.alias("mode"))
+
+
+def units_to_embed(units: DataFrame, scans: DataFrame, vectors: DataFrame) -> DataFrame:
+    """The units that a repository's scan hands on to be embedded (see :func:`scan_summary`)."""
+    # a row a repository
+    modes = scan_summary(units, scans, vectors).where("mode <> 'none'").select("repo_id", F.col("scan_id").alias("_since"), "mode")
+    kept = units.join(modes, "repo_id").where((F.col("mode") == "rebuild") | (F.col("scan_id") >= F.col("_since")))
+    return kept.select(*[F.col(f"`{c}`") for c in units.columns])
+
+
 def cache_overlay(hits: DataFrame, cache: DataFrame, keys: list[str]) -> DataFrame:
     """Hits with the finished cache row of their key; ``cached`` tells whether there is one."""
     done = cache.where("status = 'done'").drop("status")
