@@ -398,7 +398,8 @@ def parts(texts: list[str], most: int = SLICE, cuts: regex.Pattern = borders())
     """
     numbers, group, held = [], [], 0
     for k, text in enumerate(texts):
-        at, room = 0, most if text.isascii() else max(1, most // 3)  # other characters take up to three times the bytes
+        # as many characters as take the bytes of ``most`` simple ones
+        at, room = 0, most if text.isascii() else max(1, most * len(text) // len(text.encode("utf-8", "replace")))
         while True:
             end = len(text)
             if end - at > room:
