@@ -1,5 +1,7 @@
 import random
+import time
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -120,3 +122,47 @@ def test_template_of_repeated_words():
     template = L.Template("loop", f"begin {body} finish")
     found = L.scan(f"some words before {body} and some behind", [template])
     assert [m.license for m in found] == ["loop"] and found[0].matched >= 0.8 * 162
+
+
+LONG = [n for n, t in L.TEMPLATES.items() if len(L.words(t)) >= 60]
+
+
+def foreign(rng, n):
+    return ["".join(rng.choice("bcdfgklmnpqrstvwxz") for _ in range(7)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("name", LONG)
+@pytest.mark.parametrize("inserted", [0.5, 1, 20])
+@pytest.mark.parametrize("places", [1, 2])
+def test_insertions_of_any_length(name, inserted, places):
+    rng = random.Random(len(name) * places)
+    template = L.Template(name, L.TEMPLATES[name])
+    size, found = len(template.tokens), 0
+    for _ in range(10):
+        text = list(template.tokens)
+        for at in sorted(rng.sample(range(8, size - 8), places), reverse=True):
+            text[at:at] = foreign(rng, int(size * inserted))
+        before = foreign(rng, 50)
+        match = [m for m in L.scan(" ".join([*before, *text, *foreign(rng, 50)]), [template]) if m.license == name]
+        # an insertion near an end leaves a match of the rest, within the template's length
+        found += len(match) == 1 and match[0].coverage >= 0.8 and 50 <= match[0].start_word < match[0].end_word <= 50 + len(text)
+    assert found >= 9
+
+
+def test_words_of_a_license_scattered_in_a_text_are_none():
+    rng = random.Random(3)
+    for name in LONG:
+        template = L.Template(name, L.TEMPLATES[name])
+        scattered = [x for w in template.tokens for x in (w, *foreign(rng, 3))]
+        assert L.scan(" ".join(scattered), [template]) == []
+        # half of it isn't enough, wherever the rest is
+        half = template.tokens[: len(template.tokens) // 2]
+        assert L.scan(" ".join([*half, *foreign(rng, 500), *half]), [template]) == []
+
+
+def test_many_openings_take_little_time():
+    template = L.Template(LONG[0], L.TEMPLATES[LONG[0]])
+    text = (template.tokens[: len(template.tokens) // 3] + ["foreign"] * 20) * 400
+    began = time.time()
+    assert L.scan(" ".join(text), [template]) == []
+    assert time.time() - began < 60

@@ -16,9 +16,11 @@ whole text is scanned, and a text without any seed is passed over with all it ho
 from __future__ import annotations
 
 import bisect
+import heapq
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +48,10 @@ TEMPLATES = {
 _COMMON = frozenset("a all an and any are as at be but by can for from have if in into is it its may means no not of on one or other out see shall so such that the this to under use was will with without work you your 0 1 2 3 4".split())
 
 
+#: Words of the shortest run that can be a part of a match with insertions.
+RUN = 6
+
+
 def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
@@ -168,8 +174,85 @@ def _densest(pairs: list[tuple[int, int]], widest: int) -> list[tuple[int, int]]
     return pairs[best[0] : best[1]]
 
 
+def _runs(tokens: list[str], template: Template, hits: list[tuple[int, int]], low: int, high: int) -> list[tuple[int, int, int]]:
+    """``start in the text, start in the template, length`` of stretches of ``RUN`` or more equal words that hold a seed, by their start."""
+    known, seen = template.tokens, {}
+    found = []
+    for p, s in hits:
+        if not low <= p < high or p < seen.get(p - s, -1):
+            continue
+        a, b = p, s
+        while a > low and b > 0 and tokens[a - 1] == known[b - 1]:
+            a, b = a - 1, b - 1
+        c, d = p + 1, s + 1
+        while c < high and d < len(known) and tokens[c] == known[d]:
+            c, d = c + 1, d + 1
+        seen[p - s] = c
+        if c - a >= RUN:
+            found.append((a, b, c - a))
+    return sorted(found)
+
+
+def _chain(runs: list[tuple[int, int, int]], size: int) -> list[tuple[int, int, int]]:
+    """The runs with most words of which each begins behind the one before, in the text and in the template."""
+    # of each place in the template: the most words of chains that end there or before it, and the last run
+    best: list[tuple[int, int]] = [(0, -1)] * (size + 1)
+
+    def upto(at: int) -> tuple[int, int]:
+        found = (0, -1)
+        while at > 0:
+            found, at = max(found, best[at]), at - (at & -at)
+        return found
+
+    back, ending = [-1] * len(runs), []
+    for k, (p, s, n) in enumerate(runs):
+        while ending and ending[0][0] <= p:  # runs that end before this one begins may come before it
+            _, j, words_ = heapq.heappop(ending)
+            at = runs[j][1] + runs[j][2]
+            while at <= size:
+                best[at] = max(best[at], (words_, j))
+                at += at & -at
+        before, back[k] = upto(s)
+        heapq.heappush(ending, (p + n, k, before + n))
+    last = max((upto(size), *((w, k) for _, k, w in ending)), default=(0, -1))[1]
+    chain = []
+    while last >= 0:
+        chain.append(runs[last])
+        last = back[last]
+    return chain[::-1]
+
+
+def _bridged(tokens: list[str], template: Template, hits: list[tuple[int, int]], low: int, high: int) -> Match | None:
+    """A match whose parts stand in order with foreign words of any number between them.
+
+    The parts are runs of equal words, chained as anchors are. Where text and template
+    are of about one length between two runs, or before the first and behind the last, they are aligned.
+    """
+    size = len(template.tokens)
+    chain = _chain(_runs(tokens, template, hits, low, high), size)
+    if not chain or 2 * sum(n for _, _, n in chain) < template.threshold * size:
+        return None
+    pairs = [(p + k, s + k) for p, s, n in chain for k in range(n)]
+    near = lambda n: n * 5 // 4 + 8
+    first, last = chain[0], chain[-1]
+    gaps = [(p + n, p2, s + n, s2) for (p, s, n), (p2, s2, _) in pairwise(chain)]
+    gaps.append((max(low, first[0] - near(first[1])), first[0], 0, first[1]))
+    end, rest = last[0] + last[2], last[1] + last[2]
+    gaps.append((end, min(high, end + near(size - rest)), rest, size))
+    for a, b, i, j in gaps:
+        if i < j and b - a <= near(j - i):
+            pairs += [(a + x, i + y) for x, y in align(tokens[a:b], template.tokens[i:j])]
+        elif i < j:  # the missing words stand at one end of what is foreign
+            left = align(tokens[a : a + near(j - i)], template.tokens[i:j])
+            right = align(tokens[b - near(j - i) : b], template.tokens[i:j])
+            pairs += [(a + x, i + y) for x, y in left] if len(left) >= len(right) else [(b - near(j - i) + x, i + y) for x, y in right]
+    if len(pairs) < template.threshold * size - 1e-9:
+        return None
+    return Match(template.name, len(pairs) / size, len(pairs), min(p for p, _ in pairs), max(p for p, _ in pairs) + 1)
+
+
 def scan_words(tokens: list[str], template: Template, places: dict[str, list[int]]) -> list[Match]:
-    """All matches of one template, from left to right, none overlapping the one before."""
+    """All matches of one template, from left to right, none overlapping the one before; then, in what is left of the text, those with long insertions."""
     size = len(template.tokens)
     reach, widest = size // 2 + 8, size * 5 // 4 + 2
     hits = sorted((p, s) for w, at in template.seeds.items() for p in places.get(w, ()) for s in at)
@@ -189,6 +272,11 @@ def scan_words(tokens: list[str], template: Template, places: dict[str, list[int
                 out.append(Match(template.name, len(pairs) / size, len(pairs), start, end))
                 done = end
                 break
+    ends = [0, *(x for m in out for x in (m.start_word, m.end_word)), len(tokens)]
+    for low, high in zip(ends[::2], ends[1::2]):
+        while high - low >= template.threshold * size and (m := _bridged(tokens, template, hits, low, high)):
+            out.append(m)
+            low = m.end_word
     return out
 
 
@@ -215,6 +303,8 @@ def scan(text: str, templates: list[Template]) -> list[Match]:
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, threshold: float = 0.8) -> DataFrame:
     """One row for each license found: ``id, license, coverage, matched, start_word, end_word``.
 
+    A match has ``threshold`` of a template's words, in order: either within 5/4 of its length, or as runs of
+    ``RUN`` and more words, with what is changed between them, however many foreign words are inserted.
     Words are numbered from 0 over the whole text; ``end_word`` is the one behind the last.
     Null and empty texts have none; rows with null or repeated ids are scanned like others.
     Where matches overlap, the one with more matched words stays (ties: the earlier, then by name).
