@@ -41,7 +41,7 @@ _LETTERS, _BREAKS = "0-9A-Za-zÀ-ÖØ-öø-ʯЀ-ԯぁ-ゖァ-ヺ一-龥가-힣",
 #: Where all versions of the character tables agree on letters, numbers and spaces; other texts are cut by the library.
 _COMMON = r"[\u0000-ԯ‐-⁰₠-₰ぁ-ゖァ-ヺ一-龥가-힣]*"
 #: Bytes that a generation of the table of pieces takes; there are two.
-TABLE_BYTES = 24 << 20
+TABLE_BYTES = 64 << 20
 #: Pairs of tokens remembered, at about 100 bytes each.
 PAIRS = 100_000
 #: Characters handled at once: lists of ids take many times the room of their text.
@@ -235,13 +235,17 @@ class BytePairs:
         unknown.sort()
         for piece, ids in zip(unknown, self.encode_pieces([p.encode() for p in unknown])):
             found[piece] = ids
-            if len(piece) <= 48:
-                if self.table_bytes > TABLE_BYTES:
-                    self.old_table, self.table, self.table_bytes = self.table, {}, 0
-                self.table[piece] = ids
-                self.table_bytes += 150 + len(piece) + len(ids)  # both objects and their place
+            self._keep(piece, ids)
         return found
 
+    def _keep(self, piece: str, ids: bytes) -> None:
+        """Put a short piece, or part of a text of several pieces, into the table."""
+        if len(piece) <= 48:
+            if self.table_bytes > TABLE_BYTES:
+                self.old_table, self.table, self.table_bytes = self.table, {}, 0
+            self.table[piece] = ids
+            self.table_bytes += 150 + len(piece) + len(ids)  # both objects and their place
+
     def pieces(self, text: str) -> list[str]:
         if self.pre_tokenizer is None or self.common.fullmatch(text):
             return self.pattern.findall(text)
@@ -274,11 +278,16 @@ class BytePairs:
         chunks = [" " + word for word in coded.dictionary.to_pylist()]
         parts[bounds[:-1]] = np.arange(len(chunks), len(chunks) + len(firsts))
         chunks += firsts
-        packed = list(map(self.table.get, chunks))
+        new, old = self.table.get, self.old_table.get
+        packed = [new(c) or old(c) for c in chunks]
         cut = {k: self.pattern.findall(chunks[k]) for k, ids in enumerate(packed) if ids is None}
         found = self.learn({piece for pieces in cut.values() for piece in pieces})
         for k, pieces in cut.items():
-            packed[k] = b"".join(map(found.__getitem__, pieces))
+            if len(pieces) == 1:
+                packed[k] = found[pieces[0]]
+            else:
+                packed[k] = b"".join(map(found.__getitem__, pieces))
+                self._keep(chunks[k], packed[k])
         sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
         ids = gather(np.frombuffer(b"".join(packed), np.int32), np.cumsum(sizes) - sizes, sizes, parts)
         ends = np.r_[0, np.cumsum(sizes[parts])][bounds]
