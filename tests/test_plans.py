@@ -260,3 +260,13 @@ def test_keyword_batches_agree(spark, monkeypatch):
     monkeypatch.setattr(R, "WORD_BATCH", 2)
     assert sorted(map(tuple, R.keyword_hits(units, words, 7).collect())) == want
     assert R.keyword_hits(units, words.limit(0)).count() == 0
+
+
+def test_scan_summary(spark):
+    units = spark.createDataFrame([(1, "a", "q1", 5), (1, "a", "q2", 5), (1, "b", "q3", 4), (2, "a", "q4", 1), (3, "a", "q5", 1), (4, "a", "q6", None), (9, "a", "q7", 5)], "repo_id int, file_path string, qualified_name string, scan_id bigint")
+    scans = spark.createDataFrame([(1, 5, False), (2, 5, False), (3, 5, None), (4, 5, True), (5, 5, True)], "repo_id int, scan_id bigint, force boolean")
+    vectors = spark.createDataFrame([(1, 7), (3, 2)], "repo_id int, n bigint")
+    got = {r.repo_id: (r.updated_units, r.updated_files, r.mode) for r in S.scan_summary(units, scans, vectors).collect()}
+    assert got == {1: (2, 1, "updated"), 2: (1, 1, "rebuild"), 3: (0, 0, "none"), 4: (1, 1, "rebuild"), 5: (0, 0, "none")}
+    assert {r.qualified_name for r in S.units_to_embed(units, scans, vectors).collect()} == {"q1", "q2", "q4", "q6"}
+    assert S.scan_summary(units.limit(0), scans.limit(0), vectors).count() == 0

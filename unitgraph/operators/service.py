@@ -35,7 +35,7 @@ def scan_summary(units: DataFrame, scans: DataFrame, vectors: DataFrame) -> Data
     joined = units.select("repo_id", "file_path", F.col("scan_id").alias("_written")).join(scans, "repo_id", "right")
     fresh = F.col("_written") >= F.col("scan_id")
     counted = joined.groupBy("repo_id", "scan_id", "force").agg(
-        F.count_if(fresh).alias("_new"), F.count_distinct(F.when(fresh, F.col("file_path"))).alias("_new_files"), F.count("_written").alias("_all"), F.count_distinct("file_path").alias("_files")
+        F.count_if(fresh).alias("_new"), F.count_distinct(F.when(fresh, F.col("file_path"))).alias("_new_files"), F.count("file_path").alias("_all"), F.count_distinct("file_path").alias("_files")
     )
     stored = counted.join(vectors.select("repo_id", F.col("n").alias("_vectors")), "repo_id", "left")
     rebuild = (F.col("_all") > 0) & (F.coalesce("force", F.lit(False)) | ((F.col("_new") == 0) & (F.coalesce("_vectors", F.lit(0)) == 0)))
