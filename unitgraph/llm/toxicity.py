@@ -197,7 +197,7 @@ class Model:
 
 def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    sample_rows: int = 20_000, trees: int = 20, depth: int = 3, seed: int = 7, **options,
+    sample_rows: int = 10_000, trees: int = 20, depth: int = 3, seed: int = 7, **options,
 ) -> Model:
     """Fit on the at most ``sample_rows`` labelled rows with the smallest hash of their id, of those not held out.
 
