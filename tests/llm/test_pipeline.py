@@ -154,6 +154,6 @@ def test_empty_table(spark, name):
 def test_registered():
     import __spark_entry__
 
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in __spark_entry__.queries() if re.match(r"op\d+_", q)}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in __spark_entry__.queries() if re.match(r"op\d+_", q)}
     assert "pipeline" in __spark_entry__.queries()
     assert simhash.SEED == 42
