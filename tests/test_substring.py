@@ -68,3 +68,40 @@ def test_typed_batches(spark):
     one = lambda text: [(k + 1, r.name) for k, r in enumerate(R.autocomplete(units, text, 99).collect())]
     assert {k: sorted(v) for k, v in got.items()} == {1: one("M0"), 3: one("c#m"), 5: one("m_9")}
     assert substring.first_hits(units.limit(0), typed).count() == 0
+
+
+def test_first_hits_of_each_word(spark, monkeypatch):
+    """By one scan and by growing shares of the rows, with words of letters and others, the first units are those of every pair."""
+    units, words = sources(spark)
+    units = units.dropDuplicates(["qualified_name"]).select("qualified_name", "summary")
+    words = words.union(spark.createDataFrame([(70, "alpha"), (71, "pha"), (71, "x\n"), (72, "ALPHAbe")], "query_id bigint, word string"))
+    want = {}
+    for name, _, query in every_pair(units, words.distinct()):
+        want.setdefault(query, []).append(name)
+    want = sorted((q, k + 1, n) for q, names in want.items() for k, n in enumerate(sorted(names)[:5]))
+    for scan, shares in ((256, (0.5,)), (0, (1 / 64, 1 / 8)), (0, ()), (0, (0.1, 0.4, 0.9))):
+        monkeypatch.setattr(substring, "SCAN", scan)
+        monkeypatch.setattr(substring, "SHARES", shares)
+        got = substring.first_by_query(units, words, ["qualified_name", "summary"], ["qualified_name"], 5)
+        assert sorted((r.query_id, r.place, r.qualified_name) for r in got.collect()) == want
+
+
+def test_a_crowd_of_equal_queries_shares_the_work(spark):
+    """Rows behind the matching don't grow with queries times hits."""
+    units = spark.range(400).select(F.lit("large ring").alias("name"), F.concat(F.lit("part."), F.col("id").cast("string")).alias("qualified_name"))
+    found = substring.first_matches(substring.folded_rows(units, ["name"]), spark.createDataFrame([("ring",)], "word string"), "_key", ["_f0"], ["_f0"], 3)
+    assert found.count() == 3
+    typed = spark.range(500).select(F.col("id").alias("query_id"), F.lit(" RING ").alias("typed"))
+    got = substring.first_hits(units, typed, 3)
+    assert got.count() == 1500 and sorted({r.qualified_name for r in got.collect()}) == ["part.0", "part.1", "part.10"]
+
+
+def test_a_list_too_long_to_broadcast(spark, monkeypatch):
+    from unitgraph.plans import lineage
+
+    monkeypatch.setattr(lineage, "SMALL", 10)
+    names = spark.range(0, 1000, 3).select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("callee"))
+    table = spark.range(3000).select(F.concat(F.lit("n"), (F.col("id") % 1500).cast("string")).alias("callee"), "id").groupBy("callee").agg(F.count("*").alias("n"))
+    assert lineage.maybe_named(table, "callee", names).count() < 350
+    got = lineage.only_named(table, "callee", names).collect()
+    assert sorted(r.callee for r in got) == sorted(r.callee for r in names.collect()) and {r.n for r in got} == {2}

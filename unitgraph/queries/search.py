@@ -9,6 +9,7 @@ from ..operators import blocks as B
 from ..operators import render, rows, substring
 from ..operators import retrieval as R
 from ..plans import tables as T
+from ..plans.lineage import spread
 
 _N = 20
 
@@ -91,7 +92,7 @@ def keyword_search(spark, d):
 
 
 def keyword_batch(spark, d):
-    """Every benchmark text as a query: thousands of words, looked up in the index of grams."""
+    """Every benchmark text as a query: thousands of words, looked up among the different words of the texts."""
     typed = T.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     words = typed.select("query_id", F.explode(F.regexp_extract_all("query", F.lit("[a-zA-Z]{3,}"), F.lit(0))).alias("word")).distinct()
     return R.keyword_hits(_summaries(spark, d), words).select("query_id", "qualified_name", "file_path")
@@ -99,7 +100,8 @@ def keyword_batch(spark, d):
 
 def autocomplete_batch(spark, d):
     """The first letters of customers' and parts' names, typed at once, against the names of suppliers and parts."""
-    part = T.table(spark, d, "part").select(F.col("p_name").alias("name"), F.concat(F.lit("part."), F.col("p_partkey").cast("string")).alias("qualified_name"))
+    parts = spread(T.table(spark, d, "part"), "p_partkey")
+    part = parts.select(F.col("p_name").alias("name"), F.concat(F.lit("part."), F.col("p_partkey").cast("string")).alias("qualified_name"))
     supplier = T.table(spark, d, "supplier").select(F.col("s_name").alias("name"), F.concat(F.lit("supplier."), F.col("s_suppkey").cast("string")).alias("qualified_name"))
     key = F.col("p_partkey")
     typed = T.table(spark, d, "part").select(key.alias("query_id"), F.when(key % 9 == 0, F.lit(" ")).when(key % 9 == 1, F.concat(F.lit("T_"), (key % 10).cast("string"))).otherwise(F.concat(F.lit(" "), F.upper(F.substring("p_name", 3, 7)), F.lit(" "))).alias("typed"))
