@@ -9,6 +9,7 @@ from ..operators import retrieval
 from ..operators import rows as R
 from ..operators import service as S
 from ..plans import tables as T
+from ..plans.lineage import spread
 
 LANGS = ["en", "fr", "de", "es"]
 
@@ -41,7 +42,7 @@ def embeddable_counts(spark, d):
 
 
 def _paths(spark, d):
-    parts = T.table(spark, d, "part").select("p_partkey", F.regexp_replace("p_name", " ", "").alias("n"), "p_brand", "p_size")
+    parts = spread(T.table(spark, d, "part"), "p_partkey").select("p_partkey", F.regexp_replace("p_name", " ", "").alias("n"), "p_brand", "p_size")
     folder = F.element_at(F.array(*map(F.lit, ["src/main", "src/Lib", "web\\static\\plugins", "target/x", "app/META-INF/resources"])), (F.col("p_partkey") % 5 + 1).cast("int"))
     suffix = F.element_at(F.array(*map(F.lit, [".java", ".JS", ".jsp", ".xml", ".txt", ".min.js"])), (F.col("p_partkey") % 6 + 1).cast("int"))
     return parts.select("p_partkey", F.concat(folder, F.lit("/"), "n", suffix).alias("path"), (F.col("p_size") * 20000).cast("bigint").alias("size"))
