@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..extract import registry
 from ..plans import tables as T
+from ..plans.lineage import spread
 
 COLUMNS = ["file_path", "ordinal", "unit_type", "qualified_name", "name", "class_name", "signature", "start_line", "end_line", "return_type", "comment", "summary", "body_text", "n_calls"]
 
@@ -55,26 +56,26 @@ def _units(files: DataFrame) -> DataFrame:
 
 def java_units(spark, d):
     end = F.when(F.col("p_partkey") % 7 == 0, "").otherwise("}\n")
-    return _units(_files(T.table(spark, d, "part"), "p_partkey", "java", F.concat(_filled(JAVA, "p_partkey", "p_name"), end)))
+    return _units(_files(spread(T.table(spark, d, "part"), "p_partkey"), "p_partkey", "java", F.concat(_filled(JAVA, "p_partkey", "p_name"), end)))
 
 
 def js_units(spark, d):
-    return _units(_files(T.table(spark, d, "supplier"), "s_suppkey", "javascript", _filled(SCRIPT, "s_suppkey", "s_name")))
+    return _units(_files(spread(T.table(spark, d, "supplier"), "s_suppkey"), "s_suppkey", "javascript", _filled(SCRIPT, "s_suppkey", "s_name")))
 
 
 def jsp_units(spark, d):
-    return _units(_files(T.table(spark, d, "customer"), "c_custkey", "jsp", _filled(PAGE, "c_custkey", "c_name")))
+    return _units(_files(spread(T.table(spark, d, "customer"), "c_custkey"), "c_custkey", "jsp", _filled(PAGE, "c_custkey", "c_name")))
 
 
 def xml_units(spark, d):
     text = F.when(F.col("s_suppkey") % 2 == 0, _filled(MAPPER, "s_suppkey", "s_name")).otherwise(_filled(POM, "s_suppkey", "s_name"))
-    return _units(_files(T.table(spark, d, "supplier"), "s_suppkey", "xml", text))
+    return _units(_files(spread(T.table(spark, d, "supplier"), "s_suppkey"), "s_suppkey", "xml", text))
 
 
 def encoding_sniff(spark, d):
     """Plain letters, UTF-8, and bytes that only one of the later encodings takes, in turn."""
     odd = F.element_at(F.array(*map(F.lit, ["", "C3A9", "E920", "8120"])), (F.col("p_partkey") % 4 + 1).cast("int"))
-    files = T.table(spark, d, "part").select(F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("file_path"), F.concat(F.encode("p_name", "UTF-8"), F.unhex(odd)).alias("content"))
+    files = spread(T.table(spark, d, "part"), "p_partkey").select(F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("file_path"), F.concat(F.encode("p_name", "UTF-8"), F.unhex(odd)).alias("content"))
     return registry.encodings(files)
 
 
