@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions.columns import callee_patterns, short_name, slashes
-from ..plans.lineage import SMALL, cut, only_named
+from ..plans.lineage import SMALL, cut, maybe_named, only_named
 from .rows import first_by
 
 
@@ -44,7 +44,11 @@ def _one(bit: Column) -> Column:
 
 def _unpacked(rows: DataFrame, *columns: str) -> DataFrame:
     """A row for each set bit of ``mask``, as ``bit``."""
-    bits = F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda k: F.getbit("mask", k) == 1)
+    mask = F.col("mask")
+    several = F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda k: F.getbit("mask", k) == 1)
+    # in a wide graph nearly all sets are of one start: its place is the number of zeros below it
+    lowest = F.bit_count(F.bitwise_not(mask).bitwiseAND(F.when(mask > 0, mask).otherwise(1) - 1)).cast("int")
+    bits = F.when(mask < 0, several).when(F.bit_count(mask) == 1, F.array(lowest)).otherwise(several)
     return rows.select(*columns, "chunk", F.explode(bits).alias("bit"))
 
 
@@ -62,7 +66,8 @@ def next_sets(frontier: DataFrame, edges: DataFrame, visited: DataFrame, setting
     ``few``: the frontier is known to have few enough rows to be broadcast.
     """
     patterns = frontier.select(F.explode(callee_patterns(F.col("qualified_name"), settings)).alias("callee"), "chunk", "mask")
-    asked = edges.select("caller", "callee")
+    # few of the edges are asked for, as a rule: the others go before they are grouped or shuffled
+    asked = maybe_named(edges.select("caller", "callee"), "callee", patterns)
     callers = asked.join(F.broadcast(patterns) if few else patterns, "callee").groupBy(F.col("caller").alias("qualified_name"), "chunk").agg(F.bit_or("mask").alias("mask"))
     seen = visited.groupBy("qualified_name", "chunk").agg(F.bit_or("mask").alias("seen"))
     fresh = callers.join(seen, ["qualified_name", "chunk"], "left").withColumn("mask", F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("seen", F.lit(0).cast("bigint")))))
@@ -119,6 +124,16 @@ def callers_of(nodes: DataFrame, edges: DataFrame, settings: Settings = DEFAULT)
     return joined.groupBy("start_qn", "qualified_name", "caller").agg(F.min("call_line").alias("call_line"))
 
 
+def caller_counts(nodes: DataFrame, edges: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """``start_qn, qualified_name, n_callers, first_line`` of nodes that somebody calls: :func:`callers_of`, counted.
+
+    A node is counted once, whatever the number of starts that reach it.
+    """
+    names = nodes.select("qualified_name").distinct().select(F.col("qualified_name").alias("start_qn"), "qualified_name")
+    counted = callers_of(names, edges, settings).groupBy("qualified_name").agg(F.count("*").alias("n_callers"), F.min("call_line").alias("first_line"))
+    return nodes.select("start_qn", "qualified_name").join(counted, "qualified_name").select("start_qn", "qualified_name", "n_callers", "first_line")
+
+
 def node_details(nodes: DataFrame, units: DataFrame, edges: DataFrame, body_chars: int = 400) -> DataFrame:
     """Nodes with the details of their unit and the line that calls the start directly (J5, J6; Q2, Q3, Q5).
 

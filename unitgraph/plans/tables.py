@@ -43,10 +43,11 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     """Calls: customer -> order -> part -> supplier."""
     li, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
     name = lambda kind, c: F.concat(F.lit(f"{kind}#"), F.col(c).cast("string"))
-    line = F.min("l_linenumber").cast("int").alias("call_line")
+    # grouped by the numbers, which are shorter than the names
+    calls = lambda a, b: li.groupBy(a, b).agg(F.min("l_linenumber").cast("int").alias("call_line"))
     return (
-        li.groupBy(name("part", "l_partkey").alias("caller"), name("supp", "l_suppkey").alias("callee")).agg(line)
-        .union(li.groupBy(name("order", "l_orderkey").alias("caller"), name("part", "l_partkey").alias("callee")).agg(line))
+        calls("l_partkey", "l_suppkey").select(name("part", "l_partkey").alias("caller"), name("supp", "l_suppkey").alias("callee"), "call_line")
+        .union(calls("l_orderkey", "l_partkey").select(name("order", "l_orderkey"), name("part", "l_partkey"), "call_line"))
         .union(orders.select(name("cust", "o_custkey"), name("order", "o_orderkey"), F.lit(0)))
     )
 

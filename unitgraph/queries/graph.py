@@ -64,7 +64,7 @@ def impact_multi(spark, d):
 
 
 def impact_detail(spark, d):
-    edges = _edges(spark, d)
+    edges = T.edges(spark, d)
     nodes = G.upstream(_starts(spark, d), edges).where("depth > 0")
     return G.node_details(nodes, T.graph_units(spark, d), edges)
 
@@ -88,7 +88,7 @@ SELECT c.start_qn, direct, indirect, report, c.start_qn AS display FROM counts c
 def impact_context(spark, d):
     starts = _starts(spark, d)
     units = T.graph_units(spark, d)
-    edges = _edges(spark, d)
+    edges = T.edges(spark, d)
     nodes = G.node_details(G.upstream(starts, edges).where("depth > 0"), units, edges)
     own = R.first_by(units, ["qualified_name"], "file_path", "start_line").withColumnRenamed("qualified_name", "start_qn").join(starts, "start_qn", "left_semi")
     lang = F.element_at(F.array(*map(F.lit, ["en", "zh", "ja", "xx"])), (F.substring_index("start_qn", "#", -1).cast("int") % 4 + 1).cast("int"))
@@ -113,8 +113,7 @@ def reverse_adjacency(spark, d):
 
 def callers(spark, d):
     nodes = G.upstream(_starts(spark, d), T.edges(spark, d)).where("depth <= 1")
-    c = G.callers_of(nodes, T.edges(spark, d))
-    return c.groupBy("start_qn", "qualified_name").agg(F.count("*").alias("n_callers"), F.min("call_line").alias("first_line"))
+    return G.caller_counts(nodes, T.edges(spark, d))
 
 
 def new_frontier(spark, d):
