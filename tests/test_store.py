@@ -81,3 +81,19 @@ def test_delete_clean_and_empty(spark, store, tmp_path):
     nulls = spark.createDataFrame([(None, None, "q", None), (1, None, "r", "x")], SCHEMA)
     empty.replace(nulls, {"units": nulls})
     assert empty.read("units").count() == 0  # rows without a repository and a file belong to no file
+
+
+def test_changed_files_are_found_once(spark, store, tmp_path):
+    """However many tables a change has: what it asks for isn't computed again, and nothing of it stays."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def tell(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    files = spark.createDataFrame([(k % 3, f"f{k}") for k in range(50)], "repo_id bigint, file_path string").mapInPandas(tell, "repo_id bigint, file_path string")
+    fresh = rows(spark, [(k % 3, f"f{k}") for k in range(50)], "new")
+    store.replace(files, {"units": fresh, "hashes": fresh.select(*FILE).distinct().withColumn("hash", F.lit("1"))})
+    assert seen.value == 50 and store.read("units").where("body = 'new'").count() == 100 and store.read("hashes").count() == 200
+    assert os.listdir(tmp_path / "store" / "asked") == []

@@ -9,6 +9,7 @@ so a run that fails, or one that is tried again, leaves the version before it as
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,8 +96,15 @@ class Store:
         """
         if self.done(batch):
             return []
-        files = files.select(*FILE).distinct()
-        return self._write({name: (files, new) for name, new in fresh.items()}, self._touched(files), batch)
+        # the files are found once: buckets and all tables' joins read what is written here
+        where = f"{self.folder}/asked/{uuid.uuid4().hex}"
+        found = files.select(*FILE).distinct()
+        try:
+            found.write.parquet(where)
+            asked = self.spark.read.schema(found.schema).parquet(where)
+            return self._write({name: (asked, new) for name, new in fresh.items()}, self._touched(asked), batch)
+        finally:
+            self._files.delete(self._path(where), True)
 
     def delete_repositories(self, repos: DataFrame) -> list[int]:
         """A version without the rows of some repositories (``repo_id``) in any table."""
@@ -113,9 +121,10 @@ class Store:
         version = (self.versions() or [-1])[-1] + 1
         live = {name: dict(own) for name, own in before["live"].items()}
         for name, (keys, new) in changes.items():
-            old = self._rows(name, live, touched)
             none = self.spark.createDataFrame([], self.tables[name])
-            made = replace_by_file(old, none if new is None else new.join(keys, keys.columns, "left_semi"), keys, keys.columns)
+            made = none if new is None else new.join(keys, keys.columns, "left_semi")
+            if any(int(b) in touched for b in live.get(name, {})):
+                made = replace_by_file(self._rows(name, live, touched), made, keys, keys.columns)
             # adaptive execution joins small buckets and splits large ones
             rows = made.select(*none.columns).withColumn("bucket", self.bucket()).hint("rebalance", "bucket")
             where = f"{self.folder}/{name}/write={version}"

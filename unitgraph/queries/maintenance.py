@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import service as S
 from ..plans import tables as T
-from ..plans.lineage import new_folder
+from ..plans.lineage import cut, new_folder
 from ..plans.store import FILE, Store
 from ..sources import diffs
 from ..streaming import state
@@ -20,7 +20,8 @@ def _stored(spark, d):
     unit = T.units(spark, d)
     kind = F.col("unit_id") % 10
     units = unit.select(F.col("repo_id").cast("bigint").alias("repo_id"), "file_path", "qualified_name", "hash", kind.alias("kind"))
-    calls = T.edges(spark, d).select((F.length("caller") % 5).cast("bigint").alias("repo_id"), F.col("caller").alias("file_path"), "caller", "callee", "call_line", F.try_to_number(F.substring_index("caller", "#", -1), F.lit("9999999999999999")).cast("bigint").alias("n"))
+    # the store reads them several times
+    calls = cut(T.edges(spark, d)).select((F.length("caller") % 5).cast("bigint").alias("repo_id"), F.col("caller").alias("file_path"), "caller", "callee", "call_line", F.try_to_number(F.substring_index("caller", "#", -1), F.lit("9999999999999999")).cast("bigint").alias("n"))
     store = Store(spark, new_folder(spark), {"units": UNITS, "edges": EDGES}, buckets=32)
     first_units, first_edges = units.where("kind <> 3").withColumn("hash", F.when(F.col("kind") == 1, "old").otherwise(F.col("hash"))), calls.where("n % 7 <> 2")
     store.replace(units.where("kind <> 3").select(*FILE).union(calls.select(*FILE)), {"units": first_units, "edges": first_edges})
