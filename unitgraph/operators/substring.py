@@ -105,7 +105,10 @@ def runs_of_words(rows: DataFrame, words: DataFrame, columns: list[str]) -> Data
     lengths = sorted(r[0] for r in words.select(F.char_length("word")).distinct().collect())  # LONGEST numbers at most
     different = rows.select(F.explode(_runs(columns)).alias("run")).distinct()
     ends = different.select("run", F.explode(F.sequence(F.lit(1), F.char_length("run"))).alias("at")).select("run", F.expr(f"substring(run, at, {LONGEST})").alias("end"))
-    pieces = ends.select("run", F.explode(F.array(*[F.when(F.char_length("end") >= n, F.substring("end", 1, n)) for n in lengths])).alias("word")).where("word is not null")
+    # an end of n letters has only pieces of lengths up to n
+    upto = F.array(*[F.lit(sum(n <= size for n in lengths)) for size in range(LONGEST + 1)])
+    own = F.slice(F.array(*map(F.lit, lengths)), F.lit(1), F.element_at(upto, F.char_length("end") + 1))
+    pieces = ends.select("run", "end", F.explode(own).alias("n")).select("run", F.expr("substring(end, 1, n)").alias("word"))
     return only_named(pieces, "word", words).distinct()
 
 
