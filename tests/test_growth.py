@@ -40,3 +40,15 @@ def test_paths_are_compared_without_lambdas(spark):
     found = rows.select(C.third_party(F.col("path"), C.language_of(F.col("path")), F.col("size")).alias("t"))
     assert [r.t for r in found.collect()] == [True, True, True, False, False, None]
     assert "lambda" not in found._jdf.queryExecution().analyzed().toString()
+
+
+def test_sizes_are_counted_without_ranking(spark):
+    """Sizes of crowded and other starts are those of the rows, and no start is ranked for them."""
+    rng = random.Random(8)
+    edges = spark.createDataFrame([(f"n{rng.randrange(90)}", f"n{rng.randrange(40)}", 1) for _ in range(500)], "caller string, callee string, call_line int")
+    starts = spark.createDataFrame([(f"n{i}",) for i in range(70)], "start_qn string")
+    settings = C.DEFAULT.__class__(max_nodes=14)
+    sizes = G.upstream_sizes(starts, edges, settings)
+    rows = G.upstream(starts, edges, settings).groupBy("start_qn", "depth").agg(F.count("*").alias("nodes"))
+    assert sizes.dtypes == rows.dtypes and sorted(map(tuple, sizes.collect())) == sorted(map(tuple, rows.collect()))
+    assert "Window" not in sizes._jdf.queryExecution().toString()

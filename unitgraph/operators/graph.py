@@ -74,6 +74,15 @@ def next_sets(frontier: DataFrame, edges: DataFrame, visited: DataFrame, setting
     return fresh.where("mask <> 0").select("qualified_name", "chunk", "mask")
 
 
+def upstream_sizes(starts: DataFrame, edges: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """``start_qn, depth, nodes``: the rows of :func:`upstream`, counted.
+
+    Starts with more callers than room take as many as there is room and ask no further, so
+    which they are isn't asked: nothing is ranked, and no row a node is made.
+    """
+    return _search(starts, edges, settings, True)
+
+
 def upstream(starts: DataFrame, edges: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """``start_qn, qualified_name, depth`` of all that call each start, directly or not (G1).
 
@@ -85,11 +94,16 @@ def upstream(starts: DataFrame, edges: DataFrame, settings: Settings = DEFAULT)
     the rank's limit applied before the shuffle. Starts that have no room left ask for no edges, and
     a level that nobody asks for isn't computed.
     """
+    return _search(starts, edges, settings, False)
+
+
+def _search(starts: DataFrame, edges: DataFrame, settings: Settings, sizes: bool) -> DataFrame:
     named = starts.select("start_qn").where("start_qn is not null").distinct().sortWithinPartitions("start_qn").withColumn("_n", F.monotonically_increasing_id())
     # numbers are consecutive within a partition, so a chunk is of one partition; they are written, and so the same for all readers
     numbers = cut(named.select("start_qn", F.floor(F.col("_n") / WORD).alias("chunk"), (F.col("_n") % WORD).cast("int").alias("bit")))
     frontier = numbers.select(F.col("start_qn").alias("qualified_name"), "chunk", F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bit")).alias("mask"))
     levels = [frontier]
+    counts = [numbers.select("chunk", "bit", F.lit(0).alias("depth"), F.lit(1).cast("bigint").alias("nodes"))]
     room = numbers.select("chunk", "bit", F.lit(settings.max_nodes - 1).cast("bigint").alias("room")).where("room > 0")
     rows = numbers.count()
     for depth in range(1, settings.max_depth + 1):
@@ -101,7 +115,8 @@ def upstream(starts: DataFrame, edges: DataFrame, settings: Settings = DEFAULT)
         masks = states.groupBy("chunk").agg(*[F.bit_or(F.when(c, _one(F.col("bit"))).otherwise(F.lit(0).cast("bigint"))).alias(n) for n, c in (("whole", fits), ("over", ~fits), ("left", more))])
         rows, crowded, asking = states.agg(F.coalesce(F.sum(F.least("found", "room")), F.lit(0)), F.count_if(~fits), F.count_if(more)).first()
         level = _only(fresh, masks, "whole")
-        if crowded:
+        counts.append(states.select("chunk", "bit", F.lit(depth).alias("depth"), F.least("found", "room").alias("nodes")))
+        if crowded and not sizes:
             by_name = Window.partitionBy("chunk", "bit").orderBy("qualified_name")
             ranked = _unpacked(_only(fresh, masks, "over"), "qualified_name").withColumn("_rank", F.row_number().over(by_name)).where(F.col("_rank") <= settings.max_nodes)
             kept = ranked.join(states.select("chunk", "bit", "room"), ["chunk", "bit"]).where("_rank <= room")
@@ -112,6 +127,8 @@ def upstream(starts: DataFrame, edges: DataFrame, settings: Settings = DEFAULT)
             break
         frontier = _only(fresh, masks, "left")
         room = states.where(more).select("chunk", "bit", (F.col("room") - F.col("found")).alias("room"))
+    if sizes:
+        return reduce(DataFrame.unionByName, counts).join(numbers, ["chunk", "bit"]).select("start_qn", "depth", "nodes")
     # the same node may be in a level twice, for different starts
     nodes = reduce(DataFrame.unionByName, [_unpacked(level.withColumn("depth", F.lit(k)), "qualified_name", "depth") for k, level in enumerate(levels)])
     return cut(nodes.join(numbers, ["chunk", "bit"]).select("start_qn", "qualified_name", "depth"))

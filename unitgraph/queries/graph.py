@@ -71,7 +71,7 @@ def impact_detail(spark, d):
 
 def impact_sizes(spark, d):
     starts = T.table(spark, d, "part").select(F.concat(F.lit("part#"), F.col("p_partkey").cast("string")).alias("start_qn"))
-    return G.upstream(starts, _edges(spark, d)).groupBy("start_qn", "depth").agg(F.count("*").alias("nodes"))
+    return G.upstream_sizes(starts, _edges(spark, d))
 
 
 def impact_report(spark, d):
