@@ -52,3 +52,33 @@ def test_sizes_are_counted_without_ranking(spark):
     rows = G.upstream(starts, edges, settings).groupBy("start_qn", "depth").agg(F.count("*").alias("nodes"))
     assert sizes.dtypes == rows.dtypes and sorted(map(tuple, sizes.collect())) == sorted(map(tuple, rows.collect()))
     assert "Window" not in sizes._jdf.queryExecution().toString()
+
+
+def test_impact_texts_deal_nodes_by_start_once(spark):
+    """A report ranks and groups a start's nodes behind one exchange, and a context deals its nodes once and doubles none but the first of a kind."""
+    from unitgraph.operators import render, service
+
+    nodes = spark.range(400).selectExpr("concat('s', id % 4) AS start_qn", "concat('n', id) AS qualified_name", "CAST(id % 3 + 1 AS INT) AS depth", "CAST(id % 2 AS INT) AS call_line", "'f' AS file_path", "1 AS start_line", "'sig' AS signature")
+    report = service.impact_report(nodes)
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert {(r.start_qn, r.direct, r.indirect, len(r.report.split("\n"))) for r in report.collect()} == {(f"s{k}", d, 100 - d, d + 8) for k in range(4) for d in [len([i for i in range(400) if i % 4 == k and i % 3 == 0])]}
+    changed = spark.range(4).selectExpr("concat('s', id) AS start_qn", "'sig' AS signature", "'f' AS file_path", "1 AS start_line")
+    plan = render.impact_context(changed, nodes, F.lit("en"))._jdf.queryExecution().executedPlan().toString()
+    assert "_direct" not in "".join(line for line in plan.split("\n") if "Exchange hashpartitioning" in line)
+
+
+def test_details_take_repeated_calls_and_run_no_job_while_planned(spark):
+    """Calls that come several times are grouped with what is taken from them; names are counted by no job of their own."""
+    edges = spark.createDataFrame([("a", "x#s", 7), ("a", "x#s", 3), ("b", "a", 5), ("b", "a", 5)], "caller string, callee string, call_line int")
+    starts = spark.createDataFrame([("x#s",)], "start_qn string")
+    nodes = G.upstream(starts, edges).where("depth > 0")
+    units = spark.createDataFrame([("a", "f", 1, "sig", "java", "body")], "qualified_name string, file_path string, start_line int, signature string, language string, body_text string")
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("details", "planning only")
+    try:
+        details = G.node_details(nodes, units, edges)
+        assert not jobs.getJobIdsForGroup("details")
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert {(r.qualified_name, r.depth, r.call_line, r.file_path) for r in details.collect()} == {("a", 1, 3, "f"), ("b", 2, 0, "")}

@@ -86,7 +86,7 @@ def upstream_sizes(starts: DataFrame, edges: DataFrame, settings: Settings = DEF
 def upstream(starts: DataFrame, edges: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """``start_qn, qualified_name, depth`` of all that call each start, directly or not (G1).
 
-    Level by level, depth ``max_depth`` at most; of each start at most ``max_nodes``
+    An edge may come several times. Level by level, depth ``max_depth`` at most; of each start at most ``max_nodes``
     nodes, itself included, are kept: those of a level in order of their name (Q4).
     Starts are numbered, and a node holds sets of them, ``WORD`` to a number: a level reads the
     edges once, whatever the number of starts, and shuffles a row for each caller and chunk of
@@ -158,13 +158,14 @@ def node_details(nodes: DataFrame, units: DataFrame, edges: DataFrame, body_char
     the lowest file path and line counts. ``call_line`` is 0 for nodes that don't call the
     start by its full or short name (here the list of general names doesn't apply).
     """
-    known = only_named(units, "qualified_name", nodes.select("qualified_name").distinct())
+    # a bitmap in front is enough: the joins below leave no others
+    known = maybe_named(units, "qualified_name", nodes)
     detail = first_by(known, ["qualified_name"], "file_path", "start_line").select(
         "qualified_name", "file_path", "start_line", "signature", "language", F.substring("body_text", 1, body_chars).alias("body_text")
     )
     starts = nodes.select("start_qn").distinct()
     names = starts.select("start_qn", F.explode(F.array_distinct(F.array("start_qn", short_name(F.col("start_qn"))))).alias("callee"))
-    direct = names.join(only_named(edges, "callee", names.select("callee").distinct()), "callee").groupBy("start_qn", F.col("caller").alias("qualified_name")).agg(F.min("call_line").alias("call_line"))
+    direct = names.join(maybe_named(edges, "callee", names), "callee").groupBy("start_qn", F.col("caller").alias("qualified_name")).agg(F.min("call_line").alias("call_line"))
     joined = nodes.join(detail, "qualified_name", "left").join(direct, ["start_qn", "qualified_name"], "left")
     empty = [F.coalesce(c, F.lit("")).alias(c) for c in ("file_path", "signature", "language", "body_text")]
     return joined.select("start_qn", "qualified_name", "depth", F.coalesce("start_line", F.lit(0)).alias("start_line"), F.coalesce("call_line", F.lit(0)).alias("call_line"), *empty)

@@ -77,8 +77,10 @@ def impact_context(changed: DataFrame, nodes: DataFrame, lang: Column, settings:
     """
     heads = _formats(changed.withColumn("_l", lang), F.col("_l"))
     formats = heads.select("start_qn", *[f"f_{k}" for k in KEYS])
-    w = Window.partitionBy("start_qn", "_direct").orderBy("depth", "qualified_name")
-    ranked = nodes.withColumn("_direct", F.col("depth") == 1).withColumn("_place", F.row_number().over(w)).where(F.col("_direct") | (F.col("_place") <= settings.indirect_limit))
+    # places are numbered within a start, so that one exchange serves the ranking, the join and the grouping
+    every = Window.partitionBy("start_qn")
+    numbered = nodes.withColumn("_direct", F.col("depth") == 1).withColumn("_place", F.row_number().over(every.orderBy(~F.col("_direct"), "depth", "qualified_name")))
+    ranked = numbered.withColumn("_first", F.count_if("_direct").over(every)).where(F.col("_place") <= F.col("_first") + settings.indirect_limit)
     own = ranked.join(formats, "start_qn")
     empty = F.lit("")
 
@@ -89,8 +91,9 @@ def impact_context(changed: DataFrame, nodes: DataFrame, lang: Column, settings:
     indirect = _fill("indirect_node", F.col("depth"), F.col("signature"), F.col("file_path"), F.col("start_line"), called("indirect"))
     line = F.struct(F.when(F.col("_direct"), 2).otherwise(4).alias("part"), "_place", F.when(F.col("_direct"), direct).otherwise(indirect).alias("text"))
     heading = F.struct(F.when(F.col("_direct"), 1).otherwise(3).alias("part"), F.lit(0).alias("_place"), F.when(F.col("_direct"), F.col("f_direct")).otherwise(F.col("f_indirect")).alias("text"))
-    # each node brings its heading along, so that the nodes are made once; equal headings fall together below
-    lines = own.select("start_qn", F.explode(F.array(heading, line)).alias("l")).select("start_qn", "l.part", "l._place", "l.text")
+    # the first node of a kind brings its heading along, so that the nodes are made once; equal headings fall together below
+    leads = (F.col("_place") == 1) | (F.col("_place") == F.col("_first") + 1)
+    lines = own.select("start_qn", F.explode(F.when(leads, F.array(heading, line)).otherwise(F.array(line))).alias("l")).select("start_qn", "l.part", "l._place", "l.text")
     first = heads.select("start_qn", F.lit(0).alias("part"), F.lit(0).alias("_place"), _fill("changed", F.col("signature"), F.col("file_path"), F.col("start_line")).alias("text"))
     everything = first.union(lines)
     listed = F.array_sort(F.collect_set(F.struct("part", "_place", "text")))

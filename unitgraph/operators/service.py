@@ -181,11 +181,11 @@ def merged_gaps(rows: DataFrame, keys: list[str], start: str, end: str, gap: int
 
 def impact_report(chains: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """``start_qn, direct, indirect, report``: nodes as text, direct ones all, of the others the first few."""
-    w = Window.partitionBy("start_qn", "_direct").orderBy("depth", "qualified_name")
-    nodes = chains.withColumn("_direct", F.col("depth") == 1).withColumn("_place", F.row_number().over(w))
-    counts = chains.groupBy("start_qn").agg(F.count_if(F.col("depth") == 1).alias("direct"), F.count_if(F.col("depth") > 1).alias("indirect"))
-    shown = nodes.where(F.col("_direct") | (F.col("_place") <= settings.indirect_limit))
+    # places are numbered within a start, so that one exchange serves the ranking and the grouping
+    w = Window.partitionBy("start_qn").orderBy(F.col("depth") != 1, "depth", "qualified_name")
+    nodes = chains.where("start_qn is not null").withColumn("_place", F.row_number().over(w))
+    direct = F.count_if(F.col("depth") == 1)
     line = F.concat(F.lit("[depth "), F.col("depth").cast("string"), F.lit("] "), F.col("qualified_name"))
-    listed = F.array_sort(F.collect_list(F.struct("depth", "qualified_name", line.alias("line"))))
-    text = shown.groupBy("start_qn").agg(F.array_join(F.transform(listed, lambda x: x["line"]), "\n").alias("report"))
-    return counts.join(text, "start_qn")
+    listed = F.array_sort(F.collect_list(F.when(F.col("_place") <= F.col("_direct") + settings.indirect_limit, F.struct("depth", "qualified_name", line.alias("line")))))
+    rows = nodes.withColumn("_direct", direct.over(Window.partitionBy("start_qn")))
+    return rows.groupBy("start_qn").agg(direct.alias("direct"), F.count_if(F.col("depth") > 1).alias("indirect"), F.array_join(F.transform(listed, lambda x: x["line"]), "\n").alias("report"))

@@ -52,6 +52,18 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def calls(spark: SparkSession, d: str) -> DataFrame:
+    """:func:`edges` before they are grouped: a call may come several times. For steps that group what they take from it themselves."""
+    li, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
+    name = lambda kind, c: F.concat(F.lit(f"{kind}#"), F.col(c).cast("string"))
+    line = F.col("l_linenumber").cast("int").alias("call_line")
+    return (
+        li.select(name("part", "l_partkey").alias("caller"), name("supp", "l_suppkey").alias("callee"), line)
+        .union(li.select(name("order", "l_orderkey"), name("part", "l_partkey"), line))
+        .union(orders.select(name("cust", "o_custkey"), name("order", "o_orderkey"), F.lit(0)))
+    )
+
+
 E = """edges AS (SELECT concat('part#', CAST(l_partkey AS VARCHAR)) AS caller, concat('supp#', CAST(l_suppkey AS VARCHAR)) AS callee, CAST(min(l_linenumber) AS INT) AS call_line FROM lineitem GROUP BY 1, 2
   UNION ALL SELECT concat('order#', CAST(l_orderkey AS VARCHAR)), concat('part#', CAST(l_partkey AS VARCHAR)), CAST(min(l_linenumber) AS INT) FROM lineitem GROUP BY 1, 2
   UNION ALL SELECT concat('cust#', CAST(o_custkey AS VARCHAR)), concat('order#', CAST(o_orderkey AS VARCHAR)), 0 FROM orders)"""

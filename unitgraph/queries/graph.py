@@ -48,7 +48,7 @@ def _edges(spark, d):
 
 def impact_upstream(spark, d):
     starts = spark.createDataFrame([("supp#1",)], "start_qn string")
-    edges = T.edges(spark, d)
+    edges = T.calls(spark, d)
     nodes = G.upstream(starts, edges)
     return G.node_details(nodes, T.graph_units(spark, d), edges).where("depth > 0").drop("body_text")
 
@@ -60,11 +60,11 @@ _DETAIL_SELECT = """SELECT n.start_qn, n.qualified_name, n.depth, coalesce(o.sta
 
 
 def impact_multi(spark, d):
-    return G.upstream(_starts(spark, d), T.edges(spark, d))
+    return G.upstream(_starts(spark, d), T.calls(spark, d))
 
 
 def impact_detail(spark, d):
-    edges = T.edges(spark, d)
+    edges = T.calls(spark, d)
     nodes = G.upstream(_starts(spark, d), edges).where("depth > 0")
     return G.node_details(nodes, T.graph_units(spark, d), edges)
 
@@ -75,7 +75,7 @@ def impact_sizes(spark, d):
 
 
 def impact_report(spark, d):
-    nodes = G.upstream(_starts(spark, d), T.edges(spark, d)).where("depth > 0")
+    nodes = G.upstream(_starts(spark, d), T.calls(spark, d)).where("depth > 0")
     return S.impact_report(nodes).withColumn("display", C.display_name(F.col("start_qn")))
 
 
@@ -88,7 +88,7 @@ SELECT c.start_qn, direct, indirect, report, c.start_qn AS display FROM counts c
 def impact_context(spark, d):
     starts = _starts(spark, d)
     units = T.graph_units(spark, d)
-    edges = T.edges(spark, d)
+    edges = T.calls(spark, d)
     nodes = G.node_details(G.upstream(starts, edges).where("depth > 0"), units, edges)
     own = R.first_by(units, ["qualified_name"], "file_path", "start_line").withColumnRenamed("qualified_name", "start_qn").join(starts, "start_qn", "left_semi")
     lang = F.element_at(F.array(*map(F.lit, ["en", "zh", "ja", "xx"])), (F.substring_index("start_qn", "#", -1).cast("int") % 4 + 1).cast("int"))
